@@ -15,7 +15,7 @@ def floordiv(a: Column, b: int) -> Column:
     """Integer quotient of a non-negative BIGINT: a shift for powers of two."""
     if b & (b - 1) == 0:
         return F.shiftright(a.cast("long"), b.bit_length() - 1)
-    return F.floor((a - a % b) / F.lit(b)).cast("long")
+    return F.call_function("div", a.cast("long"), F.lit(b).cast("long"))
 
 
 # --- 3-D ------------------------------------------------------------------------------------------------------------
@@ -141,4 +141,4 @@ def density_log2(n: Column) -> Column:
 def compact_side(n: Column) -> Column:
     """Smallest power of two whose square holds n tiles: with n-1 < 4^k, the side is 2^k."""
     bits = F.when(n <= 1, F.lit(0)).otherwise(F.length(F.bin(F.greatest(n, F.lit(2)).cast("long") - 1)))
-    return F.expr("1L") * F.pow(F.lit(2.0), F.floor((bits + 1) / F.lit(2))).cast("long")
+    return F.pow(F.lit(2.0), F.floor((bits + 1) / F.lit(2))).cast("long")
