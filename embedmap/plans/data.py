@@ -109,3 +109,47 @@ SELECT chunk_id, """ + ", ".join(f"CAST(round_even(sum({c} * n) / sum(n), 0) AS
 # --- 2-D points: events ---------------------------------------------------------------------------------------------
 
 CORPORA = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
+
+
+def points2(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as 2-D points: value against hours of the month; the corpus is the event type."""
+    from embedmap.operators.keys import encode_subset
+
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    df = table(spark, sf, "events").select(
+        F.col("event_id").alias("row_id"), F.col("value").alias("x"), (micros / 3600e6).alias("y"), "event_type")
+    return encode_subset(df, "event_type", CORPORA, "corpus").select("row_id", "x", "y", "corpus")
+
+
+def frame2(spark: SparkSession, sf: str) -> frames.Frame:
+    return frames.compute_frame_2d(points2(spark, sf))
+
+
+def quantized(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.quantize(points2(spark, sf), frame2(spark, sf)).select("row_id", "corpus", "qx", "qy")
+
+
+part("p2", """
+SELECT event_id AS row_id, value AS x, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600e6 AS y,
+  CASE event_type """ + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CORPORA.items()) + """ END::BIGINT AS corpus FROM events""")
+part("med2", "SELECT quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM p2")
+part("rad2", "SELECT p2.*, sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS radius FROM p2, med2")
+part("core2", "SELECT * FROM rad2 WHERE radius <= (SELECT quantile_cont(radius, 0.995) FROM rad2)")
+part("q2", """SELECT quantile_cont(x, 0.001) AS xa, quantile_cont(x, 0.999) AS xb, quantile_cont(y, 0.001) AS ya,
+  quantile_cont(y, 0.999) AS yb FROM core2""")
+part("raw2", "SELECT " + ", ".join(
+    f"{a}a - ({_pad(a + 'a', a + 'b')}) AS {a}0, {a}b + ({_pad(a + 'a', a + 'b')}) AS {a}1" for a in "xy") + " FROM q2")
+part("f2", "SELECT " + ", ".join(
+    f"({a}0 + {a}1) / 2 - greatest(x1 - x0, y1 - y0) / 2 AS {a}0, ({a}0 + {a}1) / 2 + greatest(x1 - x0, y1 - y0) / 2 AS {a}1"
+    for a in "xy") + " FROM raw2")
+part("z2", """
+SELECT row_id, corpus, CAST(least(greatest(floor((x - x0) / (x1 - x0) * 65536), 0), 65535) AS BIGINT) AS qx,
+       CAST(least(greatest(floor((y1 - y) / (y1 - y0) * 65536), 0), 65535) AS BIGINT) AS qy FROM p2, f2""")
+part("b2", f"SELECT *, qx >> {8 - ZOOM} AS bin_x, qy >> {8 - ZOOM} AS bin_y FROM z2")
+part("t2", f"""
+SELECT *, (bin_y >> 8) * {1 << ZOOM} + (bin_x >> 8) AS tile, """ + " + ".join(
+    f"((bin_x >> {i}) & 1) * {1 << 2 * i} + ((bin_y >> {i}) & 1) * {2 << 2 * i}" for i in range(8)) + " AS morton FROM b2")
+part("til", "SELECT row_number() OVER (ORDER BY tile, morton, row_id) - 1 AS pos, * FROM t2")
+part("pyr", f"""
+SELECT CAST(z AS BIGINT) AS z, corpus, qx >> (8 - z) AS bin_x, qy >> (8 - z) AS bin_y, count(*) AS n
+FROM z2, (SELECT unnest(range({ZOOM + 1})) AS z) GROUP BY 1, 2, 3, 4""")

@@ -29,7 +29,10 @@ def with_parts(body: str) -> str:
 
     visit(body)
     ctes = ", ".join(f"{name} AS ({PARTS[name]})" for name in ordered)
-    return f"WITH {ctes} {body}" if ctes else body
+    if not ctes:
+        return body
+    own = re.match(r"\s*WITH\s", body)
+    return f"WITH {ctes}, {body[own.end():]}" if own else f"WITH {ctes} {body}"
 
 
 def query(name: str, check: str | None = None):
