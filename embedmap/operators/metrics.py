@@ -13,6 +13,7 @@ from embedmap.operators.ordering import HOT_ROWS, exact_percentiles, with_bucket
 
 TERMINAL = ("complete", "failed", "not started")  # fixed values: states that cannot become stale
 STALE_SECONDS = 120
+STALLED_SECONDS = 1800  # fixed: an unfinished input without progress for this long is a failure
 RETENTION_DAYS = 31
 
 
@@ -90,15 +91,17 @@ def progress_status(receipts: DataFrame, now: datetime) -> DataFrame:
     out = receipts.withColumn("age_seconds", age)
     stale = (F.col("age_seconds") > STALE_SECONDS) & ~F.col("state").isin(*TERMINAL)
     status = F.when(F.col("state").isNull(), "not started").when(~F.col("valid"), "status unavailable").otherwise(F.col("state"))
-    return out.select("job", status.alias("status"), "age_seconds", F.coalesce(F.when(F.col("valid"), stale).otherwise(True), F.lit(False)).alias("stale"))
+    return out.select("job", status.alias("status"), "age_seconds", F.when(F.col("state").isNull(), F.lit(False)).when(F.col("valid"), F.coalesce(stale, F.lit(False))).otherwise(F.lit(True)).alias("stale"))
 
 
 def release_gate(receipts: DataFrame, expected_rows: int, expected_shards: int) -> DataFrame:
-    """One row: may the release be published. A failed or partial input stops it, incomplete totals hold it back.
+    """One row: may the release be published. A failed, partial or stalled input stops it, incomplete totals hold it back.
 
-    ``receipts``: state, rows; one row per shard.
+    ``receipts``: state, rows and optionally age_seconds; one row per shard.
     """
     bad = F.col("state").isin("failed", "partial")
+    if "age_seconds" in receipts.columns:
+        bad = bad | ((F.col("state") != "complete") & (F.col("age_seconds") > STALLED_SECONDS))
     return receipts.agg(
         F.count(F.lit(1)).alias("n_shards"), F.sum("rows").alias("n_rows"),
         F.coalesce(F.bool_or(bad), F.lit(False)).alias("stopped"),

@@ -89,11 +89,11 @@ def inventory_from_csv(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = [num("chunk_id").alias("chunk_id"), num("voxel_id").alias("local_id")]
     stacks = head.select(*key, num("cursor").alias("cursor"), num("total_points").alias("total_points"), num("repr_row_id").alias("repr_row_id"),
                          num("first_extracted_at").alias("first_seq"), num("last_extracted_at").alias("last_seq"))
-    ids = lambda c: F.filter(F.split(c, ";"), lambda s: s != "")
+    ids = lambda c: F.filter(F.split(c, ";"), lambda s: s != "").cast("array<long>")
     held = df.select(*key, num("row_id").alias("row_id"), F.lit("held").alias("state"), F.col("line").alias("seq"))
-    chosen = head.select(*key, F.explode(ids("selected_row_ids")).cast("long").alias("row_id"), F.lit(True).alias("selected"))
+    chosen = head.select(*key, F.explode(ids("selected_row_ids")).alias("row_id"), F.lit(True).alias("selected"))
     back = head.select(*key, F.posexplode(ids("returned_row_ids")).alias("seq", "row_id")).select(
-        *VOXEL, F.col("row_id").cast("long").alias("row_id"), F.lit("returned").alias("state"), F.lit(False).alias("selected"),
+        *VOXEL, "row_id", F.lit("returned").alias("state"), F.lit(False).alias("selected"),
         F.col("seq").cast("long").alias("seq"))
     held = held.join(chosen, [*VOXEL, "row_id"], "left").na.fill(False, ["selected"])
     return stacks, held.select(*back.columns).unionByName(back)
