@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions import grid
-from embedmap.operators.ordering import exact_percentiles
+from embedmap.operators.ordering import union_all
 
 # Fixed values of the frame rule.
 EXTENT_PCT = (0.001, 0.999)
@@ -17,7 +18,9 @@ PAD_FRACTION = 0.02
 CORE_RADIUS_PCT = 0.995
 SAMPLE_OVER = 25_000_000   # rows above which a frame is fitted on evenly spaced rows
 SAMPLE_ROWS_3D = 1_000_000
-HASH_PERCENTILE_ROWS = 1_000_000  # up to here one task may hold every distinct value
+HISTOGRAM_BINS = 4096       # bins per open interval of a percentile search
+SMALL_ROWS = 250_000        # tables up to this size use the built-in percentile
+LIST_ROWS = 20_000          # an interval this small is listed value by value
 
 
 @dataclass(frozen=True)
@@ -43,14 +46,70 @@ def linspace_sample(df: DataFrame, n: int, k: int, id_col: str = "row_id") -> Da
     return df.filter(div(step * (n - 1), k - 1) == F.col(id_col))
 
 
-def percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], n: int) -> dict[str, list[float]]:
-    """Exact interpolated percentiles of a few columns, as driver scalars."""
-    if n <= HASH_PERCENTILE_ROWS:
-        wanted = F.array(*[F.lit(float(p)) for p in ps])
-        row = df.agg(*[F.percentile(c, wanted).alias(c) for c in cols]).first()
+def percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], n: int | None = None) -> dict[str, list[float]]:
+    """Exact interpolated percentiles of a few columns, as driver scalars.
+
+    Rank selection by histogram: every round counts the values of the open intervals in equal-width bins and keeps the
+    bin that holds the rank, until the interval is small enough to list its distinct values. The driver sees bin counts
+    only, at most ``HISTOGRAM_BINS`` per open interval, whatever the number of rows or their skew. A small table is served
+    by the built-in aggregate, whose single task then holds at most ``SMALL_ROWS`` values per column.
+    """
+    if n is not None and n <= SMALL_ROWS:
+        row = df.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(c) for c in cols]).first()
         return {c: list(row[c]) for c in cols}
-    found = {(r["col"], r["p"]): r["value"] for r in exact_percentiles(df, [], cols, ps).collect()}
-    return {c: [found[c, float(p)] for p in ps] for c in cols}
+    stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    found: dict[tuple[int, int], float] = {}
+    ranks = {i: sorted({r for p in ps for r in _rank_pair(p, stats[f"n{i}"])}) for i in range(len(cols))}
+    # Open intervals: (column, lo, hi) -> (rows below lo, rows inside, wanted ranks).
+    todo = {(i, stats[f"a{i}"], stats[f"b{i}"]): (0, stats[f"n{i}"], ranks[i]) for i in range(len(cols)) if ranks[i]}
+    while todo:
+        todo = _narrow(df, cols, todo, found)
+    out = {}
+    for i, c in enumerate(cols):
+        out[c] = []
+        for p in ps:
+            lower, upper = _rank_pair(p, stats[f"n{i}"])
+            position = p * (stats[f"n{i}"] - 1)
+            x, y = found[i, lower], found[i, upper]
+            out[c].append(x if x == y else (upper - position) * x + (position - lower) * y)
+    return out
+
+
+def _rank_pair(p: float, n: int) -> tuple[int, int]:
+    return math.floor(p * (n - 1)), math.ceil(p * (n - 1))
+
+
+def _narrow(df: DataFrame, cols: Sequence[str], todo: dict, found: dict[tuple[int, int], float]) -> dict:
+    """One counting pass over all open intervals; returns the smaller ones that remain open."""
+    keys = list(todo)
+    branches = []
+    for i in sorted({k[0] for k in keys}):
+        # One branch per column, so that each scan reads its column only; the intervals of a column are disjoint.
+        v = F.col("v")
+        which, mark = F.lit(None).cast("int"), F.lit(None).cast("double")
+        for j, (column, lo, hi) in enumerate(keys):
+            if column == i:
+                inside = v.between(lo, hi)
+                few = todo[keys[j]][1] <= LIST_ROWS or hi <= lo  # few rows: list the distinct values
+                scaled = v if few else F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(HISTOGRAM_BINS))).cast("double")
+                which, mark = F.when(inside, F.lit(j)).otherwise(which), F.when(inside, scaled).otherwise(mark)
+        column = df.select(F.col(cols[i]).cast("double").alias("v"))
+        branches.append(column.select("v", which.alias("j"), mark.alias("bin")).filter(F.col("j").isNotNull()))
+    counted = (
+        union_all([b.groupBy("j", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")) for b in branches])
+        .collect()
+    )
+    rest = {}
+    for j, key in enumerate(keys):
+        below, _, ranks = todo[key]
+        for r in sorted((r for r in counted if r["j"] == j), key=lambda r: r["lo"]):
+            here = [k for k in ranks if below <= k < below + r["n"]]
+            if here and r["lo"] == r["hi"]:
+                found.update({(key[0], k): r["lo"] for k in here})
+            elif here:
+                rest[key[0], r["lo"], r["hi"]] = (below, r["n"], here)
+            below += r["n"]
+    return rest
 
 
 def padded(lo: float, hi: float, pad: float) -> tuple[float, float]:

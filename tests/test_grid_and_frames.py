@@ -97,6 +97,21 @@ def test_exact_percentiles_on_tiny_groups(spark, values, p):
     assert np.isclose(got, np.percentile(values, p * 100), rtol=1e-9, atol=1e-9)
 
 
+def test_rank_selection_equals_numpy(spark, monkeypatch):
+    """The scalar percentiles of frames, with few bins so that several rounds run, and one value on a third of the rows."""
+    rng = np.random.default_rng(5)
+    a = np.concatenate([rng.normal(size=4000), np.full(2000, 0.25)])
+    b = np.exp(rng.normal(size=6000) * 4)
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a double, b double").repartition(5)
+    monkeypatch.setattr(frames, "HISTOGRAM_BINS", 8)
+    monkeypatch.setattr(frames, "LIST_ROWS", 20)
+    ps = [0.0, 0.001, 0.37, 0.5, 0.999, 1.0]
+    got = frames.percentiles(df, ["a", "b"], ps)
+    for c, v in (("a", a), ("b", b)):
+        assert np.allclose(got[c], np.percentile(v, [p * 100 for p in ps]), rtol=1e-12)
+    assert np.allclose(frames.percentiles(df, ["a"], ps, 6000)["a"], got["a"])
+
+
 def test_linspace_sample_equals_the_formula(spark):
     for n, k in ((100, 7), (1000, 999), (5, 9), (17, 1)):
         df = spark.range(n).withColumnRenamed("id", "row_id")
