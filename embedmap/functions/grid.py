@@ -18,6 +18,14 @@ def floordiv(a: Column, b: int) -> Column:
     return F.call_function("div", a.cast("long"), F.lit(b).cast("long"))
 
 
+def known(index: Column) -> Column:
+    """Mark a cell address as never null: a missing coordinate gives -1, an address outside every grid.
+
+    Joins on a nullable computed key make the optimiser push a null test of the whole expression down to the scan.
+    """
+    return F.coalesce(index, F.lit(-1).cast("long"))
+
+
 # --- 3-D ------------------------------------------------------------------------------------------------------------
 
 def normalized(c: Column, lo: float, hi: float) -> Column:
@@ -43,11 +51,11 @@ def require_divisible(n: int, vpc: int) -> None:
 
 def chunk_of(vx: Column, vy: Column, vz: Column, n: int, vpc: int) -> Column:
     require_divisible(n, vpc)
-    return flat_index(floordiv(vx, vpc), floordiv(vy, vpc), floordiv(vz, vpc), n // vpc)
+    return known(flat_index(floordiv(vx, vpc), floordiv(vy, vpc), floordiv(vz, vpc), n // vpc))
 
 
 def local_of(vx: Column, vy: Column, vz: Column, vpc: int) -> Column:
-    return flat_index(vx % vpc, vy % vpc, vz % vpc, vpc)
+    return known(flat_index(vx % vpc, vy % vpc, vz % vpc, vpc))
 
 
 def axes_of(index: Column, side: int) -> tuple[Column, Column, Column]:
@@ -74,7 +82,7 @@ def choose_max_zoom(n: int) -> int:
 
 def quantized(offset: Column, span: float) -> Column:
     raw = F.floor(offset / F.lit(span) * F.lit(float(QUANT_LEVELS)))
-    return F.least(F.greatest(raw, F.lit(0).cast("long")), F.lit(QUANT_LEVELS - 1).cast("long"))
+    return known(F.least(F.greatest(raw, F.lit(0).cast("long")), F.lit(QUANT_LEVELS - 1).cast("long")))
 
 
 def quantize_xy(x: Column, y: Column, extent: list[float]) -> tuple[Column, Column]:

@@ -262,7 +262,8 @@ def check_permutation(df: DataFrame, a: str, b: str) -> DataFrame:
 def verify_row_order(points: DataFrame, shards: DataFrame) -> DataFrame:
     """Rows whose packed reference differs from the one their position in shard order implies.
 
-    points: row_id, ref; shards: seq, shard, n_rows (one row per shard; the window sees only these).
+    points: row_id, ref; shards: seq, shard, n_rows. A packed reference has 65,536 shards at most, which bounds both the
+    window and the broadcast.
     """
     w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.withColumn("start", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).cast("long"))

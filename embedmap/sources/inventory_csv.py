@@ -55,15 +55,20 @@ def write_inventory_csv(csv: DataFrame, path: str) -> None:
 
 
 def read_inventory_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as text columns with ``line`` increasing in file order; both header widths are accepted."""
+    """Lines as text columns with ``line`` increasing in file order; both header widths are accepted.
+
+    A multi-line file is read by one task, so the running id orders its lines; the part number orders the files.
+    """
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-    names = [c.lstrip("﻿").strip('"') for c in df.columns]
+    names = [c.lstrip("\ufeff").strip('"') for c in df.columns]
     if names not in (COLUMNS, LEGACY_COLUMNS):
         raise ValueError("not an inventory CSV")
-    df = df.toDF(*names)
+    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    line = F.shiftleft(part, 34).bitwiseOR(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns], line.alias("line")).toDF(*names, "line")
     if names == LEGACY_COLUMNS:
         df = df.withColumn("selected_row_ids", F.lit(""))
-    return df.na.fill("").withColumn("line", F.monotonically_increasing_id())
+    return df.na.fill("")
 
 
 def csv_violations(df: DataFrame) -> DataFrame:
