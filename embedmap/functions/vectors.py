@@ -22,22 +22,3 @@ def bad_vector(v: Column) -> Column:
     """True for null, zero or non-finite vectors."""
     nonfinite = F.exists(as_double(v), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return F.coalesce(v.isNull() | nonfinite | (norm(v) == 0), F.lit(True))
-
-
-def unit(v: Column) -> Column:
-    """L2-normalised vector; null where the vector cannot be normalised."""
-    length = norm(v)
-    return F.when(~bad_vector(v), F.transform(as_double(v), lambda x: x / length))
-
-
-def int8_scale(v: Column) -> Column:
-    """Largest absolute component over 127; 1 for the zero vector."""
-    peak = F.array_max(F.transform(as_double(v), F.abs))
-    return F.when(peak == 0, F.lit(1.0)).otherwise(peak / F.lit(127.0))
-
-
-def int8_codes(v: Column) -> Column:
-    scale = int8_scale(v)
-    return F.transform(
-        as_double(v), lambda x: F.least(F.greatest(F.rint(x / scale), F.lit(-127.0)), F.lit(127.0)).cast("int")
-    )

@@ -6,7 +6,7 @@ the base vectors are ever shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,40 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def vectors_of(m: np.ndarray, valid: np.ndarray | None = None) -> pa.ListArray:
+    """A matrix as an Arrow list column; rows that are not valid become null."""
+    offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1])
+    mask = None if valid is None or valid.all() else pa.array(~valid)
+    return pa.ListArray.from_arrays(offsets, pa.array(m.ravel()), mask=mask)
+
+
+def map_vectors(df: DataFrame, uses: Sequence[str], fn: Callable, added: Sequence[tuple[str, str]]) -> DataFrame:
+    """Replace the columns ``uses`` by ``added``, computed batch by batch; all other columns pass through."""
+    keep = [c for c in df.columns if c not in uses]
+    types = {n: t for n, t in df.dtypes}
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*((c, types[c]) for c in keep), *added])
+    names = [*keep, *[n for n, _ in added]]
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                made = fn(*[b.column(len(keep) + i) for i in range(len(uses))])
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], *made], names=names)
+
+    return df.select(*keep, *uses).mapInArrow(run, schema)
+
+
 def l2_normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
-    """Unit vectors in double; rows that cannot be normalised are refused when read."""
-    refused = F.raise_error(F.lit("zero or non-finite vector")).cast("array<double>")
-    return df.withColumn(col, F.coalesce(vf.unit(F.col(col)), refused))
+    """Unit vectors in double; a vector that cannot be normalised stops the job that reads this."""
+
+    def unit(column):
+        m = matrix(column)
+        length = np.linalg.norm(m, axis=1)
+        if not (np.isfinite(length) & (length > 0)).all():
+            raise ValueError("zero or non-finite vector")
+        return [vectors_of(m / length[:, None])]
+
+    return map_vectors(df, [col], unit, [(col, "array<double>")])
 
 
 def invalid_vectors(df: DataFrame, col: str = "embedding") -> DataFrame:
@@ -134,13 +164,27 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int, groups: DataFrame |
 
 def int8_encode(df: DataFrame, col: str = "embedding") -> DataFrame:
     """Symmetric 8-bit codes with one scale per row."""
-    return df.withColumns({"scale": vf.int8_scale(F.col(col)), "codes": vf.int8_codes(F.col(col))}).drop(col)
+
+    def encode(column):
+        m = matrix(column)
+        peak = np.abs(m).max(axis=1)
+        scale = np.where(peak == 0, 1.0, peak / 127.0)
+        return [pa.array(scale), vectors_of(np.clip(np.rint(m / scale[:, None]), -127, 127).astype(np.int32))]
+
+    return map_vectors(df, [col], encode, [("scale", "double"), ("codes", "array<int>")])
 
 
 def int8_decode(df: DataFrame, renormalize: bool = True) -> DataFrame:
-    raw = F.transform("codes", lambda c: c.cast("double") * F.col("scale"))
-    out = df.withColumn("embedding", raw).drop("codes", "scale")
-    return out.withColumn("embedding", vf.unit(F.col("embedding"))) if renormalize else out
+    """Vectors from codes, renormalised; a zero vector cannot be and becomes null."""
+
+    def decode(scale, codes):
+        m = matrix(codes) * scale.to_numpy()[:, None]
+        if not renormalize:
+            return [vectors_of(m)]
+        length = np.linalg.norm(m, axis=1)
+        return [vectors_of(m / np.where(length == 0, 1.0, length)[:, None], length > 0)]
+
+    return map_vectors(df, ["scale", "codes"], decode, [("embedding", "array<double>")])
 
 
 # --- per-dimension 8-bit ----------------------------------------------------------------------------------------------
@@ -162,25 +206,27 @@ def sq8_train(df: DataFrame, col: str = "embedding") -> DataFrame:
     return partial.groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _ranges(ranges: DataFrame):
-    """The trained ranges as two array literals (one entry per dimension)."""
+def _ranges(ranges: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The trained ranges (one entry per dimension): lower ends and spans, 1 where flat."""
     rows = ranges.orderBy("dim").collect()
-    return F.lit([float(r["lo"]) for r in rows]), F.lit([float(r["hi"] - r["lo"]) or 1.0 for r in rows])
+    span = np.array([r["hi"] - r["lo"] for r in rows])
+    return np.array([r["lo"] for r in rows]), np.where(span == 0, 1.0, span)
 
 
 def sq8_encode(df: DataFrame, ranges: DataFrame, col: str = "embedding") -> DataFrame:
     lo, span = _ranges(ranges)
-    v = F.zip_with(F.zip_with(vf.as_double(F.col(col)), lo, lambda x, l: x - l), span, lambda x, s: x / s)
-    codes = F.transform(v, lambda x: F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * F.lit(255.0)).cast("int"))
-    return df.withColumn("codes", codes).drop(col)
+
+    def encode(column):
+        unit = np.clip((matrix(column) - lo) / span, 0.0, 1.0)
+        return [vectors_of(np.floor(unit * 255.0).astype(np.int32))]
+
+    return map_vectors(df, [col], encode, [("codes", "array<int>")])
 
 
 def sq8_decode(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """Middle of the code's step."""
     lo, span = _ranges(ranges)
-    unit = F.transform("codes", lambda c: (c.cast("double") + F.lit(0.5)) / F.lit(255.0))
-    v = F.zip_with(F.zip_with(unit, span, lambda x, s: x * s), lo, lambda x, l: x + l)
-    return df.withColumn("embedding", v).drop("codes")
+    return map_vectors(df, ["codes"], lambda c: [vectors_of((matrix(c) + 0.5) / 255.0 * span + lo)], [("embedding", "array<double>")])
 
 
 # --- frozen projections -----------------------------------------------------------------------------------------------
@@ -194,8 +240,7 @@ def project_affine(df: DataFrame, mean: Sequence[float], components: Sequence[Se
         for b in batches:
             y = (matrix(b.column(1)) - mu) @ comp
             y /= np.linalg.norm(y, axis=1, keepdims=True)
-            offsets = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))], names=["row_id", "projected"])
+            yield pa.RecordBatch.from_arrays([b.column(0), vectors_of(y)], names=["row_id", "projected"])
 
     return df.select(F.col("row_id").cast("long"), col).mapInArrow(run, "row_id long, projected array<double>")
 
