@@ -22,7 +22,8 @@ OFFSET_BYTES = 8
 def pack_offsets(payloads: DataFrame, shard: Sequence[str] = ("shard",), local: str = "local") -> DataFrame:
     """Start and end byte of every payload in its shard; a missing payload has a zero-length span.
 
-    payloads: shard, local, n_bytes (null when missing). A shard has at most 65,536 rows by the reference format.
+    payloads: shard, local, n_bytes (null when missing). A shard has at most 65,536 rows, since a packed
+    reference has 16 bits for the local row.
     """
     w = Window.partitionBy(*shard).orderBy(local).rowsBetween(Window.unboundedPreceding, 0)
     size = F.coalesce("n_bytes", F.lit(0)).cast("long")

@@ -129,7 +129,7 @@ def draw_violations(idx: DataFrame) -> DataFrame:
 
 
 def gather_by_ref(points: DataFrame, store: DataFrame) -> DataFrame:
-    """url, width, height of (shard, local_row) references; AQE splits a hot shard because the row is part of the key."""
+    """url, width, height of (shard, local_row) references. The row is part of the key, so a hot shard is spread evenly."""
     return points.join(store, ["shard", "local_row"])
 
 
