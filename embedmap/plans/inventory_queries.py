@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from embedmap.operators import inventory, metadata, voxels
 from embedmap.plans.data import G, GRID, VPC, assigned, table
-from embedmap.plans.metadata_queries import images, matching
+from embedmap.plans.metadata_queries import matching
 from embedmap.plans.registry import part, query
 from embedmap.session import cut
 from embedmap.sources import inventory_csv

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from embedmap.functions import grid
 from embedmap.operators import lod, voxels
-from embedmap.plans.data import G, GRID, VPC, assigned, records, summary, table, voxel_table
+from embedmap.plans.data import G, VPC, assigned, records, summary, table, voxel_table
 from embedmap.plans.registry import part, query
 
 
