@@ -32,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not sc.master.startswith("local"):
+            if sc.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("EMBEDMAP_SCRATCH", "/tmp"))
         sc.setCheckpointDir(named)
