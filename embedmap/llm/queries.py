@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from embedmap.llm import lines, packing, topk
+from embedmap.llm import lines, neardup, packing, substrings, topk
 from embedmap.llm.registry import query, table
 
 #: Tokenizer of the packing query; the files lie outside the repository.
@@ -43,6 +43,19 @@ def op2(spark, sf):
     return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.text", 256).alias("kept_sha256"))
 
 
+@query("op5_minhash_near_dedup")
+def op5(spark, sf):
+    """Classes of documents at 0.85 similarity of three-word shingles."""
+    return neardup.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
+
+
+@query("op7_substring_dedup")
+def op7(spark, sf):
+    """Words of every document, words in repeated windows of 35, and a digest of what stays."""
+    out = substrings.remove_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op8_packing")
 def op8(spark, sf):
     """Pieces of all documents in sequences of 4096 ids."""

@@ -23,6 +23,10 @@ def texts(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
+def raw(text: str | None) -> bytes:
+    return b"" if text is None else text.encode()
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Runs of consecutive texts of at most ``limit`` bytes together, each with the index of its first text."""
     sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).tolist()
