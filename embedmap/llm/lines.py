@@ -27,9 +27,10 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: Lines per bitmap word (the sign bit stays free).
 WORD = 63
-#: Rows of one hash range above which its rows are dealt to lanes, and rows per lane.
-CROWDED = 100_000
-LANE_ROWS = 25_000
+#: A hash range is crowded if it has more rows than this and than ``TIMES_MEAN`` mean ranges; a lane has a quarter of that.
+CROWDED = 4096
+TIMES_MEAN = 8
+RANGES = 1 << 16
 
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,11 +57,12 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
         "doc", "sig", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def dropped_lines(lines: DataFrame, min_docs: int = MIN_DOCS, crowded: int = CROWDED, lane_rows: int = LANE_ROWS) -> DataFrame:
+def dropped_lines(lines: DataFrame, min_docs: int = MIN_DOCS, crowded: int = CROWDED) -> DataFrame:
     """(doc, sig, pos) of the lines that go."""
     spread = F.shiftrightunsigned("h1", 48)
-    ranges = lines.groupBy(spread.alias("range")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded)
-    ranges = ranges.select("range", F.ceil(F.col("n") / lane_rows).alias("lanes"))  # at most 65,536 rows
+    limit = max(crowded, TIMES_MEAN * lines.count() // RANGES)
+    ranges = lines.groupBy(spread.alias("range")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    ranges = ranges.select("range", F.ceil(4 * F.col("n") / limit).alias("lanes"))  # at most RANGES / TIMES_MEAN rows
     lane = F.when(F.col("lanes").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("doc"), F.col("lanes")))
     dealt = lines.withColumn("range", spread).join(F.broadcast(ranges), "range", "left").select("doc", "sig", "pos", "h1", "h2", lane.alias("lane"))
 
@@ -89,11 +91,11 @@ def drop_bitmaps(dropped: DataFrame) -> DataFrame:
     return words.groupBy("doc", "sig").agg(F.collect_list(F.struct("word", "bits")).alias("drops"))
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, crowded: int = CROWDED, lane_rows: int = LANE_ROWS,
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, crowded: int = CROWDED,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Compressed bitmaps (doc, sig, drops) of all documents that lose a line."""
     lines = stored(hashed_lines(docs, min_chars, id_col, text_col))
-    return drop_bitmaps(dropped_lines(lines, min_docs, crowded, lane_rows))
+    return drop_bitmaps(dropped_lines(lines, min_docs, crowded))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from embedmap.llm import lines, neardup, packing, substrings, topk
+from embedmap.llm import hostrules, lines, mixing, neardup, packing, substrings, topk
 from embedmap.llm.registry import query, table
 
 #: Tokenizer of the packing query; the files lie outside the repository.
@@ -43,6 +43,102 @@ def op2(spark, sf):
     return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.text", 256).alias("kept_sha256"))
 
 
+QUALITY_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), base AS (
+  SELECT doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
+    list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines, w FROM cut
+), grams AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 8], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS i FROM base WHERE len(w) >= 8)
+), twice AS (
+  SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(8)) AS k FROM twice) GROUP BY doc_id
+), counted AS (
+  SELECT b.doc_id, coalesce(source, '') AS host, n_words, word_chars, n_symbols, n_upper, len(full_lines) AS n_lines,
+    len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM base b LEFT JOIN repeated r ON b.doc_id = r.doc_id
+), rules AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    [4 * n_symbols > n_words, 2 * n_upper > word_chars, n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines, word_chars > 12 * n_words] AS f FROM counted
+), long AS (
+  SELECT host, r, f[r] AS failed FROM rules, (SELECT unnest([1, 2, 3, 4]) AS r)
+), hosts AS (
+  SELECT host, r, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM long GROUP BY host, r
+), moments AS (
+  SELECT r, sum(k) / sum(n) AS m, sum(n) / count(*) AS size, sum(n * (k / n) * (k / n)) / sum(n) - pow(sum(k) / sum(n), 2) AS v FROM hosts GROUP BY r
+), prior AS (
+  SELECT r, m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) / greatest(size, 1.0), 1e-9) - 1, 1.0), 1000.0) AS strength FROM moments
+), strict AS (
+  SELECT host, r FROM hosts JOIN prior USING (r) WHERE (k + m * strength) / (n + strength) > 0.01
+), against AS (
+  SELECT DISTINCT doc_id FROM (SELECT doc_id, host, unnest([1, 2, 3, 4]) AS r, f FROM rules) x JOIN strict USING (host, r) WHERE f[r]
+)
+SELECT rules.doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND against.doc_id IS NULL AS kept
+FROM rules LEFT JOIN against ON rules.doc_id = against.doc_id
+"""
+
+
+@query("op4_host_rules", QUALITY_SQL)
+def op4(spark, sf):
+    """Counts of every document, the base rule, and the verdict with its host's record."""
+    out = hostrules.judge(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", *[f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+MIX_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(source, '') AS s,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) + 1 AS tokens FROM documents
+), sources AS (
+  SELECT s, CAST(sum(tokens) AS BIGINT) AS total FROM docs GROUP BY s
+), shares AS (
+  SELECT s, total, total / (SELECT sum(total) FROM sources) AS share FROM sources
+), grid AS (
+  SELECT k, k / 1048576 AS t FROM (SELECT unnest(range(1048577)) AS k)
+), even AS (
+  SELECT coalesce(max(k), -1) AS k FROM (
+    SELECT k, ln(sum(pow(share, t))) - t * sum(pow(share, t) * ln(share)) / sum(pow(share, t)) AS h FROM grid, shares GROUP BY k, t)
+  WHERE h >= 0.98 * ln((SELECT count(*) FROM shares))
+), extremes AS (
+  SELECT min(share) AS least, max(share) AS most FROM shares
+), over AS (
+  SELECT coalesce(max(k), -1) AS k FROM grid, extremes WHERE t < 1 AND pow(least / most, t - 1) > 4
+), chosen AS (
+  SELECT CASE WHEN (SELECT count(*) FROM shares) < 2 THEN 1.0
+    ELSE least(greatest(even.k, over.k + 1, 0), 1048576) / 1048576 END AS t FROM even, over
+), norm AS (
+  SELECT t, sum(pow(share, t)) AS z FROM shares, chosen GROUP BY t
+), budgets AS (
+  SELECT s, total, greatest(CAST(floor(pow(share, t) / z * ((SELECT max(total) FROM shares) / (pow(most, t) / z)) + 1e-6) AS BIGINT), total) AS budget
+  FROM shares, norm, extremes
+), drawn AS (
+  SELECT doc_id, source, s, total, budget, tokens, unnest(range(CAST(ceil(budget / total) AS BIGINT))) AS epoch FROM docs JOIN budgets USING (s)
+), placed AS (
+  SELECT *, epoch * total + coalesce(sum(tokens) OVER (PARTITION BY s, epoch ORDER BY md5('7:' || epoch || ':' || doc_id), doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM drawn
+), blocks AS (
+  SELECT greatest(1, CAST(ceil(sum(budget) / 1048576) AS BIGINT)) AS n FROM budgets
+)
+SELECT doc_id, source, epoch, CAST(least(CAST(begins AS HUGEINT) * n // budget, n - 1) AS BIGINT) AS block, CAST(tokens AS BIGINT) AS tokens,
+  total AS source_tokens, budget AS source_budget
+FROM placed, blocks WHERE begins + tokens <= budget
+"""
+
+
+@query("op6_temperature_mix", MIX_SQL)
+def op6(spark, sf):
+    """Every draw of every document in a mix of all sources that covers them and repeats none more than four times."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_tokens"))
+    out = mixing.mix(docs, tokens=F.col("n_tokens"))
+    return out.select("doc_id", "source", *[f"_mix.{c}" for c in ("epoch", "block", "tokens", "source_tokens", "source_budget")])
+
+
 @query("op5_minhash_near_dedup")
 def op5(spark, sf):
     """Classes of documents at 0.85 similarity of three-word shingles."""
