@@ -32,7 +32,11 @@ from embedmap.llm.words import slices, split_words, texts
 #: Documents per posterior class on which the scorer is fitted, and labelled documents from which the lexicon is drawn.
 SAMPLE = 6000
 LABELLED = 20_000
+#: A lexicon word is held by so many toxic documents, and by this share of them.
 LEXICON_DOCS = 5
+LEXICON_OF_TOXIC = 0.01
+#: Weight of all unlabelled documents together against the labelled ones.
+UNLABELLED = 0.2
 LEXICON_SHARE = 0.8
 LEXICON_WORDS = 20_000
 FEATURES = 1 << 18
@@ -139,8 +143,9 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> list[str]:
     some = labels.filter(F.col("toxic").isNotNull()).orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(LABELLED)
     held = docs.join(F.broadcast(some.select("id", "toxic")), "id").select(
         "toxic", F.explode(F.array_distinct(F.transform(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.lower(F.btrim(w, F.lit(_EDGE)))))).alias("word"))
+    least = max(LEXICON_DOCS, LEXICON_OF_TOXIC * (some.agg(F.sum("toxic")).first()[0] or 0))
     by_word = held.filter(F.char_length("word") >= 3).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
-    chosen = by_word.filter((F.col("bad") >= LEXICON_DOCS) & (F.col("bad") >= LEXICON_SHARE * F.col("n")))
+    chosen = by_word.filter((F.col("bad") >= least) & (F.col("bad") >= LEXICON_SHARE * F.col("n")))
     return sorted(r.word for r in chosen.orderBy(F.desc("bad"), "word").limit(LEXICON_WORDS).collect())
 
 
@@ -155,6 +160,10 @@ def fit_votes(patterns: np.ndarray, gold: np.ndarray, counts: np.ndarray, labell
     said, against = (votes == 1).sum(1), (votes == 0).sum(1)
     q = (0.4 + 2 * said) / (1 + 2 * said + against)
     q = np.where(gold >= 0, gold, q).astype(float)
+    # Many unlabelled rows would turn the classes into whatever else divides the corpus; together they weigh a fifth of the known ones.
+    known, free = counts[gold >= 0].sum(), counts[gold < 0].sum()
+    if known and free:
+        counts = np.where(gold >= 0, counts, counts * min(1.0, UNLABELLED * known / free))
     for _ in range(rounds):
         weight = np.stack([counts * (1 - q), counts * q])
         rates = (np.einsum("cn,njv->cjv", weight, onehot) + 1.0) / (weight.sum(1)[:, None, None] + 3.0)
