@@ -244,8 +244,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD, id
     """(doc, sig, first, last): spans of consecutive repeated windows, by first word; sig tells apart rows of one id."""
     keyed = _keyed(docs, id_col, text_col)
     found = stored(keyed.mapInArrow(_anchors(window), "anchor long, whole long, doc long, sig long, start int, windows int"))
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("anchor")
-    filed = stored(found.join(again.hint("shuffle_hash"), "anchor", "left_semi"))
+    # Stored first, so that both sides of the join are plain exchanges, whose crowded partitions Spark can split.
+    again = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("anchor"))
+    filed = stored(found.join(again, "anchor", "left_semi"))
     counted = stored(filed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "start", "windows")).alias("one")))
     copies = filed.join(counted.filter(F.col("n") > 1).select("anchor", "whole"), ["anchor", "whole"], "left_semi")
     copies = copies.select(*_KEY, F.col("start").cast("long").alias("first"), (F.col("start") + F.col("windows") - 1).cast("long").alias("last"))
