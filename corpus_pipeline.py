@@ -1 +1,62 @@
-"""Pipeline (stages follow)."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate dedup, mixing, packing.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame over the whole of what the stage before it kept; all but the last return
+the columns of ``docs``. ``run`` writes every stage as Parquet to the shared folder and reads it back for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from embedmap.llm import hostrules, lines, mixing, neardup, packing
+from embedmap.llm.queries import tokenizer_path
+from embedmap.llm.registry import query, table
+from embedmap.llm.tables import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and aren't rejected with their host's record."""
+    return hostrules.judge(docs).filter("_quality.kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that other documents repeat; n_chars follows the text."""
+    out = lines.dedup_lines(docs)
+    changed = F.col("_lines.n_dropped") > 0
+    new = {"text": F.when(changed, F.col("_lines.text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.char_length("_lines.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(new).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts with 0.8 similarity of five-word shingles, the one with the smallest id."""
+    verdicts = neardup.near_duplicates(docs, width=5, percent=80)
+    goes = stored(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_goes")).distinct())
+    return docs.join(goes.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_goes"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mix of sources: every document at least once, those of scarce sources up to four times."""
+    return mixing.mix(docs, budget="cover").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences of 4096 ids."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
+
+#: Packing needs a tokenizer, which SQL doesn't have; the tests hold the pipeline against a plain Python version.
+ORACLE_SQL = None
+
+
+@query("pipeline", ORACLE_SQL)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

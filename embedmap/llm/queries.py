@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from embedmap.llm import hostrules, lines, mixing, neardup, packing, substrings, topk
+from embedmap.llm import hostrules, lines, mixing, neardup, packing, substrings, topk, urltree, warc, weaklabels
 from embedmap.llm.registry import query, table
 
 #: Tokenizer of the packing query; the files lie outside the repository.
@@ -17,6 +17,58 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+WARC_SQL = r"""
+WITH source AS (
+  SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS body,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) AS http
+  FROM pages
+), named AS (
+  SELECT *, md5('response ' || coalesce(page_id::VARCHAR, 'null') || ' ' || uri) AS h, chr(13) || chr(10) AS e,
+    'sha256:' || sha256(http || chr(13) || chr(10) || chr(13) || chr(10) || body) AS block_digest, 'sha256:' || sha256(body) AS payload_digest FROM source
+), linked AS (
+  SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS id,
+    regexp_replace(regexp_replace(regexp_replace(body, '(?is)<script[^>]*>.*?(</script[ \t\r\n]*>|\z)|<style[^>]*>.*?(</style[ \t\r\n]*>|\z)|<!--.*?(-->|\z)', ' ', 'g'),
+      '(?i)</?(p|div|br|hr|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|title|head|body|html|main|form|pre|blockquote)(/?>|[ \t\r\n][^>]*>)', chr(10), 'g'),
+      '(?s)<[a-zA-Z/!?][^>]*>', '', 'g') AS bare FROM named
+), decoded AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(replace(bare, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(32)), '&amp;', '&') AS raw FROM linked
+), texts AS (
+  SELECT *, trim(regexp_replace(regexp_replace(raw, '[ \t\r\x0B\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text,
+    trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>([^<]*)', 1), '[ \t\r\n]+', ' ', 'g'), ' ') AS title FROM decoded
+), blocks AS (
+  SELECT page_id, id, uri, payload_digest, 'conversion' AS type, 'text/plain; charset=utf-8' AS content_type, text AS block FROM texts
+  UNION ALL
+  SELECT page_id, id, uri, payload_digest, 'metadata', 'application/warc-fields', 'source-record-id: ' || id || e || 'source-status: 200' || e
+    || 'source-header-Content-Type: text/html; charset=utf-8' || e || 'source-header-Content-Length: ' || strlen(body) || e || 'source-block-digest: ' || block_digest || e
+    || 'source-payload-digest: ' || payload_digest || e || 'title: ' || title || e || 'text-digest: sha256:' || sha256(text) || e || 'text-chars: ' || length(text) || e FROM texts
+), ids AS (
+  SELECT *, md5(type || ' ' || id) AS h FROM blocks
+)
+SELECT page_id, type, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS record_id, id AS refers_to,
+  uri AS target_uri, '1970-01-01T00:00:00Z' AS date, content_type, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest, block
+FROM ids
+"""
+
+
+@query("op1_warc_derivatives", WARC_SQL)
+def op1(spark, sf):
+    """A metadata record and a plain-text conversion record of every page."""
+    return warc.derive(warc.responses(table(spark, sf, "pages")))
+
+
+#: Rules of the URL query.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query("op3_url_templates")
+def op3(spark, sf):
+    """Host, path, rule and verdict of every page; pages whose document label is toxic or of low quality are the unwanted ones."""
+    labels = table(spark, sf, "labels")
+    unwanted = labels.select(F.col("doc_id").alias("id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("unwanted"))
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return urltree.judge_urls(pages, unwanted, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 LINE_SQL = r"""
 WITH cut AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -158,6 +210,14 @@ def op8(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_path())
 
 
+@query("op9_weak_labels")
+def op9(spark, sf):
+    """Posterior and score of every document for each target, and whether it is kept."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = weaklabels.weak_scores(docs, table(spark, sf, "labels"))
+    return out.select("doc_id", "_weak.*")
+
+
 TOPK_SQL = r"""
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
