@@ -6,10 +6,12 @@ probability below 2e-7 at 0.8 and 3e-10 at 0.85. The samples, folded into 512 pa
 sketches counts how many samples differ, and so estimates a high similarity before any text is looked at. A pair is a link only
 if the full sets confirm it.
 
-Within a band's bucket every node is first compared with the smallest one. Only nodes whose classes are still different meet
-again: in blocks of 512 nodes inside tasks, which send on each node's most similar partner of another class, and last
-every pair of different classes that the sketches let through and that wasn't compared. A bucket of copies so costs one
-comparison per copy, a bucket of any size is spread over tasks by block pairs, and no link between classes is lost.
+Within a band's bucket every node is first compared with the smallest one, which costs one comparison per copy. What is still
+apart after that meets in blocks inside tasks: nodes outside the smallest node's class meet each other and that class, while the
+class doesn't meet itself. Sketches and sizes tell which nodes could be linked; their connections form families, and the blocks of a
+family meet once more with the full sets, which are compared pair by pair until everything that is linked is in one class.
+Tasks hand on one link per joined node, not pairs, and full sets travel once per meeting, so a group of copies or near copies of
+any size is spread over tasks and no link between classes is lost.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing; so are rows with a null id; a text with fewer
 words than a shingle is one shingle; texts with equal sets are linked; rows with one id are one document, linked by any of their
@@ -37,8 +39,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Standard deviations of the estimate that a pair may lie below the threshold and still be compared in full.
 MARGIN = 4.5
-#: Nodes of a bucket that meet in one block.
-BLOCK = 512
+#: Nodes of one side that meet in one task at a time.
+BLOCK = 256
 
 _SHAPE = "doc_id long, n_shingles long, hi long, lo long, bands array<long>, sketch array<long>"
 
@@ -127,65 +129,120 @@ def _sets_of(width: int):
                 sets = list(shingle_sets(some, width))
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 print_ = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-                yield pa.record_batch([b.column(0).slice(first, len(some)), pa.array(signed(np.array(print_, np.uint64))),
-                                       pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sets))))], names=["id", "print", "grams"])
+                yield pa.record_batch([b.column(0).slice(first, len(some)), pa.array(signed(np.array(print_, np.uint64))), pa.array(np.diff(ends)),
+                                       pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sets))))], names=["id", "print", "n", "grams"])
 
     return run
 
 
-def _meet(most: int, percent: int, best_only: bool):
-    """Pairs of a block pair (key, i, j) whose classes differ and whose sketches and sizes allow a link."""
-
-    def pairs(ids, classes, sizes, blocks, i, j, sketches) -> list[np.ndarray]:
-        left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
-        found = []
-        for lo in range(0, len(left), 128):
-            rows = left[lo:lo + 128]
-            bits = np.bitwise_count(sketches[rows][:, None, :] ^ sketches[right][None, :, :]).sum(2, dtype=np.int32)
-            small, large = np.minimum(sizes[rows][:, None], sizes[right]), np.maximum(sizes[rows][:, None], sizes[right])
-            fit = (bits <= most) & (classes[rows][:, None] != classes[right]) & (100 * small >= percent * large)
-            if best_only:
-                bits = np.where(fit, bits, SKETCH_BITS + 1)
-                near, far = bits.argmin(1), bits.argmin(0)
-                a = np.flatnonzero(fit.any(1))
-                c = np.flatnonzero(fit.any(0))
-                found += [np.stack([ids[rows[a]], ids[right[near[a]]]]), np.stack([ids[rows[far[c]]], ids[right[c]]])]
-            else:
-                x, y = np.nonzero(fit)
-                found.append(np.stack([ids[rows[x]], ids[right[y]]]))
-        return found
+def _allowed(left: dict, right: dict, most: int, percent: int) -> np.ndarray:
+    """Which pairs of the two sides could be linked: other class, sketches and sizes near enough."""
+    bits = np.bitwise_count(left["sketch"][:, None, :] ^ right["sketch"][None, :, :]).sum(2, dtype=np.int32)
+    small, large = np.minimum(left["n"][:, None], right["n"]), np.maximum(left["n"][:, None], right["n"])
+    fit = (bits <= most) & (left["class"][:, None] != right["class"]) & (100 * small >= percent * large)
+    return np.where(fit, bits, SKETCH_BITS + 1)
+
+
+def _joined(left: dict, right: dict, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every node that could be linked, with the smallest node it is connected to over such pairs."""
+    fit = _allowed(left, right, most, percent) <= SKETCH_BITS
+    far = np.iinfo(np.int64).max
+    a, b = left["id"].copy(), right["id"].copy()
+    while True:
+        new_a = np.minimum(a, np.where(fit, b, far).min(1))
+        new_b = np.minimum(b, np.where(fit, new_a[:, None], far).min(0))
+        if (new_a == a).all() and (new_b == b).all():
+            break
+        a, b = new_a, new_b
+    ids, roots = np.concatenate([left["id"], right["id"]]), np.concatenate([a, b])
+    moved = ids != roots
+    return roots[moved], ids[moved]
+
+
+def _linked(left: dict, right: dict, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links confirmed on the full sets, as many as it takes to join what is linked; the most similar pairs are tried first."""
+    bits = _allowed(left, right, most, percent)
+    rows, cols = np.nonzero(bits <= SKETCH_BITS)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for k in np.argsort(bits[rows, cols], kind="stable").tolist():
+        x, y = rows[k], cols[k]
+        p, q = find(int(left["class"][x])), find(int(right["class"][y]))
+        if p != q:
+            g, h = left["grams"][x], right["grams"][y]
+            common = len(np.intersect1d(g, h, assume_unique=True))
+            if 100 * common >= percent * (len(g) + len(h) - common):
+                parent[max(p, q)] = min(p, q)
+                out.append((left["id"][x], right["id"][y]))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs.min(1), pairs.max(1)
+
+
+def _meet(compare, most: int, percent: int, grams: bool):
+    """Kernel over rows (key, i, j, id, class, n, block, sketch[, grams]) sorted by key, i, j: ``compare`` for blocks i and j of each."""
+
+    def side(t: pa.Table, at: np.ndarray) -> dict:
+        some = t.take(pa.array(at))
+        flat = lambda name: some.column(name).combine_chunks().flatten().to_numpy()
+        out = {c: some.column(c).to_numpy() for c in ("id", "class", "n")}
+        out["sketch"] = flat("sketch").view(np.uint64).reshape(len(at), -1)
+        if grams:
+            out["grams"] = np.split(flat("grams"), np.cumsum(out["n"])[:-1])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
 
-        def groups(last: bool) -> Iterator[np.ndarray]:
+        def groups(last: bool) -> Iterator[tuple]:
             nonlocal held
-            table = np.concatenate(held) if len(held) > 1 else held[0]
-            new = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(1)) + 1
-            cuts = [0, *new.tolist()] + ([len(table)] if last else [])
+            t = pa.Table.from_batches(held)
+            keys = np.column_stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()] + ([len(t)] if last else [])
+            classes, blocks = t.column("class").to_numpy(), t.column("block").to_numpy()
             for s, e in zip(cuts[:-1], cuts[1:]):
-                yield table[s:e]
-            held = [] if last else [table[cuts[-1]:]]
-
-        def out(tables) -> Iterator[pa.RecordBatch]:
-            found = []
-            for t in tables:
-                if (t[:, 4] != t[0, 4]).any():
-                    found += pairs(t[:, 3], t[:, 4], t[:, 5], t[:, 6], t[0, 1], t[0, 2], t[:, 7:].view(np.uint64))
-            if found and (both := np.concatenate(found, axis=1)).shape[1]:
-                yield pa.record_batch([pa.array(both.min(0)), pa.array(both.max(0))], names=["a", "b"])
+                if (classes[s:e] != classes[s]).any():
+                    left, right = s + np.flatnonzero(blocks[s:e] == keys[s, 1]), s + np.flatnonzero(blocks[s:e] == keys[s, 2])
+                    if len(left) and len(right):
+                        yield side(t, left), side(t, right)
+            held = [] if last else t.slice(cuts[-1]).combine_chunks().to_batches()
+
+        def out(meetings) -> Iterator[pa.RecordBatch]:
+            found = [compare(left, right, most, percent) for left, right in meetings]
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
             if b.num_rows:
-                cols = [b.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
-                held.append(np.column_stack([*cols, b.column(7).flatten().to_numpy().reshape(b.num_rows, -1)]))
-                yield from out(groups(False))
+                held.append(b)
+                first, end = held[0], b.num_rows - 1
+                if any(first.column(c)[0] != b.column(c)[end] for c in (0, 1, 2)):
+                    yield from out(groups(False))
         if held:
             yield from out(groups(True))
 
     return run
 
 
+def _meetings(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (key, id, class, main, ...) repeated for the blocks they have to meet: others with others and with the main class."""
+    own = F.col("class") == F.col("main")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count_if(~own) / BLOCK).alias("others"), F.ceil(F.count_if(own) / BLOCK).alias("mains"))
+    rows = rows.join(stored(sizes.filter(F.col("others") > 0)), "key")
+    mine = F.pmod(F.xxhash64("id"), F.when(own, F.col("mains")).otherwise(F.col("others")))
+    rows = rows.withColumn("block", F.when(own, F.col("others") + mine).otherwise(mine))
+    partners = F.when(own, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), partners - 1)))
+    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "class", "n", "block", *columns)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 class NearDuplicates:
     """Classes of texts whose shingle sets reach ``percent`` / 100 similarity, directly or over others."""
 
@@ -200,11 +257,14 @@ class NearDuplicates:
         shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
         self.shared = stored(keyed.join(shared, "key"))
 
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
+    def _sets(self) -> DataFrame:
+        """(id, n, grams) of every node that shares a bucket."""
+        wanted = stored(self.shared.select(F.col("id").alias("doc_id")).distinct())
+        sets = self.docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets_of(self.width), "id long, print long, n int, grams array<long>")
+        return stored(sets.groupBy("id", "print").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).drop("print"))
+
+    def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the similarity."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets_of(self.width), "id long, print long, grams array<long>")
-        sets = sets.groupBy("id", "print").agg(F.first("grams").alias("grams"))
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
         both = both.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
         common = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -224,34 +284,25 @@ class NearDuplicates:
         near = near.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).filter(self._bits("sketch_a", "sketch_b") <= self.most)
         return near.select("a", "b")
 
-    def open_pairs(self, classes: DataFrame, best_only: bool) -> DataFrame:
-        """Pairs of different classes in one bucket, met block by block."""
-        named = self.nodes.select("id", "n", "sketch").join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-        rows = self.shared.select("key", "id", "members").join(named, "id")
-        mixed = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter(F.col("low") < F.col("high")).select("key")
-        blocks = F.ceil(F.col("members") / BLOCK)
-        rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "class", "n", "block", "sketch")
-        met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return met.mapInArrow(_meet(self.most, self.percent, best_only), "a long, b long").distinct()
-
     def classes(self) -> DataFrame:
         """(id, component) of all nodes that belong to a class, but for the smallest of each."""
-        tested = stored(self.star_pairs())
-        links = stored(self._confirmed(tested))
+        sets = self._sets()
+        links = stored(self._confirmed(self.star_pairs(), sets))
         found = components(links)
-        for best_only in (True, False):
-            pairs = stored(self.open_pairs(found, best_only).join(tested, ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
-                if best_only:
-                    continue
-                break
-            more = stored(self._confirmed(pairs))
-            tested, links = tested.unionByName(pairs), links.unionByName(more)
-            if not more.isEmpty():
-                found = components(links)
-        return found
+        named = self.nodes.select("id", "n", "sketch").join(found, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+        named = stored(named.join(self.shared.select("id").distinct(), "id", "left_semi"))
+        # Nodes that could be linked, bucket by bucket; the main class of a bucket is that of its smallest node.
+        main = named.select(F.col("id").alias("leader"), F.col("class").alias("main"))
+        rows = self.shared.select("key", "leader", "id").join(main, "leader").join(named, "id")
+        joined = _meetings(rows.drop("leader"), ["sketch"]).mapInArrow(_meet(_joined, self.most, self.percent, False), "a long, b long")
+        families = components(joined)
+        heads = families.select(F.col("component").alias("id"), F.col("component").alias("key")).distinct()
+        members = stored(families.select("id", F.col("component").alias("key")).unionByName(heads).join(named, "id"))
+        counted = members.groupBy("key", "class").count()
+        main = stored(counted.groupBy("key").agg(F.max_by("class", F.struct("count", "class")).alias("main")))
+        rows = members.drop("n").join(main, "key").join(sets, "id")
+        more = _meetings(rows, ["sketch", "grams"]).mapInArrow(_meet(_linked, self.most, self.percent, True), "a long, b long")
+        return components(links.unionByName(stored(more)))
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of every row."""
