@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embedmap.llm.tables import small
+from embedmap.llm.tables import small, stored
 from embedmap.llm.words import mix, rolling, slices, split_words, texts
 
 REPEAT_WINDOW = 8
@@ -132,7 +132,7 @@ def soft_rules() -> dict[str, Column]:
 def host_rates(counted: DataFrame, host: Column) -> DataFrame:
     """One row per host: documents and, per soft rule, failures and the rate shrunk by the empirical beta prior."""
     rules = soft_rules()
-    hosts = counted.groupBy(host.alias("_host")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(r).alias(f"f_{name}") for name, r in rules.items()])
+    hosts = stored(counted.groupBy(host.alias("_host")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(r).alias(f"f_{name}") for name, r in rules.items()]))
     moments = []
     for name in rules:
         f, rate = F.col(f"f_{name}"), F.col(f"f_{name}") / F.col("n")
