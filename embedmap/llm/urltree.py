@@ -121,7 +121,7 @@ def judged_templates(paths: DataFrame, purity: float = PURITY, strength: float =
     by_template = paths.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     by_host = by_template.groupBy("host").agg(((F.sum("bad") + base * strength) / (F.sum("labelled") + strength)).alias("prior"))
     rate = (F.col("bad") + F.col("prior") * strength) / (F.col("labelled") + strength)
-    return by_template.join(by_host, "host").select("host", "template", rate.alias("purity"), (rate >= purity).alias("rejected"))
+    return by_template.join(by_host, "host").select("host", "template", rate.alias("purity"), ((F.col("labelled") > 0) & (rate >= purity)).alias("rejected"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url",
