@@ -14,8 +14,14 @@ VOXEL_CHUNKS = 1 << 20    # chunks in a packed voxel
 U32 = 1 << 32
 
 
+def _guarded(packed: Column, ok: Column, known: Column, what: str) -> Column:
+    """``packed`` where ``ok``; null for null parts; any other value stops the job instead of spilling into the next field."""
+    return F.when(ok, packed).when(known, F.raise_error(F.lit(f"{what} out of range")).cast("long"))
+
+
 def pack_ref(shard: Column, local: Column) -> Column:
-    return shard.cast("long") * REF_LOCALS + local.cast("long")
+    packed = shard.cast("long") * REF_LOCALS + local.cast("long")
+    return _guarded(packed, ref_in_range(shard, local), shard.isNotNull() & local.isNotNull(), "shard or local row of a packed reference")
 
 
 def unpack_ref(ref: Column) -> tuple[Column, Column]:
@@ -28,7 +34,8 @@ def ref_in_range(shard: Column, local: Column) -> Column:
 
 
 def pack_point(corpus: Column, row_id: Column) -> Column:
-    return F.shiftleft(corpus.cast("long"), 28).bitwiseOR(row_id.cast("long"))
+    packed = F.shiftleft(corpus.cast("long"), 28).bitwiseOR(row_id.cast("long"))
+    return _guarded(packed, point_in_range(corpus, row_id), corpus.isNotNull() & row_id.isNotNull(), "corpus or row id of a packed point")
 
 
 def unpack_point(packed: Column) -> tuple[Column, Column]:
@@ -41,7 +48,8 @@ def point_in_range(corpus: Column, row_id: Column) -> Column:
 
 
 def pack_voxel(chunk: Column, local: Column) -> Column:
-    return F.shiftleft(chunk.cast("long"), 12).bitwiseOR(local.cast("long"))
+    packed = F.shiftleft(chunk.cast("long"), 12).bitwiseOR(local.cast("long"))
+    return _guarded(packed, voxel_in_range(chunk, local), chunk.isNotNull() & local.isNotNull(), "chunk or local id of a packed voxel")
 
 
 def unpack_voxel(packed: Column) -> tuple[Column, Column]:

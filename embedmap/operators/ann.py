@@ -8,34 +8,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedmap.operators.ordering import limit_per_group, md5_priority, union_all
-from embedmap.operators.vectors import HITS, TopK, matrix, query_blocks, scores
+from embedmap.operators.vectors import HITS, TopK, matrix, query_blocks, row_slices, scores
 
-TRAIN_ROWS = 65_536
-CODES = 256
+CODES = 256  # largest codebook: a code is one byte
 
 
-def train_sample(base: DataFrame, n: int, seed: int, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` vectors for training, chosen by a seeded hash (a sampling operator, as the training asks for)."""
-    if n <= rows:
-        return base
-    # The hash prefix is uniform: keep a little more than needed without a sort, then take the exact number.
-    share = min(1.0, 1.2 * rows / n + 100.0 / n)
-    prefix = F.conv(F.substring(md5_priority(seed, "row_id"), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    near = base.filter(prefix < share)
-    return near.orderBy(md5_priority(seed, "row_id"), "row_id").limit(rows)
-
-
-def list_count(n: int, wanted: int | None = None) -> int:
-    """Number of coarse lists: never above sqrt(n)."""
-    return max(1, min(wanted or n, int(n**0.5)))
+def seeded_rows(base: DataFrame, k: int, seed: int) -> np.ndarray:
+    """Vectors of the k first rows by a seeded hash."""
+    rows = base.select(F.col("row_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"), md5_priority(seed, "row_id").alias("_p"))
+    found = [r.e for r in rows.orderBy("_p", "row_id").limit(k).collect()]
+    if len(found) < k:
+        raise ValueError(f"{k} rows wanted, {len(found)} there")
+    return np.array(found)
 
 
 @dataclass
@@ -46,10 +37,14 @@ class Ivf:
     metric: str = "ip"
 
 
-def ivf_train(base: DataFrame, n: int, lists: int | None = None, seed: int = 0, metric: str = "ip") -> Ivf:
-    sample = train_sample(base, n, seed).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=list_count(n, lists), seed=seed, maxIter=20, featuresCol="features").fit(sample)
-    return Ivf(np.array(model.clusterCenters()), metric)
+def ivf_train(base: DataFrame, lists: int, seed: int = 0, metric: str = "ip", iterations: int = 20) -> Ivf:
+    """k-means over all rows of ``base``. To train on fewer, pass fewer."""
+    rows = base.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = KMeans(k=lists, seed=seed, maxIter=iterations, featuresCol="features").fit(rows)
+    centres = np.array(model.clusterCenters())
+    if len(centres) < lists:
+        raise ValueError(f"{lists} lists wanted, the rows give {len(centres)}")
+    return Ivf(centres, metric)
 
 
 def nearest_centroid(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -74,6 +69,11 @@ def write_ivf(index: DataFrame, path: str) -> None:
     index.repartitionByRange("list_id", "row_id").sortWithinPartitions("list_id", "row_id").write.mode("errorifexists").parquet(path)
 
 
+def read_ivf(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index; a search's filter on its lists reaches the scan, which skips row groups by it."""
+    return spark.read.parquet(path)
+
+
 def probes(ivf: Ivf, q: np.ndarray, nprobe: int) -> np.ndarray:
     """The nearest lists of every query."""
     c = ivf.centroids
@@ -100,12 +100,13 @@ def ivf_search(index: DataFrame, ivf: Ivf, queries: DataFrame, k: int, nprobe: i
             ids, vectors, plan = shared.value
             best = TopK(len(ids), k)
             for b in batches:
-                rows, lists, x = b.column(0).to_numpy(), b.column(2).to_numpy(), matrix(b.column(1))
-                for l in np.unique(lists):
-                    mine, here = plan[int(l)], lists == l
-                    s = scores(ivf.metric, x[here], vectors[mine])
-                    for j, i in enumerate(mine):
-                        best.add(i, rows[here], s[j])
+                for some in row_slices(b, len(ids)):
+                    rows, lists, x = some.column(0).to_numpy(), some.column(2).to_numpy(), matrix(some.column(1))
+                    for l in np.unique(lists):
+                        mine, here = plan[int(l)], lists == l
+                        s = scores(ivf.metric, x[here], vectors[mine])
+                        for j, i in enumerate(mine):
+                            best.add(i, rows[here], s[j])
             yield best.batch(ids)
 
         parts.append(wanted.select("row_id", "embedding", "list_id").mapInArrow(run, HITS))
@@ -114,35 +115,42 @@ def ivf_search(index: DataFrame, ivf: Ivf, queries: DataFrame, k: int, nprobe: i
 
 # --- product quantisation ---------------------------------------------------------------------------------------------
 
-def code_count(n: int) -> int:
-    """256 codes, fewer on small data."""
-    return max(1, min(CODES, n // 4))
-
-
-def pq_train(base: DataFrame, n: int, m: int, seed: int = 0, iterations: int = 15) -> np.ndarray:
-    """Codebooks (m, codes, d/m). Each sub-space is one task over the bounded training sample."""
-    k = code_count(min(n, TRAIN_ROWS))
-
-    def lloyd(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.sort_values("row_id")["part"].tolist())
-        centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
-        for _ in range(iterations):
-            near = nearest_centroid(x, centres)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, near, x)
-            sizes = np.bincount(near, minlength=len(centres))
-            filled = sizes > 0
-            centres[filled] = sums[filled] / sizes[filled, None]
-        return pd.DataFrame({"sub": pdf["sub"].iloc[0], "code": np.arange(len(centres)), "centre": list(centres)})
-
-    sample = train_sample(base, n, seed)
-    width = F.call_function("div", F.size("embedding"), F.lit(m)).cast("int")
-    parts = sample.select("row_id", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(m - 1)),
-        lambda s: F.slice(F.col("embedding").cast("array<double>"), s * width + 1, width))).alias("sub", "part"))
-    books = parts.groupBy("sub").applyInPandas(lloyd, "sub int, code long, centre array<double>")
-    rows = books.orderBy("sub", "code").collect()  # m x 256 short vectors
-    return np.array([r["centre"] for r in rows]).reshape(m, -1, len(rows[0]["centre"]))
+def _code_sums(books: np.ndarray):
+    """Per task: number and sum of the sub-vectors nearest to each code, as rows (sub, code, dim, total, n)."""
+    m, k, w = books.shape
+
+    def run(batches):
+        sums, sizes = np.zeros((m, k, w)), np.zeros((m, k), np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(0)).reshape(b.num_rows, m, w)
+                for s in range(m):
+                    near = nearest_centroid(x[:, s], books[s])
+                    np.add.at(sums[s], near, x[:, s])
+                    sizes[s] += np.bincount(near, minlength=k)
+        sub, code, dim = (a.ravel() for a in np.indices((m, k, w)))
+        kept = np.repeat(sizes.ravel() > 0, w)
+        yield pa.RecordBatch.from_arrays([pa.array(a[kept]) for a in (sub, code, dim, sums.ravel(), np.repeat(sizes.ravel(), w))],
+                                         names=["sub", "code", "dim", "total", "n"])
+
+    return run
+
+
+def pq_train(base: DataFrame, m: int, codes: int, seed: int = 0, iterations: int = 15) -> np.ndarray:
+    """Codebooks (m, codes, d/m) by k-means over all rows: tasks add up their rows, the driver sees codebooks only."""
+    if not 0 < codes <= CODES:
+        raise ValueError(f"a codebook has 1..{CODES} codes")
+    start = seeded_rows(base, codes, seed)
+    books = start.reshape(codes, m, -1).transpose(1, 0, 2).copy()
+    for _ in range(iterations):
+        sums = base.select("embedding").mapInArrow(_code_sums(books), "sub long, code long, dim long, total double, n long")
+        means = sums.groupBy("sub", "code", "dim").agg((F.sum("total") / F.sum("n")).alias("v")).toPandas()
+        moved = books.copy()
+        moved[means["sub"], means["code"], means["dim"]] = means["v"]
+        if np.abs(moved - books).max() < 1e-9:
+            break
+        books = moved
+    return books
 
 
 def pq_encode(base: DataFrame, books: np.ndarray) -> DataFrame:
@@ -152,6 +160,8 @@ def pq_encode(base: DataFrame, books: np.ndarray) -> DataFrame:
     def run(batches):
         bk = shared.value
         for b in batches:
+            if not b.num_rows:
+                continue
             x = matrix(b.column(1)).reshape(b.num_rows, len(bk), -1)
             codes = np.stack([nearest_centroid(x[:, s], bk[s]) for s in range(len(bk))], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in codes], type=pa.binary())], names=["row_id", "codes"])

@@ -65,8 +65,7 @@ def audit_point_index(points: DataFrame, index: DataFrame) -> DataFrame:
 
 def audit_spatial(rows: DataFrame, pages: DataFrame, tiled: DataFrame, row_to_voxel: DataFrame, page_size: int) -> DataFrame:
     """Problems of the spatial table: rows missing or repeated, differing from the lookups, pages with wrong bounds."""
-    corpus, row = codec.unpack_point(F.col("packed"))
-    truth = tiled.select(row.alias("row_id"), F.col("pos").alias("_pos"), F.col("qx").alias("_x"), F.col("qy").alias("_y"), corpus.alias("_k"))
+    truth = tiled.select("row_id", F.col("pos").alias("_pos"), F.col("qx").alias("_x"), F.col("qy").alias("_y"), F.col("corpus").alias("_k"))
     truth = truth.join(row_to_voxel.select("row_id", F.col("chunk_id").alias("_c"), F.col("local_id").alias("_l")), "row_id")
     pairs = (("pos", "_pos"), ("qx", "_x"), ("qy", "_y"), ("corpus", "_k"), ("chunk_id", "_c"), ("local_id", "_l"))
     same = F.lit(True)

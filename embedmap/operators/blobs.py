@@ -19,16 +19,14 @@ MAX_URL_BLOB = (1 << 32) - 1
 OFFSET_BYTES = 8
 
 
-def pack_offsets(payloads: DataFrame, shard: Sequence[str] = ("shard",), local: str = "local") -> DataFrame:
+def pack_offsets(payloads: DataFrame, shard: Sequence[str] = ("shard",), local: str = "local", split_bits: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Start and end byte of every payload in its shard; a missing payload has a zero-length span.
 
-    payloads: shard, local, n_bytes (null when missing). A shard has at most 65,536 rows, since a packed
-    reference has 16 bits for the local row.
+    payloads: shard, local, n_bytes (null when missing). A crowded shard is split by ranges of its local rows.
     """
-    w = Window.partitionBy(*shard).orderBy(local).rowsBetween(Window.unboundedPreceding, 0)
-    size = F.coalesce("n_bytes", F.lit(0)).cast("long")
-    end = F.sum(size).over(w)
-    return payloads.select(*shard, local, (end - size).alias("start"), end.alias("end"))
+    sized = payloads.select(*shard, local, F.coalesce("n_bytes", F.lit(0)).cast("long").alias("_size"))
+    out = running_total(sized, list(shard), [local], F.col("_size"), "start", id_bucket(local, split_bits), hot_rows)
+    return out.select(*shard, local, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("_size")).cast("long").alias("end"))
 
 
 def lookup_spans(offsets: DataFrame, refs: DataFrame) -> DataFrame:
@@ -127,12 +125,15 @@ def encode_urls(points: DataFrame, split_bits: int = 20, hot_rows: int = HOT_ROW
     too_long = F.raise_error(F.lit("url longer than 65535 bytes")).cast("long")
     sized = points.withColumn("url_len", F.when(length <= MAX_URL, length).otherwise(too_long))
     out = running_total(sized, [], ["row_id"], F.col("url_len"), "url_offset", id_bucket("row_id", split_bits), hot_rows)
-    over = F.raise_error(F.lit("url blob exceeds 32-bit offsets")).cast("long")
-    offset = F.when(F.col("url_offset") + F.col("url_len") <= MAX_URL_BLOB, F.col("url_offset")).otherwise(over)
-    return out.select("row_id", "url", offset.cast("long").alias("url_offset"), "url_len", clamp_side(F.col("width")).alias("width"),
+    return out.select("row_id", "url", F.col("url_offset").cast("long").alias("url_offset"), "url_len", clamp_side(F.col("width")).alias("width"),
                       clamp_side(F.col("height")).alias("height"))
 
 
+def beyond_u32(encoded: DataFrame) -> DataFrame:
+    """Rows whose url ends beyond the reach of 32-bit offsets; a sidecar with such offsets needs none."""
+    return encoded.filter(F.col("url_offset") + F.col("url_len") > MAX_URL_BLOB).select("row_id", "url_offset", "url_len")
+
+
 def lookup_meta(meta: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """Url (null when empty) and size by row; ``in_range`` is false outside 0..n-1."""
     out = rows.join(meta.select("row_id", F.nullif("url", F.lit("")).alias("url"), "width", "height"), "row_id", "left")

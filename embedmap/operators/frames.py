@@ -16,10 +16,7 @@ from embedmap.operators.ordering import union_all
 EXTENT_PCT = (0.001, 0.999)
 PAD_FRACTION = 0.02
 CORE_RADIUS_PCT = 0.995
-SAMPLE_OVER = 25_000_000   # rows above which a frame is fitted on evenly spaced rows
-SAMPLE_ROWS_3D = 1_000_000
 HISTOGRAM_BINS = 4096       # bins per open interval of a percentile search
-SMALL_ROWS = 250_000        # tables up to this size use the built-in percentile
 LIST_ROWS = 20_000          # an interval this small is listed value by value
 
 
@@ -46,24 +43,31 @@ def linspace_sample(df: DataFrame, n: int, k: int, id_col: str = "row_id") -> Da
     return df.filter(div(step * (n - 1), k - 1) == F.col(id_col))
 
 
-def percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], n: int | None = None) -> dict[str, list[float]]:
+def percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> dict[str, list[float]]:
     """Exact interpolated percentiles of a few columns, as driver scalars.
 
     Rank selection by histogram: every round counts the values of the open intervals in equal-width bins and keeps the
     bin that holds the rank, until the interval is small enough to list its distinct values. The driver sees bin counts
-    only, at most ``HISTOGRAM_BINS`` per open interval, whatever the number of rows or their skew. A small table is served
-    by the built-in aggregate, whose single task then holds at most ``SMALL_ROWS`` values per column.
+    only, at most ``HISTOGRAM_BINS`` per open interval, whatever the number of rows or their skew. Nulls are left out; NaN and
+    infinite values have no place in the search and are refused, as is a column without values.
     """
-    if n is not None and n <= SMALL_ROWS:
-        row = df.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(c) for c in cols]).first()
-        return {c: list(row[c]) for c in cols}
-    stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    values = {i: F.col(c).cast("double") for i, c in enumerate(cols)}
+    stats = df.agg(*[f(v).alias(f"{k}{i}") for i, v in values.items() for k, f in (("n", F.count), ("a", F.min), ("b", F.max))], *[
+        F.count_if(F.isnan(v) | (F.abs(v) == F.lit(float("inf")))).alias(f"x{i}") for i, v in values.items()]).first()
+    for i, c in enumerate(cols):
+        if stats[f"x{i}"]:
+            raise ValueError(f"{c} has {stats[f'x{i}']} NaN or infinite values")
+        if not stats[f"n{i}"]:
+            raise ValueError(f"{c} has no values")
     found: dict[tuple[int, int], float] = {}
     ranks = {i: sorted({r for p in ps for r in _rank_pair(p, stats[f"n{i}"])}) for i in range(len(cols))}
     # Open intervals: (column, lo, hi) -> (rows below lo, rows inside, wanted ranks).
     todo = {(i, stats[f"a{i}"], stats[f"b{i}"]): (0, stats[f"n{i}"], ranks[i]) for i in range(len(cols)) if ranks[i]}
     while todo:
-        todo = _narrow(df, cols, todo, found)
+        smaller = _narrow(df, cols, todo, found)
+        if smaller.keys() == todo.keys():
+            raise RuntimeError("percentile search does not narrow")
+        todo = smaller
     out = {}
     for i, c in enumerate(cols):
         out[c] = []
@@ -113,14 +117,14 @@ def _narrow(df: DataFrame, cols: Sequence[str], todo: dict, found: dict[tuple[in
 
 
 def padded(lo: float, hi: float, pad: float) -> tuple[float, float]:
-    margin = pad * (hi - lo) or 1.0
+    if lo == hi:
+        return lo - 1.0, hi + 1.0
+    margin = pad * (hi - lo)
     return lo - margin, hi + margin
 
 
-def robust_extent(
-    df: DataFrame, cols: Sequence[str], n: int, pct: tuple[float, float] = EXTENT_PCT, pad: float = PAD_FRACTION
-) -> list[float]:
-    q = percentiles(df, cols, pct, n)
+def robust_extent(df: DataFrame, cols: Sequence[str], pct: tuple[float, float] = EXTENT_PCT, pad: float = PAD_FRACTION) -> list[float]:
+    q = percentiles(df, cols, pct)
     return [edge for c in cols for edge in padded(*q[c], pad)]
 
 
@@ -131,33 +135,21 @@ def equalized(extent: Sequence[float]) -> list[float]:
     return [edge for lo, hi in pairs for edge in ((lo + hi) / 2 - half, (lo + hi) / 2 + half)]
 
 
-def compute_frame_3d(
-    df: DataFrame,
-    cols: Sequence[str] = ("x", "y", "z"),
-    n: int | None = None,
-    sample_over: int = SAMPLE_OVER,
-    sample_rows: int = SAMPLE_ROWS_3D,
-) -> Frame:
-    n = df.count() if n is None else n
-    base = linspace_sample(df, n, sample_rows) if n > sample_over else df
-    raw = robust_extent(base, cols, min(n, sample_rows) if n > sample_over else n)
-    return Frame(equalized(raw), raw, n_rows=n)
+def compute_frame_3d(df: DataFrame, cols: Sequence[str] = ("x", "y", "z"), n: int | None = None) -> Frame:
+    """Frame of all rows. To fit one on fewer, pass them: ``compute_frame_3d(linspace_sample(df, n, k))``."""
+    raw = robust_extent(df, cols)
+    return Frame(equalized(raw), raw, n_rows=df.count() if n is None else n)
 
 
-def compute_frame_2d(
-    df: DataFrame, cols: Sequence[str] = ("x", "y"), n: int | None = None, sample_over: int = SAMPLE_OVER
-) -> Frame:
+def compute_frame_2d(df: DataFrame, cols: Sequence[str] = ("x", "y"), n: int | None = None) -> Frame:
     """Extent of the trimmed core: rows within the 99.5 percentile of the distance to the median."""
-    n = df.count() if n is None else n
-    base = linspace_sample(df, n, sample_over) if n > sample_over else df
-    m = min(n, sample_over)
     x, y = cols
-    centre = percentiles(base, cols, [0.5], m)
+    centre = percentiles(df, cols, [0.5])
     dx, dy = F.col(x) - F.lit(centre[x][0]), F.col(y) - F.lit(centre[y][0])
-    radial = base.withColumn("_radius", F.sqrt(dx * dx + dy * dy))
-    limit = percentiles(radial, ["_radius"], [CORE_RADIUS_PCT], m)["_radius"][0]
-    raw = robust_extent(radial.filter(F.col("_radius") <= F.lit(limit)), cols, m)
-    return Frame(equalized(raw), raw, n_rows=n)
+    radial = df.withColumn("_radius", F.sqrt(dx * dx + dy * dy))
+    limit = percentiles(radial, ["_radius"], [CORE_RADIUS_PCT])["_radius"][0]
+    raw = robust_extent(radial.filter(F.col("_radius") <= F.lit(limit)), cols)
+    return Frame(equalized(raw), raw, n_rows=df.count() if n is None else n)
 
 
 def normalize(df: DataFrame, frame: Frame, cols: Sequence[str] = ("x", "y", "z"), out: Sequence[str] = ("px", "py", "pz")) -> DataFrame:

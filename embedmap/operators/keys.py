@@ -117,9 +117,22 @@ def ref_violations(df: DataFrame, shard: str, local: str) -> DataFrame:
     return df.filter(~F.coalesce(codec.ref_in_range(F.col(shard), F.col(local)), F.lit(False)))
 
 
+def refusing_join(left: DataFrame, right: DataFrame, on: Sequence[str], message: str) -> DataFrame:
+    """Inner join that stops the job at a left row without a partner, instead of losing it."""
+    mark = "_partner"
+    joined = left.join(right.withColumn(mark, F.lit(True)), list(on), "left")
+    seen = F.when(F.col(mark), F.lit(True)).otherwise(F.raise_error(F.concat_ws(" ", F.lit(message), *[F.col(c).cast("string") for c in on])).cast("boolean"))
+    return joined.filter(seen).drop(mark)
+
+
+def unmatched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The left rows that ``refusing_join`` would stop at."""
+    return left.join(right, list(on), "left_anti")
+
+
 def select_draw(pool: DataFrame, idx: DataFrame) -> DataFrame:
-    """Metadata of drawn pool rows in draw order. ``idx``: row_id (dense), pool_row."""
-    return idx.join(pool, "pool_row")
+    """Metadata of drawn pool rows in draw order; a drawn row that the pool lacks stops the job. ``idx``: row_id (dense), pool_row."""
+    return refusing_join(idx, pool, ["pool_row"], "drawn row is not in the pool")
 
 
 def draw_violations(idx: DataFrame) -> DataFrame:
@@ -129,8 +142,12 @@ def draw_violations(idx: DataFrame) -> DataFrame:
 
 
 def gather_by_ref(points: DataFrame, store: DataFrame) -> DataFrame:
-    """url, width, height of (shard, local_row) references. The row is part of the key, so a hot shard is spread evenly."""
-    return points.join(store, ["shard", "local_row"])
+    """url, width, height of (shard, local_row) references; sides below 0 become 0, a reference without a row stops the job.
+
+    The row is part of the key, so a hot shard is spread evenly. ``missing_refs`` lists what would be refused.
+    """
+    side = lambda c: F.greatest(F.col(c), F.lit(0).cast(store.schema[c].dataType)).alias(c) if c in ("width", "height") else F.col(c)
+    return refusing_join(points, store.select(*[side(c) for c in store.columns]), ["shard", "local_row"], "reference without a stored row")
 
 
 def missing_refs(points: DataFrame, shard_rows: DataFrame) -> DataFrame:
@@ -216,9 +233,9 @@ def collision_map(rows: DataFrame, ann: DataFrame) -> DataFrame:
     Candidate lists stay in ``collision_candidates``, once per hash: a hash shared by k rows and k ids costs 2k rows here,
     never k*k pairs.
     """
-    per_hash = rows.filter(F.col("hash").isNotNull()).groupBy("hash").agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.min("row_id").alias("_row")
-    )
+    # A row id that is listed twice is one candidate.
+    once = rows.filter(F.col("hash").isNotNull()).groupBy("hash", "row_id").agg(F.lit(1).alias("_one"))
+    per_hash = once.groupBy("hash").agg(F.count(F.lit(1)).alias("n_candidates"), F.min("row_id").alias("_row"))
     row = F.when(F.col("n_candidates") == 1, F.col("_row")).otherwise(F.lit(MISSING).cast("long"))
     joined = ann.join(per_hash, "hash", "left")
     return joined.select(

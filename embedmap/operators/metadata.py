@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Mapping
+from collections.abc import Callable, Collection, Mapping
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions import grid
 from embedmap.operators import lod
-from embedmap.operators.keys import duplicate_keys, require_empty
+from embedmap.operators.keys import duplicate_keys, refusing_join, require_empty
 
 # Fixed values of the filter language.
-FIELDS = {"type", "minYear", "maxYear", "includeUnknown", "book"}
 YEAR_MAX = 2100
-BOOK_LIMIT = 20
 LABELS = (("Book ID", "book"), ("Author", "author"), ("Publication year (recorded)", "year"), ("Publisher", "publisher"),
           ("Place", "place"), ("Volume", "volume"), ("Page", "page"), ("Image type", "subset"))
 
 
-def build_images(points: DataFrame, row_to_voxel: DataFrame, postings: DataFrame, source: DataFrame, check: bool = True) -> DataFrame:
+def build_images(points: DataFrame, postings: DataFrame, source: DataFrame, check: bool = True) -> DataFrame:
     """Image fact: book from the nine leading digits of the file name, year only when exactly four digits, voxel address,
     position in the voxel, and the optional source record.
 
@@ -32,43 +32,55 @@ def build_images(points: DataFrame, row_to_voxel: DataFrame, postings: DataFrame
     missing = F.raise_error(F.concat(F.lit("missing book identity: "), F.col("fname")))
     year = F.when(F.col("date").rlike(r"^\d{4}$"), F.col("date")).try_cast("int")
     facts = points.withColumn("book", F.when(book == "", missing.cast("string")).otherwise(book)).withColumn("year", year)
-    placed = facts.join(row_to_voxel.select("row_id", "chunk_id", "local_id"), "row_id")
     return (
-        placed.join(postings.select("row_id", "pos"), "row_id")
+        refusing_join(facts, postings.select("row_id", "chunk_id", "local_id", "pos"), ["row_id"], "image without a posting")
         .join(source, ["fname", "subset"], "left")
         .select("row_id", "subset", "local_idx", "book", "year", "chunk_id", "local_id", "pos", "fname", "volume", "page")
     )
 
 
+@dataclass(frozen=True)
+class Rule:
+    """One key of a filter: what its value may be, and the condition that the value stands for (None for a mere option)."""
+
+    allowed: Callable[[object], bool]
+    expects: str
+    condition: Callable[[object], Column] | None = None
+    dated: bool = False
+
+
+def _is_year(v: object) -> bool:
+    return isinstance(v, int) and not isinstance(v, bool) and v in range(YEAR_MAX + 1)
+
+
+def _rules(types: Collection[str]) -> dict[str, Rule]:
+    col = F.col
+    return {
+        "type": Rule(lambda v: v in ("", None) or v in types, f"one of {sorted(types)}", lambda v: col("subset") == v),
+        "minYear": Rule(lambda v: v is None or _is_year(v), f"a year of 0..{YEAR_MAX}", lambda v: col("year") >= v, dated=True),
+        "maxYear": Rule(lambda v: v is None or _is_year(v), f"a year of 0..{YEAR_MAX}", lambda v: col("year") <= v, dated=True),
+        "includeUnknown": Rule(lambda v: isinstance(v, bool), "true or false"),
+        "book": Rule(lambda v: v in ("", None) or (isinstance(v, str) and re.fullmatch(r"\d{9}", v) is not None), "nine digits", lambda v: col("book") == v),
+    }
+
+
 def metadata_predicate(value: Mapping[str, object], types: Collection[str]) -> Column:
-    """Conjunction of the given fields as a Column; raises ValueError for anything outside the filter language."""
-    if not isinstance(value, Mapping) or set(value) - FIELDS:
-        raise ValueError("invalid filter fields")
-    clauses = []
-    if value.get("type"):
-        if value["type"] not in types:
-            raise ValueError("invalid image type")
-        clauses.append(F.col("subset") == value["type"])
-    unknown = value.get("includeUnknown", False)
-    if type(unknown) is not bool:
-        raise ValueError("invalid unknown-year choice")
-    low, high = value.get("minYear"), value.get("maxYear")
-    for year in (low, high):
-        if year is not None and (type(year) is not int or not 0 <= year <= YEAR_MAX):
-            raise ValueError("invalid recorded year")
-    if low is not None and high is not None and low > high:
-        raise ValueError("start year must not exceed end year")
-    bounds = [F.col("year") >= low] if low is not None else []
-    bounds += [F.col("year") <= high] if high is not None else []
-    clauses += [b | F.col("year").isNull() if unknown else b for b in bounds]
-    if value.get("book"):
-        if not isinstance(value["book"], str) or not re.fullmatch(r"\d{9}", value["book"]):
-            raise ValueError("book id must have nine digits")
-        clauses.append(F.col("book") == value["book"])
-    out = F.lit(True)
-    for c in clauses:
-        out = out & c
-    return out
+    """The rows that satisfy every key of ``value``; ValueError if a key or its value isn't part of the filter language.
+
+    With ``includeUnknown`` the conditions on years also accept rows without one.
+    """
+    rules = _rules(types)
+    given = dict(value) if isinstance(value, Mapping) else {"": None}
+    for key, v in given.items():
+        if key not in rules:
+            raise ValueError(f"no filter key {key!r}")
+        if not rules[key].allowed(v):
+            raise ValueError(f"filter key {key} takes {rules[key].expects}")
+    if None not in (span := (given.get("minYear"), given.get("maxYear"))) and span[0] > span[1]:
+        raise ValueError(f"no year lies in {span[0]}..{span[1]}")
+    also = F.col("year").isNull() if given.get("includeUnknown") else F.lit(False)
+    active = [(rules[k], v) for k, v in given.items() if rules[k].condition and v not in ("", None)]
+    return reduce(lambda a, b: a & b, [r.condition(v) | also if r.dated else r.condition(v) for r, v in active], F.lit(True))
 
 
 def filter_rows(images: DataFrame, value: Mapping[str, object], types: Collection[str]) -> DataFrame:
@@ -103,8 +115,11 @@ def filter_schema(images: DataFrame) -> DataFrame:
 
 
 def image_detail(images: DataFrame, books: DataFrame, rows: DataFrame) -> DataFrame:
-    """Title (file name when the catalogue has none) and provenance of the wanted rows, with all book columns."""
-    joined = images.join(rows.select("row_id"), "row_id", "left_semi").join(
+    """Title (file name when the catalogue has none) and provenance of the wanted rows, with all book columns.
+
+    A wanted row that isn't an image stops the job.
+    """
+    joined = refusing_join(rows.select("row_id").distinct(), images, ["row_id"], "unknown row").join(
         books.select(F.col("id").alias("book"), F.nullif("title", F.lit("")).alias("_title"), "author", "publisher", "place"), "book", "left"
     )
     return joined.withColumn("title", F.coalesce("_title", "fname")).withColumn(
@@ -124,8 +139,11 @@ def _ascii_lower(c: Column) -> Column:
     return F.translate(c, upper, upper.lower())
 
 
-def find_books(books: DataFrame, images: DataFrame, text: str) -> DataFrame:
-    """Books with images whose id equals a nine-digit query, else whose title contains it (ASCII case ignored)."""
+def find_books(books: DataFrame, images: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Books with images whose id equals a nine-digit query, else whose title contains it (ASCII case ignored).
+
+    With ``limit``, the first so many by title.
+    """
     text = text.strip()
     none = books.select("id", "title").limit(0)
     if not 2 <= len(text) <= 120:
@@ -135,7 +153,8 @@ def find_books(books: DataFrame, images: DataFrame, text: str) -> DataFrame:
         named = used.filter(F.col("id") == text).limit(1).join(books.select("id", "title"), "id", "left")
         return named.select("id", F.coalesce("title", "id").alias("title"))
     hit = F.contains(_ascii_lower(F.col("title")), _ascii_lower(F.lit(text)))
-    return books.select("id", "title").filter(hit).join(used, "id", "left_semi").orderBy("title", "id").limit(BOOK_LIMIT)
+    found = books.select("id", "title").filter(hit).join(used, "id", "left_semi")
+    return found if limit is None else found.orderBy("title", "id").limit(limit)
 
 
 def filtered_cells(counts: DataFrame, vpc: int, step: int) -> DataFrame:

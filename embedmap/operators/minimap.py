@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from embedmap.functions import codec, grid
 from embedmap.operators import gridsearch
+from embedmap.operators.keys import refusing_join
 from embedmap.operators.ordering import (
     HOT_ROWS, id_bucket, limit_per_group, md5_bucket, md5_priority, position_in_order, rank_in_group, union_all,
 )
@@ -17,7 +18,6 @@ from embedmap.session import cut
 
 RECORD_BYTES = 8          # fixed: x, y and packed id of a stored point
 LOD_RECORD_BYTES = 9      # fixed: the same plus the minimum zoom
-LOD_BUDGET = 2_000_000
 PAGE_ROWS = 4096
 OVERVIEW_SHIFT = 7        # 512 x 512 bins
 
@@ -96,7 +96,12 @@ def points_tiled(q: DataFrame, zoom: int, hot_rows: int = HOT_ROWS, split_bits:
     """
     tiled = with_tile(q, zoom)
     out = position_in_order(tiled, ["tile"], ["morton"], "row_id", "pos", id_bucket("row_id", split_bits), hot_rows)
-    return out.select("pos", "tile", "qx", "qy", codec.pack_point(F.col("corpus"), F.col("row_id")).alias("packed"))
+    return out.select("pos", "tile", "qx", "qy", "corpus", "row_id")
+
+
+def packed_points(tiled: DataFrame) -> DataFrame:
+    """Records with corpus and row id in one 32-bit field; ids that do not fit stop the job."""
+    return tiled.select("pos", "tile", "qx", "qy", codec.pack_point(F.col("corpus"), F.col("row_id")).alias("packed"))
 
 
 def write_points_tiled(points: DataFrame, path: str) -> None:
@@ -143,7 +148,7 @@ def cap_for_budget(counts: DataFrame, budget: Column, n_col: str = "n") -> DataF
     return steps.agg(F.greatest(F.coalesce(F.max(valid), F.lit(1)), F.lit(1)).cast("long").alias("cap"))
 
 
-def lod_budget(n: int, limit: int = LOD_BUDGET) -> int:
+def lod_budget(n: int, limit: int) -> int:
     budget = min(n // 4, limit)
     return budget if budget >= 1 else n
 
@@ -152,14 +157,14 @@ def _bin_cols(zoom: int) -> dict[str, Column]:
     return {"bin_x": grid.bins_at(F.col("qx"), zoom), "bin_y": grid.bins_at(F.col("qy"), zoom)}
 
 
-def lod_select(q: DataFrame, zoom: int, seed: int, n: int, limit: int = LOD_BUDGET, hot_rows: int = HOT_ROWS) -> DataFrame:
+def lod_select(q: DataFrame, zoom: int, seed: int, n: int, limit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Density-stratified sample within the budget: row_id, qx, qy, corpus, prio.
 
     The stratum zoom is the finest whose occupied bins fit the budget; each bin keeps the ``cap`` first rows by priority;
     what exceeds the budget is trimmed by (rank, priority).
     """
     budget = lod_budget(n, limit)
-    levels = density_pyramid(density_finest(q.withColumn("corpus", F.lit(0).cast("long")), zoom), zoom)
+    levels = cut(density_pyramid(density_finest(q.withColumn("corpus", F.lit(0).cast("long")), zoom), zoom))
     occupied = {r["z"]: r["bins"] for r in levels.groupBy("z").agg(F.count(F.lit(1)).alias("bins")).collect()}
     stratum = max((z for z in range(zoom + 1) if occupied.get(z, 0) <= budget), default=0)
     cap = cap_for_budget(levels.filter(F.col("z") == stratum), F.lit(budget)).first()["cap"]
@@ -208,9 +213,8 @@ def lod_offsets(with_zoom: DataFrame, zoom: int) -> DataFrame:
 
 def spatial_rows(tiled: DataFrame, row_to_voxel: DataFrame) -> DataFrame:
     """Position, 2-D coordinates, corpus and voxel address of every row."""
-    corpus, row = codec.unpack_point(F.col("packed"))
-    placed = tiled.select("pos", "qx", "qy", row.alias("row_id"), corpus.alias("corpus"))
-    return placed.join(row_to_voxel.select("row_id", "chunk_id", "local_id"), "row_id")
+    placed = tiled.select("pos", "qx", "qy", "row_id", "corpus")
+    return refusing_join(placed, row_to_voxel.select("row_id", "chunk_id", "local_id"), ["row_id"], "row without a voxel")
 
 
 def row_xy(rows: DataFrame) -> DataFrame:
@@ -228,8 +232,12 @@ def spatial_pages(rows: DataFrame, size: int = PAGE_ROWS) -> DataFrame:
 
 
 def nearest_rows(rows: DataFrame, queries: DataFrame, cell_bits: int = 8) -> DataFrame:
-    """Nearest row (lowest row_id on ties) of each query position in quantised units. ``queries``: q, qx, qy."""
-    return gridsearch.nearest(rows.select("row_id", "qx", "qy"), queries, ["qx", "qy"], ["qx", "qy"], "q", ["row_id"], 16, cell_bits)
+    """Nearest row (lowest row_id on ties) of each query position in quantised units. ``queries``: q, qx, qy.
+
+    Rows at one position are one candidate, so a cell holds as many as it has positions, however many rows there are.
+    """
+    spots = rows.groupBy("qx", "qy").agg(F.min("row_id").alias("row_id"))
+    return gridsearch.nearest(spots, queries, ["qx", "qy"], ["qx", "qy"], "q", ["row_id"], 16, cell_bits)
 
 
 def rows_in_radius(rows: DataFrame, queries: DataFrame, radius: float, cap: int | None = None) -> DataFrame:
@@ -239,10 +247,14 @@ def rows_in_radius(rows: DataFrame, queries: DataFrame, radius: float, cap: int
     return hits if cap is None else limit_per_group(hits, ["q"], ["d2", "row_id"], cap).drop("rank")
 
 
-def voxels_in_radius(rows: DataFrame, queries: DataFrame, radius: float, max_voxels: int = 384) -> DataFrame:
-    """Voxels of the rows within the radius with their row counts, the fullest first, at most ``max_voxels`` per query."""
-    hits = rows_in_radius(rows, queries, radius).join(rows.select("row_id", "chunk_id", "local_id"), "row_id")
-    counted = hits.groupBy("q", "chunk_id", "local_id").agg(F.count(F.lit(1)).alias("n"))
+def voxels_in_radius(rows: DataFrame, queries: DataFrame, radius: float, max_voxels: int | None = None) -> DataFrame:
+    """Voxels of the rows within the radius with their row counts, the fullest first; only the first ``max_voxels`` per query if asked for."""
+    # Rows at one position in one voxel meet a query together, so the search sees positions, not rows.
+    spots = rows.groupBy("qx", "qy", "chunk_id", "local_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = gridsearch.within(spots, queries, ["qx", "qy"], ["qx", "qy"], "q", radius)
+    counted = hits.groupBy("q", "chunk_id", "local_id").agg(F.sum("n").alias("n"))
+    if max_voxels is None:
+        max_voxels = (1 << 31) - 1
     return limit_per_group(counted, ["q"], [F.desc("n"), "chunk_id", "local_id"], max_voxels)
 
 

@@ -11,7 +11,6 @@ from embedmap.functions import grid
 from embedmap.operators import gridsearch
 from embedmap.operators.ordering import limit_per_group
 
-SHELL_SLOTS = 128           # fixed: sharp previews per probe
 SHELL_FACING = 0.5          # fixed: discount for voxels ahead
 CHUNK_FACING = 0.35         # fixed: discount for chunks ahead
 POS = ["ux", "uy", "uz"]
@@ -33,8 +32,8 @@ def voxels_in_sphere(voxels: DataFrame, probes: DataFrame, radius: float, n: int
     return hits.select("q", "chunk_id", "local_id", "n", (F.col("d2") * F.lit((2.0 / n) ** 2)).alias("d2"))
 
 
-def voxels_in_shell(voxels: DataFrame, probes: DataFrame, radius: float, n: int, vpc: int, slots: int = SHELL_SLOTS) -> DataFrame:
-    """Voxels in the one-voxel shell just outside the sphere: nearest first with a discount ahead, ``slots`` per probe.
+def voxels_in_shell(voxels: DataFrame, probes: DataFrame, radius: float, n: int, vpc: int, slots: int | None = None) -> DataFrame:
+    """Voxels in the one-voxel shell just outside the sphere: nearest first with a discount ahead; only ``slots`` per probe if asked for.
 
     probes: q, px, py, pz and a unit direction fx, fy, fz.
     """
@@ -44,7 +43,7 @@ def voxels_in_shell(voxels: DataFrame, probes: DataFrame, radius: float, n: int,
     eye = p.select("q", *[F.col(u).alias(f"e{u}") for u in POS], "fx", "fy", "fz")
     ahead = sum((F.col(u) - F.col(f"e{u}")) * F.col(f) for u, f in zip(POS, ("fx", "fy", "fz"))) / F.sqrt("d2")
     ranked = hits.join(eye, "q").withColumn("priority", F.round(F.sqrt("d2") * (F.lit(1.0) - F.lit(SHELL_FACING) * ahead), 9))
-    top = limit_per_group(ranked, ["q"], ["priority", "chunk_id", "local_id"], slots)
+    top = limit_per_group(ranked, ["q"], ["priority", "chunk_id", "local_id"], (1 << 31) - 1 if slots is None else slots)
     return top.select("q", "rank", "chunk_id", "local_id", "n", (F.col("priority") * F.lit(2.0 / n)).alias("priority"))
 
 

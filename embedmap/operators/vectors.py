@@ -10,23 +10,32 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions import vectors as vf
-from embedmap.operators.keys import MISSING, duplicate_keys
+from embedmap.operators.keys import MISSING, duplicate_keys, refusing_join
 from embedmap.operators.ordering import limit_per_group, union_all
 
 SCORE_DIGITS = 6
 BLOCK_VALUES = 1 << 24   # doubles in one broadcast block of queries (128 MiB)
+SCORE_VALUES = 1 << 22   # scores that a task computes at once (32 MiB)
 HITS = "q long, row_id long, score double"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of an Arrow list column as a float64 matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    if not len(column):
+        return np.zeros((0, 0))
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        raise ValueError("null vector or component")
+    sizes = pc.list_value_length(column)
+    if pc.min(sizes) != pc.max(sizes):
+        raise ValueError("vectors of different lengths")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def vectors_of(m: np.ndarray, valid: np.ndarray | None = None) -> pa.ListArray:
@@ -126,6 +135,13 @@ class TopK:
         )
 
 
+def row_slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose scores against all queries fit the bound."""
+    step = max(1, SCORE_VALUES // max(1, n_queries))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def knn_exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """Exact top-k of every query: q, row_id, score, rank. base: row_id, embedding; queries: q, embedding."""
     sc = base.sparkSession.sparkContext
@@ -137,9 +153,9 @@ def knn_exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -
             qid, q = shared.value
             best = TopK(len(qid), k)
             for b in batches:
-                if b.num_rows:
-                    rows = b.column(0).to_numpy()
-                    s = scores(metric, matrix(b.column(1)), q)
+                for some in row_slices(b, len(qid)):
+                    rows = some.column(0).to_numpy()
+                    s = scores(metric, matrix(some.column(1)), q)
                     for i in range(len(qid)):
                         best.add(i, rows, s[i])
             yield best.batch(qid)
@@ -238,8 +254,13 @@ def project_affine(df: DataFrame, mean: Sequence[float], components: Sequence[Se
     def run(batches):
         mu, comp = shared.value
         for b in batches:
+            if not b.num_rows:
+                continue
             y = (matrix(b.column(1)) - mu) @ comp
-            y /= np.linalg.norm(y, axis=1, keepdims=True)
+            length = np.linalg.norm(y, axis=1, keepdims=True)
+            if not (np.isfinite(length) & (length > 0)).all():
+                raise ValueError("projection cannot be normalised")
+            y /= length
             yield pa.RecordBatch.from_arrays([b.column(0), vectors_of(y)], names=["row_id", "projected"])
 
     return df.select(F.col("row_id").cast("long"), col).mapInArrow(run, "row_id long, projected array<double>")
@@ -255,6 +276,8 @@ def project_head(df: DataFrame, layers: Sequence[tuple[Sequence[Sequence[float]]
 
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             y = matrix(b.column(1))
             for i, (w, bias) in enumerate(shared.value):
                 y = y @ w + bias
@@ -281,9 +304,8 @@ def projection_error(recomputed: DataFrame, stored: DataFrame, cols: Sequence[st
 
 def resolve_hits(hits: DataFrame, row_to_voxel: DataFrame, points: DataFrame) -> DataFrame:
     """Place search results: q, rank, row_id, score, chunk_id, local_id, ref, subset."""
-    return hits.join(row_to_voxel.select("row_id", "chunk_id", "local_id"), "row_id").join(
-        points.select("row_id", "ref", "subset"), "row_id"
-    )
+    placed = refusing_join(hits, row_to_voxel.select("row_id", "chunk_id", "local_id"), ["row_id"], "hit without a voxel")
+    return refusing_join(placed, points.select("row_id", "ref", "subset"), ["row_id"], "hit without a point")
 
 
 def hit_violations(hits: DataFrame, n: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from embedmap.functions import grid
 from embedmap.operators.frames import chunk_bbox
+from embedmap.operators.keys import refusing_join
 from embedmap.operators.ordering import HOT_ROWS, id_bucket, rank_in_group
 
 NARROW_LIMIT = 65535  # largest count of the narrow record format
@@ -53,7 +54,7 @@ def voxel_offsets(voxels: DataFrame) -> DataFrame:
 def voxel_records(voxels: DataFrame, points: DataFrame) -> DataFrame:
     """Record per voxel: count, offset, colour of the representative row, tile flag, representative."""
     colours = points.select(F.col("row_id").alias("repr_row_id"), "r", "g", "b")
-    return voxel_offsets(voxels).join(colours, "repr_row_id").select(
+    return refusing_join(voxel_offsets(voxels), colours, ["repr_row_id"], "representative without a point").select(
         *VOXEL, "n", "point_offset", "r", "g", "b", F.lit(1).cast("long").alias("has_tile"), "repr_row_id"
     )
 

@@ -77,7 +77,7 @@ def audit_spatial(spark, sf):
     rows = minimap.spatial_rows(tiled, placed)
     pages = minimap.spatial_pages(rows, PAGE).withColumn("x1", F.when(F.col("page") == 3, F.col("x1") + 1).otherwise(F.col("x1")))
     wrong = rows.withColumn("corpus", F.when(F.col("corpus") == 2, 9).otherwise(F.col("corpus")).cast("long"))
-    known = placed.join(tiled.select(codec.unpack_point(F.col("packed"))[1].alias("row_id")), "row_id", "left_semi")
+    known = placed.join(tiled.select("row_id"), "row_id", "left_semi")
     return audits.audit_spatial(wrong, pages, tiled, known, PAGE)
 
 

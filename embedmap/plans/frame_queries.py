@@ -26,7 +26,7 @@ E3 = ["x0", "x1", "y0", "y1", "z0", "z1"]
 @query("robust_extent", sql_edges("raw3", E3))
 def robust_extent(spark, sf):
     df = points3(spark, sf)
-    return edges(spark, frames.robust_extent(df, ["x", "y", "z"], df.count()), E3)
+    return edges(spark, frames.robust_extent(df, ["x", "y", "z"]), E3)
 
 
 @query("exact_percentiles", """
@@ -44,7 +44,7 @@ def exact_percentiles(spark, sf):
 @query("cubify", sql_edges("f3", E3))
 def cubify(spark, sf):
     df = points3(spark, sf)
-    return edges(spark, frames.equalized(frames.robust_extent(df, ["x", "y", "z"], df.count())), E3)
+    return edges(spark, frames.equalized(frames.robust_extent(df, ["x", "y", "z"])), E3)
 
 
 @query("frame_3d", sql_edges("f3", E3))
@@ -63,7 +63,8 @@ part("s3h", "SELECT *, greatest(x1 - x0, y1 - y0, z1 - z0) / 2 AS h FROM s3r")
 @query("frame_3d_sampled", "SELECT " + ", ".join(
     f"round(({c}0 + {c}1) / 2 - h, 9) AS {c}0, round(({c}0 + {c}1) / 2 + h, 9) AS {c}1" for c in "xyz") + " FROM s3h")
 def frame_3d_sampled(spark, sf):
-    return edges(spark, frames.compute_frame_3d(points3(spark, sf), sample_over=1000, sample_rows=1000).extent, E3)
+    df = points3(spark, sf)
+    return edges(spark, frames.compute_frame_3d(frames.linspace_sample(df, df.count(), 1000)).extent, E3)
 
 
 @query("linspace_sample", """

@@ -152,11 +152,22 @@ def _conv_refs(spark, sf):
 SELECT p.*, 'conv/' || shard || '/' || local_row AS url, CAST(length(text) AS BIGINT) AS width, CAST(length(role) AS BIGINT) AS height
 FROM conv_refs p JOIN conversations ON conv_id = shard AND turn = local_row""")
 def gather_by_ref(spark, sf):
-    store = table(spark, sf, "conversations").select(
+    refs, store = _conv_refs(spark, sf), _conv_store(spark, sf)
+    return keys.gather_by_ref(refs.join(store, ["shard", "local_row"], "left_semi"), store)
+
+
+def _conv_store(spark, sf):
+    return table(spark, sf, "conversations").select(
         F.col("conv_id").alias("shard"), F.col("turn").alias("local_row"),
         F.concat_ws("/", F.lit("conv"), "conv_id", "turn").alias("url"),
         F.length("text").cast("long").alias("width"), F.length("role").cast("long").alias("height"))
-    return keys.gather_by_ref(_conv_refs(spark, sf), store)
+
+
+@query("unmatched_refs", """
+SELECT p.* FROM conv_refs p WHERE NOT EXISTS (SELECT 1 FROM conversations WHERE conv_id = shard AND turn = local_row)""")
+def unmatched_refs(spark, sf):
+    """References that gathering refuses."""
+    return keys.unmatched(_conv_refs(spark, sf), _conv_store(spark, sf), ["shard", "local_row"])
 
 
 @query("missing_refs", """

@@ -28,7 +28,7 @@ def images(spark, sf):
     source = o.join(lines, "o_orderkey").select(
         fname("o_custkey", "o_orderkey").alias("fname"), F.col("o_orderpriority").alias("subset"), "volume", "page")
     placed = assigned(spark, sf)
-    return metadata.build_images(points, placed, voxels.postings(placed), source)
+    return metadata.build_images(points, voxels.postings(placed), source)
 
 
 def books(spark, sf):
@@ -118,7 +118,7 @@ def image_fields(spark, sf):
 
 
 @query("find_books", """
-SELECT id, title FROM bks WHERE contains(lower(title), 'customer#00000012') AND id IN (SELECT book FROM img) ORDER BY title, id LIMIT 20""")
+SELECT id, title FROM bks WHERE contains(lower(title), 'customer#00000012') AND id IN (SELECT book FROM img) """)
 def find_books(spark, sf):
     return metadata.find_books(books(spark, sf), images(spark, sf), " cuSTomer#00000012 ")
 

@@ -100,11 +100,16 @@ def tiled(spark, sf):
     return minimap.points_tiled(quantized(spark, sf), ZOOM)
 
 
-@query("points_tiled", "SELECT pos, tile, qx, qy, corpus * 268435456 + row_id AS packed FROM til")
+@query("points_tiled", "SELECT pos, tile, qx, qy, corpus, row_id FROM til")
 def points_tiled(spark, sf):
     return tiled(spark, sf)
 
 
+@query("packed_points", "SELECT pos, tile, qx, qy, corpus * 268435456 + row_id AS packed FROM til")
+def packed_points(spark, sf):
+    return minimap.packed_points(tiled(spark, sf))
+
+
 @query("tile_offsets", f"""
 SELECT i AS tile, 8 * (SELECT count(*) FROM t2 WHERE tile < i) AS byte_offset FROM range({4 ** ZOOM + 1}) t(i)""")
 def tile_offsets(spark, sf):
@@ -134,7 +139,7 @@ def cap_for_budget(spark, sf):
     return minimap.cap_for_budget(counts, F.lit(q.count() // 2))
 
 
-LOD_LIMIT = minimap.LOD_BUDGET
+LOD_LIMIT = 2_000_000
 part("bud", f"SELECT least(count(*) // 4, {LOD_LIMIT}) AS budget FROM z2")
 part("occ", "SELECT z, bin_x, bin_y, CAST(sum(n) AS BIGINT) AS n FROM pyr GROUP BY 1, 2, 3")
 part("stz", "SELECT coalesce(max(z), 0) AS s FROM (SELECT z, count(*) AS bins FROM occ GROUP BY 1), bud WHERE bins <= budget")
@@ -238,7 +243,7 @@ def rows_in_radius_capped(spark, sf):
 
 @query("voxels_in_radius", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, chunk_id, local_id) AS rank FROM (
-  SELECT q, chunk_id, local_id, count(*) AS n FROM qd2 JOIN a3 USING (row_id) WHERE qd2.d2 <= 3000 * 3000 GROUP BY 1, 2, 3)) WHERE rank <= 384""")
+  SELECT q, chunk_id, local_id, count(*) AS n FROM qd2 JOIN a3 USING (row_id) WHERE qd2.d2 <= 3000 * 3000 GROUP BY 1, 2, 3))""")
 def voxels_in_radius(spark, sf):
     return minimap.voxels_in_radius(spatial(spark, sf), positions(spark, sf), 3000)
 

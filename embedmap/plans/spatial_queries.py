@@ -43,7 +43,7 @@ def voxels_in_sphere(spark, sf):
 SELECT q, rank, chunk_id, local_id, n, priority * {2 / GRID!r}::DOUBLE AS priority FROM (
   SELECT *, row_number() OVER (PARTITION BY q ORDER BY priority, chunk_id, local_id) AS rank FROM (
     SELECT *, round(sqrt(d2) * (1 - 0.5::DOUBLE * (CASE f WHEN 0 THEN dx WHEN 1 THEN dy ELSE dz END) / sqrt(d2)), 9) AS priority
-    FROM pv WHERE d2 > 2.4::DOUBLE * 2.4::DOUBLE AND d2 <= 3.4::DOUBLE * 3.4::DOUBLE)) WHERE rank <= 128""")
+    FROM pv WHERE d2 > 2.4::DOUBLE * 2.4::DOUBLE AND d2 <= 3.4::DOUBLE * 3.4::DOUBLE))""")
 def voxels_in_shell(spark, sf):
     return spatial.voxels_in_shell(voxel_table(spark, sf), probes(spark, sf), 0.3, GRID, VPC)
 

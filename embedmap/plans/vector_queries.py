@@ -71,29 +71,58 @@ def knn_l2(spark, sf):
     return vectors.knn_exact(base(spark, sf), centroids(spark, sf), K, "l2")
 
 
-def ivf(spark, sf, lists=None):
+LISTS, NPROBE = 8, 3
+
+
+def ivf(spark, sf):
+    """Lists around seeded rows, so that assignment and probing can be checked; training is tested apart."""
     b = base(spark, sf)
-    model = ann.ivf_train(b, b.count(), lists, seed=1)
+    model = ann.Ivf(ann.seeded_rows(b, LISTS, 1))
     return model, ann.ivf_assign(b, model)
 
 
-@query("ivf_assign")
+def probe_queries(spark, sf):
+    """Every fiftieth row as an image query."""
+    return base(spark, sf).filter("row_id % 50 = 0").select(F.col("row_id").alias("q"), vf.as_double(F.col("embedding")).alias("embedding"))
+
+
+part("ivc", f"SELECT list_id, e FROM (SELECT row_number() OVER (ORDER BY md5('1:' || row_id), row_id) - 1 AS list_id, e FROM emb) WHERE list_id < {LISTS}")
+part("ivd", "SELECT row_id, list_id, list_inner_product(ivc.e, ivc.e) - 2 * list_inner_product(emb.e, ivc.e) AS d FROM emb, ivc")
+part("iva", "SELECT row_id, list_id FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, list_id) AS k FROM ivd) WHERE k = 1")
+part("ivq", "SELECT row_id AS q, e FROM emb WHERE row_id % 50 = 0")
+part("ivs", "SELECT ivq.q, emb.row_id, round(list_inner_product(emb.e, ivq.e), 6) AS score FROM emb, ivq")
+part("ivt", f"SELECT q, row_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, row_id) AS k FROM ivs) WHERE k <= {K}")
+part("ivp", f"SELECT row_id AS q, list_id FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, list_id) AS k FROM ivd WHERE row_id % 50 = 0) WHERE k <= {NPROBE}")
+part("ivf", f"""
+SELECT q, row_id, score, rank FROM (SELECT ivs.*, row_number() OVER (PARTITION BY q ORDER BY score DESC, row_id) AS rank
+  FROM ivs JOIN iva USING (row_id) JOIN ivp USING (q, list_id)) WHERE rank <= {K}""")
+
+
+@query("ivf_assign", "SELECT row_id, list_id FROM iva")
 def ivf_assign(spark, sf):
-    return ivf(spark, sf)[1].groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+    return ivf(spark, sf)[1].select("row_id", "list_id")
 
 
 @query("ivf_search_all_lists", "SELECT * FROM knnt")
 def ivf_search_all_lists(spark, sf):
     model, index = ivf(spark, sf)
-    return ann.ivf_search(index, model, centroids(spark, sf), K, nprobe=len(model.centroids))
+    return ann.ivf_search(index, model, centroids(spark, sf), K, nprobe=LISTS)
+
+
+@query("ivf_search", "SELECT * FROM ivf")
+def ivf_search(spark, sf):
+    model, index = ivf(spark, sf)
+    return ann.ivf_search(index, model, probe_queries(spark, sf), K, NPROBE)
 
 
-@query("ivf_search_recall")
+@query("ivf_search_recall", f"""
+SELECT count(*) AS n_queries, round(avg(r), 9) AS recall FROM (
+  SELECT q, (SELECT count(*) FROM ivt t JOIN ivf f USING (q, row_id) WHERE t.q = ivq.q) / {K}.0::DOUBLE AS r FROM ivq)""")
 def ivf_search_recall(spark, sf):
     model, index = ivf(spark, sf)
-    q = held_out(spark, sf)
+    q = probe_queries(spark, sf)
     truth = vectors.knn_exact(base(spark, sf), q, K)
-    return vectors.recall_at_k(ann.ivf_search(index, model, q, K, nprobe=max(1, len(model.centroids) // 2)), truth, K)
+    return vectors.recall_at_k(ann.ivf_search(index, model, q, K, NPROBE), truth, K).withColumn("recall", F.round("recall", 9))
 
 
 @query("sq8_ranges", "SELECT dim, min(v) AS lo, max(v) AS hi FROM dims GROUP BY dim")
@@ -122,14 +151,49 @@ def sq8_search(spark, sf):
     return vectors.knn_exact(vectors.sq8_decode(vectors.sq8_encode(b, ranges), ranges), centroids(spark, sf), K)
 
 
-@query("pq_search_refined")
+SUBS, PQ_CODES = 8, 16
+
+part("pqc", f"""
+SELECT code, s, e[s * 8 + 1:s * 8 + 8] AS c FROM (SELECT row_number() OVER (ORDER BY md5('2:' || row_id), row_id) - 1 AS code, e FROM emb),
+  (SELECT unnest(range({SUBS})) AS s) WHERE code < {PQ_CODES}""")
+part("pqe", """
+SELECT row_id, s, code, c FROM (
+  SELECT row_id, s, code, c, row_number() OVER (PARTITION BY row_id, s ORDER BY list_inner_product(c, c) - 2 * list_inner_product(e[s * 8 + 1:s * 8 + 8], c), code) AS k
+  FROM emb, pqc) WHERE k = 1""")
+part("pqs", f"""
+SELECT q, row_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, row_id) AS rank FROM (
+  SELECT q, row_id, round(sum(list_inner_product(ivq.e[s * 8 + 1:s * 8 + 8], c)), 6) AS score FROM pqe, ivq GROUP BY q, row_id)) WHERE rank <= {4 * K}""")
+part("pqr", f"""
+SELECT q, row_id FROM (SELECT q, row_id, row_number() OVER (PARTITION BY q ORDER BY ivs.score DESC, row_id) AS k FROM pqs JOIN ivs USING (q, row_id)) WHERE k <= {K}""")
+
+
+def pq_books(spark, sf):
+    """Codebooks from seeded rows; training is tested apart."""
+    return ann.seeded_rows(base(spark, sf), PQ_CODES, 2).reshape(PQ_CODES, SUBS, -1).transpose(1, 0, 2).copy()
+
+
+@query("pq_encode", "SELECT row_id, CAST(s AS INTEGER) AS sub, CAST(code AS INTEGER) AS code FROM pqe")
+def pq_encode(spark, sf):
+    codes = ann.pq_encode(base(spark, sf), pq_books(spark, sf))
+    byte = F.transform(F.sequence(F.lit(1), F.lit(SUBS)), lambda i: F.conv(F.hex(F.substring("codes", i, F.lit(1))), 16, 10).cast("int"))
+    return codes.select("row_id", F.posexplode(byte).alias("sub", "code"))
+
+
+@query("pq_search", "SELECT * FROM pqs")
+def pq_search(spark, sf):
+    books = pq_books(spark, sf)
+    return ann.pq_search(ann.pq_encode(base(spark, sf), books), books, probe_queries(spark, sf), K * 4)
+
+
+@query("pq_search_refined", "SELECT stage, count(*) AS n_queries, round(avg(r), 9) AS recall FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS stage, (SELECT count(*) FROM ivt t JOIN {found} f USING (q, row_id) WHERE t.q = ivq.q) / {K}.0::DOUBLE AS r FROM ivq"
+    for name, found in (("codes", f"(SELECT q, row_id FROM pqs WHERE rank <= {K})"), ("refined", "pqr"))) + ") GROUP BY stage")
 def pq_search_refined(spark, sf):
     """Recall of product-quantised search before and after refinement."""
-    b, q = base(spark, sf), held_out(spark, sf)
-    books = ann.pq_train(b, b.count(), 8, seed=1)
+    b, q, books = base(spark, sf), probe_queries(spark, sf), pq_books(spark, sf)
     candidates = ann.pq_search(ann.pq_encode(b, books), books, q, K * 4)
     truth = vectors.knn_exact(b, q, K)
-    tag = lambda df, name: vectors.recall_at_k(df, truth, K).withColumn("stage", F.lit(name))
+    tag = lambda df, name: vectors.recall_at_k(df, truth, K).withColumn("stage", F.lit(name)).withColumn("recall", F.round("recall", 9))
     return tag(candidates, "codes").unionByName(tag(ann.refine(candidates, b, q, K), "refined"))
 
 

@@ -13,16 +13,11 @@ COLUMNS = ["version", "dataset", "pack", "chunk_id", "voxel_id", "row_id", "thum
            "cursor", "returned_row_ids", "first_extracted_at", "last_extracted_at", "selected_row_ids"]
 LEGACY_COLUMNS = COLUMNS[:-1]
 BLOCK_FIELDS = COLUMNS[7:]
-LIST_LIMIT = 1_000_000  # ids in one CSV cell; a longer queue stays in the table form, which has no such limit
 
 
 def _joined(rows: DataFrame, condition, name: str) -> DataFrame:
-    """Ids per voxel in seq order as 'a;b;c'. The format wants the list in one cell, so its length is checked first."""
-    picked = rows.filter(condition)
-    sizes = picked.groupBy(*VOXEL).agg(F.count(F.lit(1)).alias("_n"))
-    if not sizes.filter(F.col("_n") > LIST_LIMIT).isEmpty():
-        raise ValueError(f"{name} of one block has more than {LIST_LIMIT} ids; publish the tables instead")
-    listed = picked.groupBy(*VOXEL).agg(F.array_sort(F.collect_list(F.struct("seq", "row_id"))).alias("_l"))
+    """Ids per voxel in seq order as 'a;b;c': the format wants the list in one cell. The tables hold them one per row."""
+    listed = rows.filter(condition).groupBy(*VOXEL).agg(F.array_sort(F.collect_list(F.struct("seq", "row_id"))).alias("_l"))
     return listed.select(*VOXEL, F.concat_ws(";", F.transform("_l", lambda e: e["row_id"].cast("string"))).alias(name))
 
 

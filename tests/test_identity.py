@@ -136,3 +136,18 @@ def test_concat_and_extend(spark):
     assert rows(keys.concat_corpora(parts)) == [(i,) for i in range(5)]
     meta = frame(spark, "row_id long, url string, url_len long, width long, height long", (0, "u", 1, 2, 3))
     assert rows(keys.extend_metadata(meta, 2).na.fill("-"), "row_id", "url", "url_len", "width") == [(0, "u", 1, 2), (1, "-", 0, 0)]
+
+
+def test_joins_refuse_rows_without_a_partner(spark):
+    idx, pool = frame(spark, "row_id long, pool_row long", (0, 3), (1, 4)), frame(spark, "pool_row long, m string", (3, "x"))
+    assert rows(keys.unmatched(idx, pool, ["pool_row"]), "row_id") == [(1,)]
+    with pytest.raises(Exception, match="not in the pool"):
+        keys.select_draw(pool, idx).collect()
+    points = frame(spark, "row_id long, shard long, local_row long", (0, 1, 2))
+    store = frame(spark, "shard long, local_row long, url string, width long, height long", (1, 2, "u", -5, 7))
+    assert rows(keys.gather_by_ref(points, store), "width", "height") == [(0, 7)]
+
+
+def test_a_row_listed_twice_is_one_candidate(spark):
+    found = frame(spark, "row_id long, hash string", (5, "h"), (5, "h"))
+    assert rows(keys.collision_map(found, frame(spark, "ann_id long, hash string", (0, "h"))), "row_id", "n_candidates") == [(5, 1)]

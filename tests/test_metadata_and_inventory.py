@@ -13,9 +13,15 @@ TYPES = ("covers", "plates")
 @pytest.fixture(scope="module")
 def catalogue(spark):
     books = spark.createDataFrame([("000000001", "A 100% book", "Author", "", "London")], "id string, title string, author string, publisher string, place string")
-    images = spark.createDataFrame(
-        [(i, "covers" if i < 4 else "plates", i % 4, "000000001" if i < 4 else "000000002", None if i == 0 else 1800 + i, i // 4, i % 2, i // 2,
-          f"{1 if i < 4 else 2:09d}_{i}.jpg", None, "7") for i in range(8)],
+    images = spark.createDataFrame([
+        (0, "covers", 0, "000000001", None, 0, 0, 0, "000000001_0.jpg", None, "7"),
+        (1, "covers", 1, "000000001", 1801, 0, 1, 0, "000000001_1.jpg", None, "7"),
+        (2, "covers", 2, "000000001", 1802, 0, 0, 1, "000000001_2.jpg", None, "7"),
+        (3, "covers", 3, "000000001", 1803, 0, 1, 1, "000000001_3.jpg", None, "7"),
+        (4, "plates", 0, "000000002", 1804, 1, 0, 2, "000000002_4.jpg", None, "7"),
+        (5, "plates", 1, "000000002", 1805, 1, 1, 2, "000000002_5.jpg", None, "7"),
+        (6, "plates", 2, "000000002", 1806, 1, 0, 3, "000000002_6.jpg", None, "7"),
+        (7, "plates", 3, "000000002", 1807, 1, 1, 3, "000000002_7.jpg", None, "7")],
         "row_id long, subset string, local_idx long, book string, year int, chunk_id long, local_id long, pos long, fname string, volume string, page string")
     return images, books
 
@@ -85,14 +91,15 @@ def test_detail(spark, catalogue):
 def test_images_need_a_book(spark):
     pts = spark.createDataFrame([(0, "covers", 0, "000000001_a.jpg", "1850"), (1, "covers", 1, "000000001_b.jpg", "c. 1850")],
                                 "row_id long, subset string, local_idx long, fname string, date string")
-    place = spark.createDataFrame([(0, 0, 0), (1, 0, 1)], "row_id long, chunk_id long, local_id long")
-    post = spark.createDataFrame([(0, 0), (1, 0)], "row_id long, pos long")
+    post = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 1, 0)], "row_id long, chunk_id long, local_id long, pos long")
     src = spark.createDataFrame([("000000001_a.jpg", "covers", "1", "2")], "fname string, subset string, volume string, page string")
-    assert rows(metadata.build_images(pts, place, post, src).na.fill(-1), "row_id", "book", "year") == [(0, "000000001", 1850), (1, "000000001", -1)]
+    assert rows(metadata.build_images(pts, post, src).na.fill(-1), "row_id", "book", "year") == [(0, "000000001", 1850), (1, "000000001", -1)]
     with pytest.raises(Exception, match="missing book"):
-        metadata.build_images(pts.withColumn("fname", F.lit("x.jpg")), place, post, src).collect()
+        metadata.build_images(pts.withColumn("fname", F.lit("x.jpg")), post, src).collect()
     with pytest.raises(ValueError):
-        metadata.build_images(pts, place, post, src.union(src))
+        metadata.build_images(pts, post, src.union(src))
+    with pytest.raises(Exception, match="without a posting"):
+        metadata.build_images(pts, post.filter("row_id = 0"), src).collect()
 
 
 def test_filtered_cell_takes_the_first_largest(spark):

@@ -49,7 +49,7 @@ def test_tiled_order_and_pages(spark, hot):
     q = quantised(spark, hot=hot)
     tiled = minimap.points_tiled(q, ZOOM, hot_rows=200, split_bits=5)
     want = [r.row_id for r in minimap.with_tile(q, ZOOM).orderBy("tile", "morton", "row_id").collect()]
-    got = [r.packed & (2**28 - 1) for r in tiled.orderBy("pos").collect()]
+    got = [r.packed & (2**28 - 1) for r in minimap.packed_points(tiled).orderBy("pos").collect()]
     assert got == want
     pages = minimap.spatial_pages(tiled, 100)
     assert rows(pages, "page", "start", "n") == [(i, i * 100, 100) for i in range(30)]

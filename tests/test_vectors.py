@@ -61,8 +61,10 @@ def test_zero_and_nan_vectors_are_refused(spark):
 
 
 def test_all_lists_equal_exact_and_fewer_lists_lose_little(spark, base, queries):
-    model = ann.ivf_train(base, 400, seed=1)
-    assert len(model.centroids) <= 20
+    model = ann.ivf_train(base, 20, seed=1)
+    assert len(model.centroids) == 20
+    with pytest.raises(Exception):
+        ann.ivf_train(base.limit(3), 9)
     index = ann.ivf_assign(base, model).cache()
     assert rows(index, "row_id") == [(i,) for i in range(400)]
     exact = vectors.knn_exact(base.withColumn("embedding", F.col("embedding").cast("array<float>")), queries, 10)
@@ -72,14 +74,22 @@ def test_all_lists_equal_exact_and_fewer_lists_lose_little(spark, base, queries)
 
 
 def test_index_is_stored_by_list(spark, base, scratch):
-    model = ann.ivf_train(base, 400, lists=4, seed=1)
-    ann.write_ivf(ann.ivf_assign(base, model), f"{scratch}/ivf")
-    assert spark.read.parquet(f"{scratch}/ivf").count() == 400
+    model = ann.ivf_train(base, 4, seed=1)
+    index = ann.ivf_assign(base, model)
+    ann.write_ivf(index, f"{scratch}/ivf")
+    stored, q = ann.read_ivf(spark, f"{scratch}/ivf"), frame(spark, X[[7]], "q")
+    assert stored.count() == 400
+    found = ann.ivf_search(stored, model, q, 5, 1)
+    assert rows(found) == rows(ann.ivf_search(index, model, q, 5, 1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [EqualTo(list_id" in plan or "PushedFilters: [In(list_id" in plan or "EqualTo(list_id" in plan
 
 
 def test_product_codes_and_refinement(base, queries):
-    books = ann.pq_train(base, 400, 8, seed=1)
+    books = ann.pq_train(base, 8, 100, seed=1)
     assert books.shape == (8, 100, 4)
+    with pytest.raises(ValueError):
+        ann.pq_train(base, 8, 257)
     coded = ann.pq_encode(base, books)
     assert coded.first().codes.__len__() == 8
     candidates = ann.pq_search(coded, books, queries, 80)
@@ -115,3 +125,25 @@ def test_projections(base):
     assert not vectors.projection_error(out, out.withColumn("x", F.col("x") + 0.01), ["x", "y"]).first().ok
     with pytest.raises(Exception, match="non-finite"):
         vectors.project_head(base, [(w1 * np.inf, [0.0] * 8)], list("abcdefgh")).collect()
+
+
+def test_null_and_ragged_vectors_are_refused(spark):
+    schema = "row_id long, embedding array<double>"
+    for broken in ([(0, [1.0, 2.0]), (1, None)], [(0, [1.0, None]), (1, [1.0, 2.0])], [(0, [1.0, 2.0, 3.0]), (1, [1.0])]):
+        df = spark.createDataFrame(broken, schema).coalesce(1)
+        for op in (vectors.int8_encode, vectors.sq8_train, vectors.l2_normalize):
+            with pytest.raises(Exception, match="null vector|different lengths"):
+                op(df).collect()
+    empty = spark.createDataFrame([], schema)
+    assert vectors.project_affine(empty, [0.0], [[1.0]]).count() == vectors.int8_encode(empty).count() == 0
+
+
+def test_many_queries_are_scored_in_slices(base, queries, monkeypatch):
+    whole = rows(vectors.knn_exact(base, queries, 5))
+    monkeypatch.setattr(vectors, "SCORE_VALUES", 7)
+    assert rows(vectors.knn_exact(base, queries, 5)) == whole
+
+
+def test_projection_of_the_mean_is_refused(spark):
+    with pytest.raises(Exception, match="cannot be normalised"):
+        vectors.project_affine(frame(spark, np.ones((1, 2))), [1.0, 1.0], np.eye(2)).collect()
