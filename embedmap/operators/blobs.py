@@ -38,14 +38,12 @@ def lookup_spans(offsets: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def check_offsets(offsets: DataFrame, shards: DataFrame, max_span: int = MAX_SPAN) -> DataFrame:
+def check_offsets(offsets: DataFrame, shards: DataFrame, max_span: int = MAX_SPAN, split_bits: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Violations per shard. offsets: shard, local, start, end; shards: shard, n_rows, n_bytes as declared."""
-    w = Window.partitionBy("shard").orderBy("local")
-    prev = F.lag("end").over(w)
     size = F.col("end") - F.col("start")
-    per_row = offsets.withColumns({
-        "_gap": F.coalesce(prev != F.col("start"), F.col("start") != 0), "_bad": (size < 0), "_big": size > max_span,
-    })
+    # Spans follow each other without gaps exactly if every start is the sum of the sizes before it.
+    summed = running_total(offsets, ["shard"], ["local"], size, "_sum", id_bucket("local", split_bits), hot_rows)
+    per_row = summed.withColumns({"_gap": F.col("_sum") != F.col("start"), "_bad": size < 0, "_big": size > max_span})
     agg = per_row.groupBy("shard").agg(
         F.count_if("_gap").alias("gaps"), F.count_if("_bad").alias("negative"), F.count_if("_big").alias("oversize"),
         F.max("end").alias("_end"), F.count(F.lit(1)).alias("_n"),

@@ -56,11 +56,13 @@ def _take(candidates: DataFrame, batch: int) -> DataFrame:
 def next_batch(postings: DataFrame, rows: DataFrame, stacks: DataFrame, batch: int = PICKAXE_BATCH) -> DataFrame:
     """Next rows of every voxel: the return queue first, then postings from the cursor on, selected rows skipped."""
     queue = rows.filter(F.col("state") == "returned").select(*VOXEL, "row_id", F.lit(0).alias("cls"), F.col("seq").alias("ord"))
-    selected = rows.filter("selected").select("row_id")
+    # A selected row is known with its voxel: the voxel in the key lets the join keep what the first one shuffled, and
+    # the row in the key spreads a crowded voxel.
+    selected = rows.filter("selected").select(*VOXEL, "row_id")
     fresh = (
         postings.join(stacks.select(*VOXEL, "cursor"), VOXEL, "left")
         .filter(F.col("pos") >= F.coalesce("cursor", F.lit(0)))
-        .join(selected, "row_id", "left_anti")
+        .join(selected, [*VOXEL, "row_id"], "left_anti")
         .select(*VOXEL, "row_id", F.lit(1).alias("cls"), F.col("pos").alias("ord"))
     )
     return _take(queue.unionByName(fresh), batch)

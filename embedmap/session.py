@@ -4,10 +4,28 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, whatever folder the driver was started in. Does nothing the second time."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_embedmap_shipped", None) == root:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{os.path.basename(root)}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)  # Spark copies it; the driver's own file is no longer needed after that
+    sc._embedmap_shipped = root
+
+
 def get_session(app: str = "embedmap", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Session with UTC, ANSI and AQE on. On a cluster leave ``master`` and the partition count to spark-submit."""
     builder = (
@@ -23,7 +41,9 @@ def get_session(app: str = "embedmap", master: str | None = None, shuffle_partit
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -24,12 +24,10 @@ def contract_diff(new: DataFrame, old: DataFrame, cols: Sequence[str], key: str
     tagged = lambda df, p: df.select(F.col(key).alias("_key"), F.lit(True).alias(f"{p}here"), *[F.col(c).alias(f"{p}{c}") for c in cols])
     both = tagged(new, "_a").join(tagged(old, "_b"), "_key", "full")
     alone = F.col("_ahere").isNull() | F.col("_bhere").isNull()
-    wide = both.select("_key", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), (alone | ~F.col(f"_a{c}").eqNullSafe(F.col(f"_b{c}"))).alias("differs")) for c in cols
-    ])).alias("_d"))
-    return wide.groupBy("_d.column").agg(
-        F.count_if("_d.differs").alias("n_differing"), F.min(F.when(F.col("_d.differs"), F.col("_key"))).alias("first_row")
-    )
+    differs = {c: alone | ~F.col(f"_a{c}").eqNullSafe(F.col(f"_b{c}")) for c in cols}
+    one = both.agg(*[F.struct(F.lit(c).alias("column"), F.count_if(d).alias("n_differing"), F.min(F.when(d, F.col("_key"))).alias("first_row")).alias(f"_{i}")
+                     for i, (c, d) in enumerate(differs.items())])
+    return one.select(F.explode(F.array(*[F.col(f"_{i}") for i in range(len(differs))])).alias("_d")).select("_d.*")
 
 
 def check_contract(new: DataFrame, old: DataFrame, cols: Sequence[str], key: str = "row_id") -> None:

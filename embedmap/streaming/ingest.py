@@ -6,29 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from embedmap.operators.metrics import hourly_usage
 
+RECEIPT = "batch long, shard string, n_rows long"
+
 
 def ingest_shards_stream(spark: SparkSession, src: str, dst: str, checkpoint: str, schema: StructType | str) -> StreamingQuery:
     """Ingest every shard file of ``src`` exactly once; finished ones are skipped on restart.
 
-    The source remembers processed files in its checkpoint. A batch replaces the shard partitions it contains, so a
-    repeated batch after a failure gives the same result, and a shard is visible only when its batch is committed.
-    Files carry a ``shard`` column; a shard arrives in one file.
+    The source remembers processed files in its checkpoint. Every batch writes a folder of its own, ``batch=<id>``, and then its
+    receipt; a repeated batch after a failure replaces both, and ``read_ingested`` shows batches with a receipt only. A shard may
+    arrive in any number of files and batches. Files carry a ``shard`` column.
     """
     stream = spark.readStream.schema(schema).parquet(src)
 
-    def store(batch: DataFrame, _: int) -> None:
-        (
-            batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(dst)
-        )
+    def store(batch: DataFrame, number: int) -> None:
+        rows, receipt = f"{dst}/rows/batch={number}", f"{dst}/receipts/{number}"
+        batch.write.mode("overwrite").parquet(rows)
+        counted = batch.sparkSession.read.parquet(rows).groupBy(F.col("shard").cast("string").alias("shard")).agg(F.count(F.lit(1)).alias("n_rows"))
+        counted.select(F.lit(number).cast("long").alias("batch"), "shard", "n_rows").write.mode("overwrite").parquet(receipt)
 
     return (
         stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def receipts(spark: SparkSession, dst: str) -> DataFrame:
+    """Finished batches: batch, shard, n_rows."""
+    try:
+        return spark.read.schema(RECEIPT).parquet(f"{dst}/receipts/*")
+    except AnalysisException:
+        return spark.createDataFrame([], RECEIPT)
+
+
+def read_ingested(spark: SparkSession, dst: str) -> DataFrame:
+    """Rows of the finished batches."""
+    done = [r.batch for r in receipts(spark, dst).select("batch").distinct().collect()]
+    if not done:
+        raise FileNotFoundError(f"no finished batch in {dst}")
+    return spark.read.option("basePath", f"{dst}/rows").parquet(*[f"{dst}/rows/batch={b}" for b in sorted(done)]).drop("batch")
+
+
 def hourly_usage_stream(events: DataFrame, by: list[str], delay: str = "10 minutes") -> DataFrame:
     """Hourly sums of a stream of (at, value): an hour is emitted once, when the watermark has passed it."""
     return hourly_usage(events.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay), by)

@@ -168,9 +168,13 @@ def test_resumed_ingest_skips_finished_shards(spark, scratch):
     shard(0, "a").write.mode("append").parquet(f"{scratch}/in")
     run()
     shard(1, "b").write.mode("append").parquet(f"{scratch}/in")
+    shard(0, "c").write.mode("append").parquet(f"{scratch}/in")  # a second file of the first shard
     run()
     run()
-    assert rows(spark.read.parquet(f"{scratch}/out").groupBy("shard", "payload").count()) == [(0, "a", 3), (1, "b", 3)]
+    assert rows(ingest.read_ingested(spark, f"{scratch}/out").groupBy("shard", "payload").count()) == [(0, "a", 3), (0, "c", 3), (1, "b", 3)]
+    assert rows(ingest.receipts(spark, f"{scratch}/out"), "batch", "shard", "n_rows") == [(0, "0", 3), (1, "0", 3), (1, "1", 3)]
+    spark.read.parquet(f"{scratch}/in").write.parquet(f"{scratch}/out/rows/batch=9")  # rows of a batch that didn't finish
+    assert ingest.read_ingested(spark, f"{scratch}/out").count() == 9
 
 
 def test_streamed_hours_equal_the_batch(spark, scratch):
