@@ -191,13 +191,57 @@ def op6(spark, sf):
     return out.select("doc_id", "source", *[f"_mix.{c}" for c in ("epoch", "block", "tokens", "source_tokens", "source_budget")])
 
 
-@query("op5_minhash_near_dedup")
+NEAR_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 2))) AS i FROM cut WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), two_way AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT x AS doc_id, x AS other FROM two_way UNION SELECT reach.doc_id, two_way.y FROM reach JOIN two_way ON reach.other = two_way.x
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
+@query("op5_minhash_near_dedup", NEAR_SQL)
 def op5(spark, sf):
     """Classes of documents at 0.85 similarity of three-word shingles."""
     return neardup.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
 
 
-@query("op7_substring_dedup")
+REPEAT_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 35], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 34)) AS i FROM cut WHERE len(w) >= 35)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS pos FROM (SELECT doc_id, i, unnest(range(35)) AS k FROM again)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM cut
+), left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY words.pos) AS kept FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+), lost AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM cut LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@query("op7_substring_dedup", REPEAT_SQL)
 def op7(spark, sf):
     """Words of every document, words in repeated windows of 35, and a digest of what stays."""
     out = substrings.remove_repeats(table(spark, sf, "documents"))
