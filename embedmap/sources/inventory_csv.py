@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from embedmap.operators.inventory import VOXEL
 from embedmap.operators.ordering import HOT_ROWS, id_bucket, rank_in_group
@@ -52,15 +53,18 @@ def write_inventory_csv(csv: DataFrame, path: str) -> None:
 def read_inventory_csv(spark: SparkSession, path: str) -> DataFrame:
     """Lines as text columns with ``line`` increasing in file order; both header widths are accepted.
 
-    A multi-line file is read by one task, so the running id orders its lines; the part number orders the files.
+    A multi-line file is read by one task, so the running id orders its lines; the rank of its name orders the files.
     """
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
     names = [c.lstrip("\ufeff").strip('"') for c in df.columns]
     if names not in (COLUMNS, LEGACY_COLUMNS):
         raise ValueError("not an inventory CSV")
-    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long"), F.lit(0))
-    line = F.shiftleft(part, 34).bitwiseOR(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns], line.alias("line")).toDF(*names, "line")
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_metadata.file_path").alias("_file"), within.alias("_within"))
+    files = df.select(F.col("_metadata.file_path").alias("_file")).distinct()  # one row per file
+    files = files.withColumn("_rank", F.row_number().over(Window.orderBy("_file")).cast("long") - 1)
+    line = F.shiftleft("_rank", 34).bitwiseOR(F.col("_within"))
+    df = lines.join(files, "_file").withColumn("_line", line).drop("_file", "_rank", "_within").toDF(*names, "line")
     if names == LEGACY_COLUMNS:
         df = df.withColumn("selected_row_ids", F.lit(""))
     return df.na.fill("")

@@ -29,8 +29,8 @@ def read_manifest_set(spark: SparkSession, paths: Mapping[str, str], cols: Seque
             df = spark.read.parquet(path)
         except AnalysisException as error:
             raise FileNotFoundError(f"subset {subset} has no files at {path}") from error
-        if not df.inputFiles():
-            raise FileNotFoundError(f"subset {subset} has no files at {path}")
+        if df.isEmpty():
+            raise FileNotFoundError(f"subset {subset} has no rows at {path}")
         df = df.select(*(cols or df.columns), F.col("_metadata.file_path").alias("source_file")).withColumn("subset", F.lit(subset))
         out = df if out is None else out.unionByName(df)
     if out is None:
