@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from embedmap.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -14,6 +16,7 @@ def query(name: str, check: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return fn(spark, sf)
 
         run.__name__, run.__doc__ = name, fn.__doc__
