@@ -338,3 +338,18 @@ def search_report(builds: DataFrame, evals: DataFrame) -> DataFrame:
     """One row per build and setting; a build without a result keeps its error. builds: build, settings array, error."""
     settings = builds.select("build", "bytes", F.explode_outer("settings").alias("setting"), "error")
     return settings.join(evals, ["build", "setting"], "left")
+
+
+def evaluation_report(found: DataFrame, truth: DataFrame, timings: DataFrame, groups: DataFrame, ks: Sequence[int] = (24, 10)) -> DataFrame:
+    """One row per setting and query group: queries, recall at each k, median and 95th percentile of the time.
+
+    found: setting, q, row_id, rank; truth: q, row_id, rank; timings: setting, q, ms (every query that was run); groups: q, grp.
+    """
+    per_query = timings.join(groups, "q")
+    for k in ks:
+        wanted = truth.filter(F.col("rank") <= k).select("q", "row_id")
+        hits = found.filter(F.col("rank") <= k).join(wanted, ["q", "row_id"]).groupBy("setting", "q").agg((F.count(F.lit(1)) / F.lit(float(k))).alias(f"_r{k}"))
+        per_query = per_query.join(hits, ["setting", "q"], "left")
+    return per_query.groupBy("setting", "grp").agg(
+        F.count(F.lit(1)).alias("n_queries"), *[F.avg(F.coalesce(f"_r{k}", F.lit(0.0))).alias(f"recall_{k}") for k in ks],
+        F.percentile("ms", F.lit(0.5)).alias("p50_ms"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"))
