@@ -4,9 +4,9 @@ Heuristic labellers vote on every whole text: 1 (unwanted), 0 (fine) or 2 (no op
 pattern of votes, with the known label where one exists; the patterns are at most 3^labellers, however many
 documents there are. Expectation-maximisation over these counts estimates how each labeller votes in either class (known labels stay
 fixed), and so a posterior per pattern. The posteriors are the labels of a logistic scorer over hashed words and votes, fitted on a sample
-of at most 4 x ``SAMPLE`` documents (equally many per posterior class where there are so many) and applied to all of them.
+of about ``SAMPLE`` documents per posterior class (all of a smaller class) and applied to all of them.
 
-The toxic lexicon is a labeller too: words that at least ``LEXICON_DOCS`` toxic documents of at most ``LABELLED`` labelled ones
+The toxic lexicon is a labeller too: words that at least ``LEXICON_DOCS`` toxic documents of about ``LABELLED`` labelled ones
 hold and few others do.
 
 Defined cases: null and blank texts vote as short texts; ids that are null have no known label; of several labels of one id the largest
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,9 +138,15 @@ def _with(docs: DataFrame, text_col: str, name: str, kind: T.DataType, lexicon,
 _PATTERNS = T.StructType([T.StructField(t, T.LongType()) for t in TARGETS])
 
 
+def _drawn(id_col: str) -> Column:
+    """Uniform number of 0..1 that depends on the id only: a share of the rows without sorting or gathering them."""
+    return F.pmod(F.xxhash64(F.lit("drawn"), id_col), F.lit(1 << 31)) / F.lit(float(1 << 31))
+
+
 def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> list[str]:
     """Words held by many toxic and few other documents, of at most LABELLED labelled documents."""
-    some = labels.filter(F.col("toxic").isNotNull()).orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(LABELLED)
+    some = labels.filter(F.col("toxic").isNotNull())
+    some = some.filter(_drawn("id") < LABELLED / max(1, some.count()))
     held = docs.join(F.broadcast(some.select("id", "toxic")), "id").select(
         "toxic", F.explode(F.array_distinct(F.transform(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.lower(F.btrim(w, F.lit(_EDGE)))))).alias("word"))
     least = max(LEXICON_DOCS, LEXICON_OF_TOXIC * (some.agg(F.sum("toxic")).first()[0] or 0))
@@ -254,10 +260,12 @@ def weak_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         tables[target] = dict(zip(p.tolist(), posterior.tolist()))
     wanted = joined.select("id", *[F.coalesce(F.col(t).cast("double"), _posterior(F.col(f"p.{t}"), tables[t])).alias(t) for t in TARGETS])
     order = F.md5(F.col("id").cast("string").cast("binary"))
-    by_class = Window.partitionBy(*[F.col(t) > 0.5 for t in TARGETS]).orderBy(order, "id")
-    sample = wanted.filter(F.col("id").isNotNull()).withColumn("rank", F.row_number().over(by_class)).filter(F.col("rank") <= SAMPLE)
+    likely = F.concat_ws(",", *[(F.col(t) > 0.5).cast("string") for t in TARGETS])
+    wanted = wanted.filter(F.col("id").isNotNull()).withColumn("_class", likely)
+    shares = [x for r in wanted.groupBy("_class").count().collect() for x in (F.lit(r[0]), F.lit(min(1.0, SAMPLE / r[1])))]  # 2^targets classes
+    sample = wanted.filter(_drawn("id") < F.element_at(F.create_map(*shares), F.col("_class"))) if shares else wanted
     sample = stored(sample.groupBy("id").agg(*[F.max(t).alias(t) for t in TARGETS]))
-    rows = slim.join(F.broadcast(sample), "id")  # at most SAMPLE documents per class
+    rows = slim.join(F.broadcast(sample), "id")  # about SAMPLE documents per class
     lists = _with(rows, "text", "features", T.ArrayType(T.LongType()), lexicon, _feature_lists)
     lists = stored(lists.select(order.alias("order"), "features", *TARGETS).dropDuplicates(["order"]))
     fitted = lists.coalesce(1).mapInArrow(_fit_scorer(EPOCHS), "feature long, weights array<double>").collect()
