@@ -72,6 +72,8 @@ def knn_l2(spark, sf):
 
 
 LISTS, NPROBE = 8, 3
+#: Trained lists and probes: the smallest share of lists with a recall of at least 0.9 on these vectors, whose neighbours lie in many lists.
+TRAINED_LISTS, TRAINED_NPROBE = 16, 12
 
 
 def ivf(spark, sf):
@@ -81,6 +83,13 @@ def ivf(spark, sf):
     return model, ann.ivf_assign(b, model)
 
 
+def ivf_trained(spark, sf):
+    """Lists by k-means over the whole table. k-means has no SQL form: tests hold the searches against brute force."""
+    b = base(spark, sf)
+    model = ann.ivf_train(b, TRAINED_LISTS, seed=1)
+    return model, ann.ivf_assign(b, model)
+
+
 def probe_queries(spark, sf):
     """Every fiftieth row as an image query."""
     return base(spark, sf).filter("row_id % 50 = 0").select(F.col("row_id").alias("q"), vf.as_double(F.col("embedding")).alias("embedding"))
@@ -105,8 +114,9 @@ def ivf_assign(spark, sf):
 
 @query("ivf_search_all_lists", "SELECT * FROM knnt")
 def ivf_search_all_lists(spark, sf):
-    model, index = ivf(spark, sf)
-    return ann.ivf_search(index, model, centroids(spark, sf), K, nprobe=LISTS)
+    """All lists of the trained index, which give the exact answer."""
+    model, index = ivf_trained(spark, sf)
+    return ann.ivf_search(index, model, centroids(spark, sf), K, nprobe=TRAINED_LISTS)
 
 
 @query("ivf_search", "SELECT * FROM ivf")
@@ -125,6 +135,24 @@ def ivf_search_recall(spark, sf):
     return vectors.recall_at_k(ann.ivf_search(index, model, q, K, NPROBE), truth, K).withColumn("recall", F.round("recall", 9))
 
 
+@query("ivf_assign_trained")
+def ivf_assign_trained(spark, sf):
+    return ivf_trained(spark, sf)[1].select("row_id", "list_id")
+
+
+@query("ivf_search_trained")
+def ivf_search_trained(spark, sf):
+    model, index = ivf_trained(spark, sf)
+    return ann.ivf_search(index, model, probe_queries(spark, sf), K, TRAINED_NPROBE)
+
+
+@query("ivf_search_recall_trained")
+def ivf_search_recall_trained(spark, sf):
+    """Recall of the trained index against the exact search."""
+    truth = vectors.knn_exact(base(spark, sf), probe_queries(spark, sf), K)
+    return vectors.recall_at_k(ivf_search_trained(spark, sf), truth, K)
+
+
 @query("evaluation_report", f"""
 WITH f AS (SELECT {NPROBE}::BIGINT AS setting, q, row_id, rank FROM ivf UNION ALL SELECT {LISTS}, q, row_id, k FROM (
     SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, row_id) AS k FROM ivs) WHERE k <= {K}),
@@ -221,6 +249,41 @@ def pq_search_refined(spark, sf):
     return tag(candidates, "codes").unionByName(tag(ann.refine(candidates, b, q, K), "refined"))
 
 
+#: Trained codebooks, and candidates per result that are rescored.
+TRAINED_SUBS, TRAINED_CODES, TRAINED_FETCH = 16, 256, 8
+
+
+def pq_trained(spark, sf):
+    """Codebooks by k-means over the whole table, and its codes."""
+    b = base(spark, sf)
+    books = ann.pq_train(b, TRAINED_SUBS, TRAINED_CODES, seed=2)
+    return books, ann.pq_encode(b, books)
+
+
+@query("pq_encode_trained")
+def pq_encode_trained(spark, sf):
+    return pq_trained(spark, sf)[1]
+
+
+@query("pq_search_trained")
+def pq_search_trained(spark, sf):
+    """Nearest rows by trained codes, rescored exactly."""
+    books, coded = pq_trained(spark, sf)
+    q = probe_queries(spark, sf)
+    return ann.refine(ann.pq_search(coded, books, q, K * TRAINED_FETCH), base(spark, sf), q, K)
+
+
+@query("pq_search_refined_trained")
+def pq_search_refined_trained(spark, sf):
+    """Recall of trained codes before and after refinement."""
+    b, q = base(spark, sf), probe_queries(spark, sf)
+    books, coded = pq_trained(spark, sf)
+    candidates = ann.pq_search(coded, books, q, K * TRAINED_FETCH)
+    truth = vectors.knn_exact(b, q, K)
+    tag = lambda df, name: vectors.recall_at_k(df, truth, K).withColumn("stage", F.lit(name))
+    return tag(candidates, "codes").unionByName(tag(ann.refine(candidates, b, q, K), "refined"))
+
+
 @query("refine", "SELECT * FROM knnt")
 def refine(spark, sf):
     """Refining a superset of the answer gives the exact answer."""
