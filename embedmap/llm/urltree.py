@@ -1,25 +1,27 @@
 """URL filter: fixed rules first, then a tree of path templates per host, judged by labelled purity.
 
-Paths are grown level by level. At each node (host and template so far) a segment that looks like a number, a hash or a date
-is a wildcard from the start; of the others, only segments that hold at least ``share`` of the node's urls stay literal and
-the rest become the wildcard too, so a node has at most 1 / share literal children, however many segments there are. Literal
-children whose subtrees are alike (same kinds of following segments, and unwanted shares that a two-sample test can't tell apart)
-are merged into one branch. A template is rejected if the share of unwanted urls among its labelled ones, smoothed towards the share of
-its host and that towards the corpus, reaches ``purity``.
+Paths are grown level by level, down to the deepest. At each node (host and template so far) a segment that looks like a number, a
+hash or a date is a wildcard from the start; of the others, a segment with at least ``MIN_URLS`` urls or ``MIN_LABELLED`` labelled ones
+stays literal, whatever its share of the node, and only the sparse rest becomes the wildcard. Literal children whose subtrees are alike
+(same kinds of following segments, and unwanted shares that a two-sample test can't tell apart) are merged into one branch. The test
+runs over the counts (labelled, unwanted) that occur, not over the children: children with the same counts are one kind, and those with
+fewer than ``MIN_LABELLED`` labelled urls, which no test tells apart, are one kind too, so that chance doesn't sort them by outcome. Kinds
+are tested in lists of about ``LANE``, cut by share. A template is rejected if the share of unwanted urls among its labelled ones, smoothed
+towards the share of its host and that towards the corpus, reaches ``purity``.
 
 The tree works on counts of distinct paths with variable segments already folded, never on urls; verdicts are joined back to
 the urls by host and folded path.
 
 Defined cases: a null url or one without ``://`` has an empty host and path; the empty host has no rule and no template and is
 allowed; ids without a label, null ids among them, only count as urls; of several labels of one id the unwanted one
-counts; repeated rows are counted and judged one by one; segments below ``depth`` levels are one wildcard; an empty table gives no rows;
-other columns pass through.
+counts; repeated rows are counted and judged one by one; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from statistics import NormalDist
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,14 +29,18 @@ from pyspark.sql import functions as F
 
 from embedmap.llm.tables import small, stored
 
-DEPTH = 6
-SHARE = 0.05
 MIN_URLS = 5
+#: Labelled urls from which a segment's unwanted share is tested.
+MIN_LABELLED = 3
 PURITY = 0.8
 #: Weight of the prior in labelled urls.
 STRENGTH = 4.0
-#: Two-sample z below which unwanted shares count as alike.
-ALIKE = 1.64
+#: Two-sample z below which unwanted shares count as alike, and the children up to which it holds; more children raise it.
+ALIKE, FEW = 1.64, 20
+#: Kinds of children of a node that are tested in one list.
+LANE = 10_000
+#: Segments that a branch's name lists; the name of a larger branch has its first segment, their number and a hash of all.
+NAMED = 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _VARIABLE = r"^([0-9]+|[0-9]{4}-[0-9]{2}(-[0-9]{2})?|[0-9a-fA-F]{8,}|[0-9a-fA-F-]{32,})(\.[a-z0-9]{1,5})?$"
@@ -63,55 +69,85 @@ def folded(path: Column) -> Column:
     return F.transform(parts, lambda s: F.regexp_replace(s, _VARIABLE, "*$3"))
 
 
-def _merge_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Branch of each literal child of a node: children of one shape with shares that can't be told apart share a branch."""
+def _merge_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Group of each kind of literal children of a node: kinds of one shape with shares that can't be told apart share a group."""
     for b in batches:
-        hosts, templates, segments, branches = [], [], [], []
+        out: list[tuple] = []
         for r in b.to_pylist():
-            groups: list[dict] = []
-            for c in sorted(r["children"], key=lambda c: ((c["bad"] + 0.5) / (c["labelled"] + 1), c["segment"])):
-                last = groups[-1] if groups else None
+            limit = ALIKE if r["tested"] <= FEW else max(ALIKE, NormalDist().inv_cdf(1 - 0.05 * FEW / r["tested"]))
+            groups: dict[int, dict] = {}
+            for number, c in enumerate(sorted(r["kinds"], key=lambda c: ((c["bad"] + 0.5) / (c["labelled"] + 1), c["kind"]["labelled"], c["kind"]["bad"], c["shape"]))):
+                last = groups.get(c["shape"])
                 alike = False
-                if last and last["shape"] == c["shape"]:
+                if last:
                     bad, n = last["bad"] + c["bad"], last["labelled"] + c["labelled"]
                     p = (bad + 0.5) / (n + 1)
                     gap = (c["bad"] + 0.5) / (c["labelled"] + 1) - (last["bad"] + 0.5) / (last["labelled"] + 1)
-                    alike = abs(gap) <= ALIKE * math.sqrt(p * (1 - p) * (1 / (c["labelled"] + 1) + 1 / (last["labelled"] + 1)))
+                    alike = abs(gap) <= limit * math.sqrt(p * (1 - p) * (1 / (c["labelled"] + 1) + 1 / (last["labelled"] + 1)))
                 if alike:
                     last["bad"], last["labelled"] = last["bad"] + c["bad"], last["labelled"] + c["labelled"]
-                    last["members"].append(c["segment"])
                 else:
-                    groups.append({"shape": c["shape"], "bad": c["bad"], "labelled": c["labelled"], "members": [c["segment"]]})
-            for g in groups:
-                name = g["members"][0] if len(g["members"]) == 1 else "{" + "|".join(sorted(g["members"])) + "}"
-                for s in g["members"]:
-                    hosts.append(r["host"])
-                    templates.append(r["template"])
-                    segments.append(s)
-                    branches.append(name)
-        yield pa.record_batch([pa.array(x, pa.string()) for x in (hosts, templates, segments, branches)], names=["host", "template", "segment", "branch"])
-
-
-def path_templates(paths: DataFrame, depth: int = DEPTH, share: float = SHARE, min_urls: int = MIN_URLS) -> DataFrame:
-    """(host, segments, n, labelled, bad) to the same with the template of each folded path."""
-    grown = stored(paths.withColumn("template", F.lit("")))
-    deepest = min(depth, grown.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for level in range(1, deepest + 1):
-        ended = grown.filter(F.size("segments") < level)
-        open_ = grown.filter(F.size("segments") >= level).withColumn("segment", F.element_at("segments", level))
+                    last = groups[c["shape"]] = {"bad": c["bad"], "labelled": c["labelled"], "number": number}
+                out.append((r["host"], r["template"], c["shape"], c["kind"], f"{r['lane']}.{last['number']}"))
+        yield pa.RecordBatch.from_pylist([dict(zip(_GROUPS.names, o)) for o in out], schema=_GROUPS)
+
+
+_KIND = pa.struct([("labelled", pa.int64()), ("bad", pa.int64())])
+_GROUPS = pa.schema([("host", pa.string()), ("template", pa.string()), ("shape", pa.int32()), ("kind", _KIND), ("group", pa.string())])
+_NODE = ["host", "template"]
+
+
+def _branches(children: DataFrame, min_urls: int) -> DataFrame:
+    """(host, template, segment, branch) of the literal children."""
+    weak = F.col("labelled") < MIN_LABELLED
+    kind = F.struct(*[F.when(weak, F.lit(-1)).otherwise(F.col(c)).cast("long").alias(c) for c in ("labelled", "bad")])
+    literal = stored(children.filter(((F.col("n") >= min_urls) | ~weak) & ~F.col("segment").startswith("*")).withColumn("kind", kind))
+    kinds = literal.groupBy(*_NODE, "shape", "kind").agg(
+        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum((~weak).cast("long")).alias("tested"))
+    nodes = kinds.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("_kinds"), F.sum("tested").alias("_tested"))
+    lane = F.floor(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) * F.floor(F.col("_kinds") / LANE))
+    lists = kinds.join(nodes, _NODE).groupBy(*_NODE, lane.alias("lane")).agg(
+        F.first("_tested").alias("tested"), F.collect_list(F.struct("shape", "kind", "labelled", "bad")).alias("kinds"))
+    groups = stored(lists.mapInArrow(_merge_kinds, "host string, template string, shape int, kind struct<labelled:bigint,bad:bigint>, group string"))
+    grouped = stored(literal.join(small(groups), [*_NODE, "shape", "kind"]).select(*_NODE, "segment", "group"))
+    sizes = grouped.groupBy(*_NODE, "group").agg(
+        F.count(F.lit(1)).alias("_m"), F.min("segment").alias("_first"), F.bit_xor(F.xxhash64("segment")).alias("_all"))
+    few = grouped.join(small(stored(sizes.filter(F.col("_m") <= NAMED))), [*_NODE, "group"]).groupBy(*_NODE, "group").agg(F.array_sort(F.collect_list("segment")).alias("_list"))
+    many = F.concat(F.lit("{"), "_first", F.lit("|+"), (F.col("_m") - 1).cast("string"), F.lit("~"), F.lower(F.hex("_all")), F.lit("}"))
+    listed = F.when(F.size("_list") == 1, F.col("_list")[0]).otherwise(F.concat(F.lit("{"), F.array_join("_list", "|"), F.lit("}")))
+    names = stored(sizes.join(few, [*_NODE, "group"], "left").select(*_NODE, "group", F.when(F.col("_list").isNull(), many).otherwise(listed).alias("branch")))
+    return grouped.join(small(names), [*_NODE, "group"]).drop("group")
+
+
+def path_templates(paths: DataFrame, min_urls: int = MIN_URLS) -> DataFrame:
+    """(host, segments, n, labelled, bad) to the same with the template of each folded path.
+
+    A level is one round. Paths leave the rounds when they end or are settled: alone at their node, or at a node too sparse for a literal.
+    """
+    grown = stored(paths.withColumns({"template": F.lit(""), "_open": F.size("segments") > 0}))
+    done, level = [grown.filter(~F.col("_open")).drop("_open")], 0
+    while not (open_ := grown.filter("_open").drop("_open")).isEmpty():
+        level += 1
+        wild = lambda s: F.when(s.startswith("*"), s).otherwise("*")
+        nodes = open_.groupBy(*_NODE).agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.count(F.lit(1)).alias("_paths"))
+        dense = (F.col("_n") >= min_urls) | (F.col("_labelled") >= MIN_LABELLED)
+        settled = small(stored(nodes.select(*_NODE, dense.alias("_dense"), (~dense | (F.col("_paths") == 1)).alias("_settled"))))
+        open_ = stored(open_.join(settled, _NODE))
+        rest = F.slice("segments", level, F.size("segments"))
+        tail = F.array_join(F.transform(rest, lambda s: F.when(F.col("_dense"), s).otherwise(wild(s))), "/")
+        done.append(open_.filter("_settled").withColumn("template", F.concat("template", F.lit("/"), tail)).drop("_dense", "_settled"))
+        split = open_.filter(~F.col("_settled")).drop("_dense", "_settled").withColumn("segment", F.element_at("segments", level))
         after = F.when(F.size("segments") > level, F.when(F.get("segments", F.lit(level)).startswith("*"), 2).otherwise(4)).otherwise(1)
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        children = open_.groupBy("host", "template", "segment").agg(*sums, F.bit_or(after).alias("shape"))
-        nodes = children.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        literal = children.join(nodes, ["host", "template"]).filter(
-            (F.col("n") >= min_urls) & (F.col("n") >= share * F.col("all")) & ~F.col("segment").startswith("*"))
-        lists = literal.groupBy("host", "template").agg(F.collect_list(F.struct("segment", "labelled", "bad", "shape")).alias("children"))
-        branches = lists.mapInArrow(_merge_children, "host string, template string, segment string, branch string")
-        named = open_.join(branches, ["host", "template", "segment"], "left")
-        wild = F.when(F.col("segment").startswith("*"), F.col("segment")).otherwise("*")
-        named = named.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", wild))).drop("segment", "branch")
-        grown = stored(ended.unionByName(named))
-    return grown.withColumn("template", F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        children = split.groupBy(*_NODE, "segment").agg(*sums, F.bit_or(after).alias("shape"))
+        named = split.join(_branches(children, min_urls), [*_NODE, "segment"], "left")
+        named = named.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", wild(F.col("segment"))))).drop("segment", "branch")
+        grown = stored(named.withColumn("_open", F.size("segments") > level))
+        done.append(grown.filter(~F.col("_open")).drop("_open"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def judged_templates(paths: DataFrame, purity: float = PURITY, strength: float = STRENGTH) -> DataFrame:
@@ -125,7 +161,7 @@ def judged_templates(paths: DataFrame, purity: float = PURITY, strength: float =
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url",
-               purity: float = PURITY, depth: int = DEPTH, share: float = SHARE) -> DataFrame:
+               purity: float = PURITY) -> DataFrame:
     """``pages`` with host, path, rule, verdict, template. ``labels`` are (id, unwanted 0/1)."""
     host, path = host_and_path(pages[url_col])
     known = labels.filter(F.col("id").isNotNull() & F.col("unwanted").isNotNull()).groupBy("id").agg(F.max(F.col("unwanted").cast("int")).alias("_bad"))
@@ -134,7 +170,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     rows = keyed.select(keyed[id_col].alias("id"), "host", "_segments").join(known, "id", "left").filter(F.col("host") != "")
     paths = rows.groupBy("host", F.col("_segments").alias("segments")).agg(
         F.count(F.lit(1)).alias("n"), F.count("_bad").alias("labelled"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
-    grown = stored(path_templates(paths, depth, share))
+    grown = stored(path_templates(paths))
     verdicts = grown.select("host", "segments", "template").join(judged_templates(grown, purity), ["host", "template"]).select(
         "host", F.col("segments").alias("_segments"), "template", F.col("rejected").alias("_rejected"))
     rule, said = longest_rule(F.col("host"), F.col("path"), rules)
