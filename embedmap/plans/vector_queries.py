@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from embedmap.operators import ann, keys, vectors
 from embedmap.operators.frames import linspace_sample
 from embedmap.plans.data import table
 from embedmap.plans.registry import part, query
+from embedmap.session import ensure_checkpoint_dir
 
 K = 24
 
@@ -177,6 +180,36 @@ def evaluation_report(spark, sf):
     return out.withColumns({c: F.round(c, 9) for c in (f"recall_{K}", "recall_10", "p95_ms")})
 
 
+#: Batches of a query group that are timed one by one.
+TIMED_BATCHES = 3
+
+
+@query("evaluation_report_trained")
+def evaluation_report_trained(spark, sf):
+    """Recall and measured time of two settings of the trained index, for even and odd queries.
+
+    A query's time is that of its batch, searched and written as one job, divided by the batch's queries.
+    """
+    ensure_checkpoint_dir(spark)
+    model, index = ivf_trained(spark, sf)
+    index, q = index.checkpoint(), probe_queries(spark, sf).withColumn("grp", F.expr("q div 50 % 2")).checkpoint()
+    batch = F.expr(f"q div 100 % {TIMED_BATCHES}")
+    found = timings = None
+    for lists in (TRAINED_NPROBE, TRAINED_LISTS):
+        for grp, number in [(g, n) for g in range(2) for n in range(TIMED_BATCHES)]:
+            some = q.filter((F.col("grp") == grp) & (batch == number))
+            asked = some.count()
+            if not asked:
+                continue
+            start = time.perf_counter()
+            hits = ann.ivf_search(index, model, some.drop("grp"), K, lists).checkpoint()
+            ms = (time.perf_counter() - start) * 1000 / asked
+            hits = hits.withColumn("setting", F.lit(lists).cast("long"))
+            times = some.select("q", F.lit(lists).cast("long").alias("setting"), F.lit(ms).alias("ms"))
+            found, timings = (hits, times) if found is None else (found.unionByName(hits), timings.unionByName(times))
+    return vectors.evaluation_report(found, vectors.knn_exact(base(spark, sf), q.drop("grp"), K), timings, q.select("q", "grp"), (K, 10))
+
+
 @query("sq8_ranges", "SELECT dim, min(v) AS lo, max(v) AS hi FROM dims GROUP BY dim")
 def sq8_ranges(spark, sf):
     return vectors.sq8_train(base(spark, sf))

@@ -40,3 +40,12 @@ def test_trained_searches_find_nine_of_ten(spark, truth, monkeypatch, search, re
     print(search, got, said)
     assert got >= 0.9 and said.recall >= 0.9 and said.n_queries == len(truth)
     assert seen == [vq.base(spark, SF).count()] * 2
+
+
+def test_report_has_recall_and_measured_times(spark):
+    got = {(r.setting, r.grp): r for r in QUERIES["evaluation_report_trained"](spark, SF).collect()}
+    print(got)
+    assert set(got) == {(s, g) for s in (vq.TRAINED_NPROBE, vq.TRAINED_LISTS) for g in (0, 1)}
+    for (setting, _), r in got.items():
+        assert r.n_queries == 20 and r.recall_24 >= (1.0 if setting == vq.TRAINED_LISTS else 0.9)
+        assert 0 < r.p50_ms <= r.p95_ms and r.p50_ms != int(r.p50_ms)
