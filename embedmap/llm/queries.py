@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from embedmap.llm import hostrules, lines, mixing, neardup, packing, substrings, topk, urltree, warc, weaklabels
+from embedmap.llm import hostrules, infill, lines, mixing, neardup, packing, substrings, topk, urltree, warc, weaklabels
 from embedmap.llm.registry import query, table
+from embedmap.llm.tables import stored
 
 #: Tokenizer of the packing query; the files lie outside the repository.
 TOKENIZER = "word_bpe_49k.json"
@@ -280,3 +281,31 @@ def op10(spark, sf):
     """The five best other vectors of every fiftieth vector."""
     vectors = table(spark, sf, "embeddings")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+INFILL_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+), cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u,
+    CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM hashed
+), placed AS (
+  SELECT doc_id, text, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS z,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:z], '') AS middle, array_to_string(u[z + 1:], '') AS suffix FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op13_infill", INFILL_SQL)
+def op13(spark, sf):
+    """Cuts, form and digests of every document's fill-in-middle output, and the digest of the text rebuilt from it."""
+    frames = stored(infill.framed(table(spark, sf, "documents").select("doc_id", "text")))
+    done = infill.rebuilt(infill.fill_in_middle(frames))
+    return done.select("doc_id", F.col("_restored.n_units").alias("n"), *[f"_restored.{c}" for c in ("form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")])
