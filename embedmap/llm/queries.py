@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from embedmap.llm import hostrules, infill, lines, mixing, neardup, packing, substrings, topk, urltree, warc, weaklabels
+from embedmap.llm import hostrules, infill, lines, mixing, neardup, packing, prefixtrie, substrings, topk, urltree, warc, weaklabels
 from embedmap.llm.registry import query, table
 from embedmap.llm.tables import stored
 
@@ -309,3 +309,43 @@ def op13(spark, sf):
     frames = stored(infill.framed(table(spark, sf, "documents").select("doc_id", "text")))
     done = infill.rebuilt(infill.fill_in_middle(frames))
     return done.select("doc_id", F.col("_restored.n_units").alias("n"), *[f"_restored.{c}" for c in ("form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")])
+
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i,
+    strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, c - c % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::VARCHAR, ''), lambda d: [ord(d), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, e: xor(CAST(floor(xor(a, e) / 2) AS BIGINT), 3988292384 * (xor(a, e) % 2)))) % 9 AS h FROM (SELECT DISTINCT CAST(c AS BIGINT) AS c FROM turns)
+), rebuilt AS (
+  SELECT ids.c, t.i AS d, said, size FROM ids JOIN turns t ON t.c = ids.base AND t.i <= h
+  UNION ALL
+  SELECT ids.c, t.i - h + least(h, coalesce(n, 0)) AS d, said, size FROM ids JOIN turns t ON t.c = ids.c AND t.i > h
+    LEFT JOIN (SELECT c, count(*) AS n FROM turns GROUP BY c) b ON b.c = ids.base
+), prefixes AS (
+  SELECT c, d, size, md5(string_agg(md5(said), '') OVER (PARTITION BY c ORDER BY d)) AS p FROM rebuilt
+  UNION ALL SELECT c, 0, 0, 'root' FROM ids
+), members AS (
+  SELECT c, d, p, size, lag(p) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM prefixes
+), nodes AS (
+  SELECT d, p, any_value(up) AS up, min(c) AS conv_id, count(*) AS n, any_value(size) AS size, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS said FROM members GROUP BY d, p
+), kids AS (
+  SELECT d - 1 AS d, up AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY d, up
+), counted AS (
+  SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (d, p)
+), below AS (
+  SELECT DISTINCT a.d, a.p, b.d AS bd, b.p AS bp FROM members a JOIN members b ON a.c = b.c AND a.d <= b.d
+), sums AS (
+  SELECT below.d, below.p, count(*) FILTER (WHERE k = 0) AS leaves, sum((n - 1) * size) AS saved FROM below JOIN counted ON counted.d = bd AND counted.p = bp GROUP BY below.d, below.p
+)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, y.conv_id AS parent_conv_id, x.n AS n_convs, CAST(x.k AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(x.said) AS ends_sha256
+FROM counted x LEFT JOIN nodes y ON y.d = x.d - 1 AND y.p = x.up JOIN sums s ON s.d = x.d AND s.p = x.p
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark, sf):
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(table(spark, sf, "conversations")))
