@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from embedmap.llm import hostrules, infill, lines, mixing, neardup, packing, prefixtrie, substrings, topk, urltree, warc, weaklabels
+from embedmap.llm import hostrules, infill, lines, mixing, neardup, packing, ppm, prefixtrie, substrings, topk, urltree, warc, weaklabels
 from embedmap.llm.registry import query, table
 from embedmap.llm.tables import stored
 
@@ -349,3 +349,11 @@ FROM counted x LEFT JOIN nodes y ON y.d = x.d - 1 AND y.p = x.up JOIN sums s ON
 def op12(spark, sf):
     """Nodes of the trie of all rebuilt conversations."""
     return prefixtrie.prefix_trie(prefixtrie.rebuilt(table(spark, sf, "conversations")))
+
+
+@query("op11_ppm_scores")
+def op11(spark, sf):
+    """Base and model score of every document, learned from six of seven documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = ppm.ppm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    return out.select("doc_id", *[f"_lm.{c}" for c in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")])
