@@ -14,10 +14,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedmap.operators.ordering import limit_per_group, md5_priority, union_all
-from embedmap.operators.vectors import HITS, TopK, matrix, query_blocks, row_slices, scores
+from embedmap.operators import blocks
+from embedmap.operators.ordering import limit_per_group, md5_priority
+from embedmap.operators.vectors import matrix, number_type, query_blocks, scores
+from embedmap.session import cut
 
 CODES = 256  # largest codebook: a code is one byte
+LIST_VALUES = 1 << 17  # values in a block of one list
+LIST_GROUP_BYTES = 1 << 20  # row group of a stored list index
 
 
 def seeded_rows(base: DataFrame, k: int, seed: int) -> np.ndarray:
@@ -81,36 +85,109 @@ def probes(ivf: Ivf, q: np.ndarray, nprobe: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, : min(nprobe, len(c))]
 
 
+def probed(ivf: Ivf, queries: DataFrame, nprobe: int) -> DataFrame:
+    """Query blocks by probed list: every query goes to its ``nprobe`` nearest lists."""
+    shared = queries.sparkSession.sparkContext.broadcast(ivf)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                lists = probes(shared.value, matrix(b.column(1)), nprobe)
+                each = np.repeat(np.arange(b.num_rows), lists.shape[1])
+                yield pa.record_batch([b.column(0).take(pa.array(each)), b.column(1).take(pa.array(each)), pa.array(lists.ravel().astype(np.int64))], names=["q", "embedding", "list_id"])
+
+    source = queries.select(F.col("q").cast("long"), F.col("embedding").cast("array<double>"))
+    return blocks.pack(source.mapInArrow(run, "q long, embedding array<double>, list_id long"), matrix, blocks.QUERY_VALUES, "list_id")
+
+
 def ivf_search(index: DataFrame, ivf: Ivf, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """Top-k inside the nprobe nearest lists of each query. Probing every list equals the exact search.
+    """Top-k inside the nprobe nearest lists of each query, over assigned rows. Probing every list equals the exact search.
 
-    Only the union of the probed lists is read; in a batch each list meets just the queries that probe it.
+    Only the lists that some query probes are packed, and a list meets just the queries that probe it.
     """
-    sc = index.sparkSession.sparkContext
-    parts = []
-    for qid, q in query_blocks(queries):
-        by_list: dict[int, list[int]] = {}
-        for i, lists in enumerate(probes(ivf, q, nprobe)):
-            for l in lists:
-                by_list.setdefault(int(l), []).append(i)
-        shared = sc.broadcast((qid, q, {l: np.array(v) for l, v in by_list.items()}))
-        wanted = index if len(by_list) == len(ivf.centroids) else index.filter(F.col("list_id").isin(sorted(by_list)))
-
-        def run(batches, shared=shared):
-            ids, vectors, plan = shared.value
-            best = TopK(len(ids), k)
-            for b in batches:
-                for some in row_slices(b, len(ids)):
-                    rows, lists, x = some.column(0).to_numpy(), some.column(2).to_numpy(), matrix(some.column(1))
-                    for l in np.unique(lists):
-                        mine, here = plan[int(l)], lists == l
-                        s = scores(ivf.metric, x[here], vectors[mine])
-                        for j, i in enumerate(mine):
-                            best.add(i, rows[here], s[j])
-            yield best.batch(ids)
-
-        parts.append(wanted.select("row_id", "embedding", "list_id").mapInArrow(run, HITS))
-    return limit_per_group(union_all(parts), ["q"], [F.desc("score"), "row_id"], k)
+    asked = cut(probed(ivf, queries, nprobe))
+    wanted = index.select("row_id", "embedding", "list_id").filter(F.col("list_id").isin(blocks.wanted_keys(asked)))
+    kind = number_type(index)
+    data = blocks.pack(wanted, lambda c: matrix(c).astype(kind), LIST_VALUES, "list_id")
+    return blocks.nearest(data, asked, k, lambda key, q, x: scores(ivf.metric, x.astype(np.float64), q), kind)
+
+
+# --- stored lists of residual codes -----------------------------------------------------------------------------------
+
+@dataclass
+class ListCodes:
+    """Coarse lists, and per dimension the range of what is left of a vector after its centroid is taken away."""
+
+    ivf: Ivf
+    low: np.ndarray
+    span: np.ndarray
+
+    def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        unit = (x - self.ivf.centroids[lists] - self.low) / np.where(self.span == 0, 1.0, self.span)
+        return np.floor(np.clip(unit, 0.0, 1.0) * 255.0).astype(np.uint8)
+
+    def scores(self, lists: int, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Inner products with the decoded rows of one list: a table per query and list, then one product with the codes."""
+        step = self.span / 255.0
+        whole = q @ (self.ivf.centroids[lists] + self.low + 0.5 * step)
+        return (q * step).astype(np.float32) @ codes.T.astype(np.float32) + whole[:, None]
+
+
+def train_codes(base: DataFrame, ivf: Ivf) -> ListCodes:
+    """Ranges of the residuals of all rows; a task hands on one row per dimension."""
+    if ivf.metric != "ip":
+        raise ValueError("codes score inner products")
+    shared = base.sparkSession.sparkContext.broadcast(ivf.centroids)
+
+    def run(batches):
+        low = high = None
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(0))
+                r = x - shared.value[nearest_centroid(x, shared.value)]
+                low, high = (r.min(axis=0), r.max(axis=0)) if low is None else (np.minimum(low, r.min(axis=0)), np.maximum(high, r.max(axis=0)))
+        if low is not None:
+            yield pa.record_batch([pa.array(np.arange(len(low))), pa.array(low), pa.array(high)], names=["dim", "low", "high"])
+
+    rows = base.select("embedding").mapInArrow(run, "dim long, low double, high double").groupBy("dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("dim").collect()
+    low, high = (np.array([r[c] for r in rows]) for c in ("low", "high"))
+    return ListCodes(ivf, low, high - low)
+
+
+def code_blocks(base: DataFrame, model: ListCodes) -> DataFrame:
+    """Blocks of codes by list: key (the list), block, ids, data. Rows are encoded before they are sorted by list."""
+    shared = base.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(1))
+                lists = nearest_centroid(x, shared.value.ivf.centroids)
+                codes = shared.value.encode(x, lists)
+                yield pa.record_batch([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lists.astype(np.int64))], names=["row_id", "codes", "list_id"])
+
+    coded = base.select(F.col("row_id").cast("long"), "embedding").mapInArrow(run, "row_id long, codes binary, list_id long")
+    ordered = coded.repartitionByRange("list_id", "row_id").sortWithinPartitions("list_id", "row_id")
+    return blocks.pack(ordered, code_matrix, LIST_VALUES, "list_id")
+
+
+def write_lists(lists: DataFrame, path: str) -> None:
+    """Store blocks sorted by list within range partitions, in small row groups: a search skips the groups of other lists, and a crowded
+    list spans several files."""
+    stored = lists.write.mode("errorifexists").option("parquet.block.size", LIST_GROUP_BYTES).option("parquet.block.size.row.check.min", 4).option("parquet.enable.dictionary", "false")
+    stored.parquet(path)
+
+
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def search_lists(stored: DataFrame, model: ListCodes, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """Top-k by codes inside the nprobe nearest lists of every query: q, row_id, score, rank. The filter on the probed lists reaches the scan."""
+    asked = cut(probed(model.ivf, queries, nprobe))
+    data = stored.filter(F.col("key").isin(blocks.wanted_keys(asked)))
+    shared = queries.sparkSession.sparkContext.broadcast(model)
+    return blocks.nearest(data, asked, k, lambda key, q, codes: shared.value.scores(key, q, codes), "u1")
 
 
 # --- product quantisation ---------------------------------------------------------------------------------------------
@@ -126,7 +203,8 @@ def _code_sums(books: np.ndarray):
                 x = matrix(b.column(0)).reshape(b.num_rows, m, w)
                 for s in range(m):
                     near = nearest_centroid(x[:, s], books[s])
-                    np.add.at(sums[s], near, x[:, s])
+                    for dim in range(w):
+                        sums[s, :, dim] += np.bincount(near, x[:, s, dim], k)
                     sizes[s] += np.bincount(near, minlength=k)
         sub, code, dim = (a.ravel() for a in np.indices((m, k, w)))
         kept = np.repeat(sizes.ravel() > 0, w)
@@ -169,28 +247,25 @@ def pq_encode(base: DataFrame, books: np.ndarray) -> DataFrame:
     return base.select(F.col("row_id").cast("long"), "embedding").mapInArrow(run, "row_id long, codes binary")
 
 
+def code_matrix(column: pa.Array) -> np.ndarray:
+    """Codes of an Arrow binary column, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def pq_search(encoded: DataFrame, books: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
-    """Top-k by inner product of the query with the decoded codes, through per-query lookup tables."""
-    sc = encoded.sparkSession.sparkContext
-    parts = []
-    for qid, q in query_blocks(queries):
-        tables = np.einsum("qsd,scd->qsc", q.reshape(len(q), len(books), -1), books)
-        shared = sc.broadcast((qid, tables))
-
-        def run(batches, shared=shared):
-            ids, lut = shared.value
-            best = TopK(len(ids), k)
-            for b in batches:
-                if b.num_rows:
-                    rows = b.column(0).to_numpy()
-                    codes = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
-                    for i in range(len(ids)):
-                        s = lut[i, np.arange(lut.shape[1])[None, :], codes].sum(axis=1)
-                        best.add(i, rows, np.round(s, 6) + 0.0)
-            yield best.batch(ids)
-
-        parts.append(encoded.select("row_id", "codes").mapInArrow(run, HITS))
-    return limit_per_group(union_all(parts), ["q"], [F.desc("score"), "row_id"], k)
+    """Top-k by inner product of the query with the decoded codes, through lookup tables of all queries of a block."""
+    shared = encoded.sparkSession.sparkContext.broadcast(books)
+
+    def score(key, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        bk = shared.value
+        tables = np.einsum("qsd,scd->sqc", q.reshape(len(q), len(bk), -1), bk)
+        total = tables[0][:, codes[:, 0]]
+        for s in range(1, len(bk)):
+            total += tables[s][:, codes[:, s]]
+        return total
+
+    data = blocks.pack(encoded.select("row_id", "codes"), code_matrix, blocks.DATA_VALUES)
+    return blocks.nearest(data, cut(query_blocks(queries)), k, score, "u1")
 
 
 def refine(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

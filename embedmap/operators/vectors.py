@@ -1,27 +1,24 @@
 """Batch vector search: exact top-k, scalar quantisation, frozen projections, recall.
 
-Queries travel to the data as broadcast blocks; each task keeps only its k best rows per query, so neither the pairs nor
-the base vectors are ever shuffled.
+Queries and base vectors meet as blocks (see ``blocks``); each task keeps only its k best rows per query, so no pair is ever shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from embedmap.functions import vectors as vf
+from embedmap.operators import blocks
 from embedmap.operators.keys import MISSING, duplicate_keys, refusing_join
-from embedmap.operators.ordering import limit_per_group, union_all
+from embedmap.session import cut
 
-SCORE_DIGITS = 6
-BLOCK_VALUES = 1 << 24   # doubles in one broadcast block of queries (128 MiB)
-SCORE_VALUES = 1 << 22   # scores that a task computes at once (32 MiB)
-HITS = "q long, row_id long, score double"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -78,92 +75,42 @@ def invalid_vectors(df: DataFrame, col: str = "embedding") -> DataFrame:
     return df.filter(vf.bad_vector(F.col(col)))
 
 
-def query_blocks(queries: DataFrame, id_col: str = "q", col: str = "embedding") -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors in blocks of bounded size. Only one block is held at a time."""
-    ids, rows, width = [], [], 0
-    for r in queries.select(id_col, vf.as_double(F.col(col)).alias("v")).toLocalIterator(prefetchPartitions=False):
-        ids.append(r[0])
-        rows.append(r[1])
-        width += len(r[1])
-        if width >= BLOCK_VALUES:
-            yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
-            ids, rows, width = [], [], 0
-    if ids:
-        yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
-
-
 def scores(metric: str, base: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Score matrix (queries x rows), larger is better: inner product, cosine, or negative squared distance."""
     if metric == "ip":
-        s = q @ base.T
-    elif metric == "cosine":
-        s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (base / np.linalg.norm(base, axis=1, keepdims=True)).T
-    elif metric == "l2":
-        s = 2.0 * (q @ base.T) - (q * q).sum(axis=1)[:, None] - (base * base).sum(axis=1)[None, :]
-    else:
-        raise ValueError(f"unknown metric {metric}")
-    return np.round(s, SCORE_DIGITS) + 0.0
-
-
-class TopK:
-    """Running k best (score descending, row ascending) of a number of queries inside one task."""
-
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.ids = [np.empty(0, dtype=np.int64)] * n
-        self.scores = [np.empty(0)] * n
-
-    def add(self, i: int, ids: np.ndarray, score: np.ndarray) -> None:
-        if len(self.ids[i]) == self.k:
-            rivals = score >= self.scores[i][-1]
-            if not rivals.any():
-                return
-            ids, score = ids[rivals], score[rivals]
-        ids, score = np.concatenate([self.ids[i], ids]), np.concatenate([self.scores[i], score])
-        if len(ids) > self.k:
-            bar = np.partition(score, len(score) - self.k)[len(score) - self.k]
-            near = score >= bar
-            ids, score = ids[near], score[near]
-        order = np.lexsort((ids, -score))[: self.k]
-        self.ids[i], self.scores[i] = ids[order], score[order]
-
-    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        sizes = [len(x) for x in self.ids]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.scores))],
-            names=["q", "row_id", "score"],
-        )
-
-
-def row_slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices whose scores against all queries fit the bound."""
-    step = max(1, SCORE_VALUES // max(1, n_queries))
-    for start in range(0, batch.num_rows, step):
-        yield batch.slice(start, step)
+        return q @ base.T
+    if metric == "cosine":
+        return (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (base / np.linalg.norm(base, axis=1, keepdims=True)).T
+    if metric == "l2":
+        return 2.0 * (q @ base.T) - (q * q).sum(axis=1)[:, None] - (base * base).sum(axis=1)[None, :]
+    raise ValueError(f"unknown metric {metric}")
+
+
+def number_type(df: DataFrame, col: str = "embedding") -> str:
+    """Numbers to store for a vector column: single precision for array<float>, double for the rest."""
+    return "<f4" if isinstance(df.schema[col].dataType.elementType, T.FloatType) else "<f8"
+
+
+def vector_blocks(base: DataFrame) -> DataFrame:
+    """row_id, embedding as blocks that a search reads; may be stored and read again."""
+    kind = number_type(base)
+    return blocks.pack(base.select("row_id", "embedding"), lambda c: matrix(c).astype(kind), blocks.DATA_VALUES)
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """q, embedding as blocks of doubles, packed in tasks."""
+    return blocks.pack(queries.select("q", vf.as_double(F.col("embedding"))), matrix, blocks.QUERY_VALUES)
+
+
+def knn_blocks(data: DataFrame, queries: DataFrame, k: int, metric: str = "ip", kind: str = "<f4") -> DataFrame:
+    """Exact top-k of every query over ``vector_blocks``; ``kind`` is their number type."""
+    scores(metric, np.zeros((1, 1)) + 1, np.ones((1, 1)))
+    return blocks.nearest(data, cut(query_blocks(queries)), k, lambda key, q, x: scores(metric, x.astype(np.float64), q), kind)
 
 
 def knn_exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """Exact top-k of every query: q, row_id, score, rank. base: row_id, embedding; queries: q, embedding."""
-    sc = base.sparkSession.sparkContext
-    parts = []
-    for ids, block in query_blocks(queries):
-        shared = sc.broadcast((ids, block))
-
-        def run(batches, shared=shared):
-            qid, q = shared.value
-            best = TopK(len(qid), k)
-            for b in batches:
-                for some in row_slices(b, len(qid)):
-                    rows = some.column(0).to_numpy()
-                    s = scores(metric, matrix(some.column(1)), q)
-                    for i in range(len(qid)):
-                        best.add(i, rows, s[i])
-            yield best.batch(qid)
-
-        parts.append(base.select(F.col("row_id").cast("long"), "embedding").mapInArrow(run, HITS))
-    if not parts:
-        return base.sparkSession.createDataFrame([], HITS + ", rank long")
-    return limit_per_group(union_all(parts), ["q"], [F.desc("score"), "row_id"], k)
+    return knn_blocks(vector_blocks(base), queries, k, metric, number_type(base))
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int, groups: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -156,6 +157,50 @@ def ivf_search_recall_trained(spark, sf):
     return vectors.recall_at_k(ivf_search_trained(spark, sf), truth, K)
 
 
+@query("knn_every_fiftieth", f"""
+SELECT * FROM (SELECT q, row_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, row_id) AS rank FROM ivs) WHERE rank <= {K}""")
+def knn_every_fiftieth(spark, sf):
+    """Exact search of every fiftieth row over stored blocks of vectors."""
+    path = f"{ensure_checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    vectors.vector_blocks(base(spark, sf)).write.parquet(path)
+    return vectors.knn_blocks(spark.read.parquet(path), probe_queries(spark, sf), K)
+
+
+def stored_lists(spark, sf):
+    """Model and stored index of residual codes, trained on the whole table."""
+    b = base(spark, sf)
+    model = ann.train_codes(b, ann.ivf_train(b, TRAINED_LISTS, seed=1))
+    path = f"{ensure_checkpoint_dir(spark)}/lists-{uuid.uuid4().hex}"
+    ann.write_lists(ann.code_blocks(b, model), path)
+    return model, ann.read_lists(spark, path)
+
+
+@query("ivf_codes_all_lists", "SELECT * FROM knnt")
+def ivf_codes_all_lists(spark, sf):
+    """Codes of all stored lists, rescored, give the exact answer."""
+    model, lists = stored_lists(spark, sf)
+    q = centroids(spark, sf)
+    return ann.refine(ann.search_lists(lists, model, q, K * 4, TRAINED_LISTS), base(spark, sf), q, K)
+
+
+@query("ivf_codes_search")
+def ivf_codes_search(spark, sf):
+    """Every fiftieth row in the stored lists of codes, rescored."""
+    model, lists = stored_lists(spark, sf)
+    q = probe_queries(spark, sf)
+    return ann.refine(ann.search_lists(lists, model, q, K * 2, TRAINED_NPROBE), base(spark, sf), q, K)
+
+
+@query("ivf_codes_recall")
+def ivf_codes_recall(spark, sf):
+    """Recall of the stored lists of codes before and after refinement."""
+    model, lists = stored_lists(spark, sf)
+    b, q = base(spark, sf), probe_queries(spark, sf)
+    found, truth = ann.search_lists(lists, model, q, K * 2, TRAINED_NPROBE), vectors.knn_exact(b, q, K)
+    tag = lambda df, name: vectors.recall_at_k(df, truth, K).withColumn("stage", F.lit(name))
+    return tag(found, "codes").unionByName(tag(ann.refine(found, b, q, K), "refined"))
+
+
 @query("evaluation_report", f"""
 WITH f AS (SELECT {NPROBE}::BIGINT AS setting, q, row_id, rank FROM ivf UNION ALL SELECT {LISTS}, q, row_id, k FROM (
     SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, row_id) AS k FROM ivs) WHERE k <= {K}),

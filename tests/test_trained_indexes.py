@@ -30,6 +30,7 @@ def recall(hits, truth):
 
 
 @pytest.mark.parametrize("search,report,train", [("ivf_search_trained", "ivf_search_recall_trained", "ivf_train"),
+                                                 ("ivf_codes_search", "ivf_codes_recall", "train_codes"),
                                                  ("pq_search_trained", "pq_search_refined_trained", "pq_train")])
 def test_trained_searches_find_nine_of_ten(spark, truth, monkeypatch, search, report, train):
     """Training sees every row, and recall is at least 0.9."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from embedmap.operators import ann, vectors
+from embedmap.operators import ann, blocks, vectors
 from tests.conftest import rows
 
 rng = np.random.default_rng(42)
@@ -45,11 +45,47 @@ def test_ties_take_the_lowest_row_in_every_layout(spark):
         assert rows(vectors.knn_exact(same.repartition(parts), q, 3), "row_id") == [(0,), (1,), (2,)]
 
 
-def test_query_blocks_are_bounded(base, queries, monkeypatch):
+def test_query_and_data_blocks_are_bounded(base, queries, monkeypatch):
+    """Small blocks, broadcast or on the grid, give the same result; the grid has no broadcast and no row on the driver."""
     whole = rows(vectors.knn_exact(base, queries, 5))
-    monkeypatch.setattr(vectors, "BLOCK_VALUES", 32)
-    assert len(list(vectors.query_blocks(queries))) == 3
+    monkeypatch.setattr(blocks, "QUERY_VALUES", 32)
+    monkeypatch.setattr(blocks, "DATA_VALUES", 320)
+    assert vectors.query_blocks(queries).count() == 3 and vectors.vector_blocks(base).count() >= 40
     assert rows(vectors.knn_exact(base, queries, 5)) == whole
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(blocks, "SIDE_BLOCKS", 2)
+    grid = vectors.knn_exact(base, queries, 5)
+    assert rows(grid) == whole
+    model = ann.ivf_train(base, 6, seed=1)
+    index = ann.ivf_assign(base, model)
+    assert rows(ann.ivf_search(index, model, queries, 10, 6), "q", "row_id") == rows(vectors.knn_exact(base, queries, 10), "q", "row_id")
+
+
+def test_blocks_can_be_stored(spark, base, queries, scratch):
+    vectors.vector_blocks(base).write.parquet(f"{scratch}/blocks")
+    stored = spark.read.parquet(f"{scratch}/blocks")
+    assert rows(vectors.knn_blocks(stored, queries, 5, kind="<f8")) == rows(vectors.knn_exact(base, queries, 5))
+
+
+def test_no_queries_and_no_rows(spark, base, queries):
+    assert vectors.knn_exact(base, queries.limit(0), 5).count() == vectors.knn_exact(base.limit(0), queries, 5).count() == 0
+
+
+def test_lists_of_codes(spark, base, queries, scratch):
+    """Codes of all lists find nearly what the exact search finds, and exactly that once rescored; one list reads its own row groups."""
+    model = ann.train_codes(base, ann.ivf_train(base, 8, seed=1))
+    ann.write_lists(ann.code_blocks(base, model), f"{scratch}/lists")
+    stored = ann.read_lists(spark, f"{scratch}/lists")
+    assert stored.agg(F.sum(F.length("ids"))).first()[0] == 8 * 400 and stored.select("key").distinct().count() == 8
+    exact = vectors.knn_exact(base, queries, 10)
+    found = ann.search_lists(stored, model, queries, 40, 8)
+    assert vectors.recall_at_k(found, exact, 10).first().recall >= 0.9
+    assert rows(ann.refine(found, base, queries, 10), "q", "row_id") == rows(exact, "q", "row_id")
+    scored = {(r.q, r.row_id): r.score for r in found.collect()}
+    for r in ann.refine(found, base, queries, 40).collect():
+        assert abs(scored[r.q, r.row_id] - r.score) < 0.02
+    plan = ann.search_lists(stored, model, queries.filter("q = 0"), 5, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [EqualTo(key" in plan or "PushedFilters: [In(key" in plan or "EqualTo(key" in plan
 
 
 def test_zero_and_nan_vectors_are_refused(spark):
@@ -140,7 +176,8 @@ def test_null_and_ragged_vectors_are_refused(spark):
 
 def test_many_queries_are_scored_in_slices(base, queries, monkeypatch):
     whole = rows(vectors.knn_exact(base, queries, 5))
-    monkeypatch.setattr(vectors, "SCORE_VALUES", 7)
+    monkeypatch.setattr(blocks, "SCORE_VALUES", 7)
+    monkeypatch.setattr(blocks, "KEPT_ROWS", 1)
     assert rows(vectors.knn_exact(base, queries, 5)) == whole
 
 
