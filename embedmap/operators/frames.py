@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions import grid
-from embedmap.operators.ordering import union_all
 
 # Fixed values of the frame rule.
 EXTENT_PCT = (0.001, 0.999)
 PAD_FRACTION = 0.02
 CORE_RADIUS_PCT = 0.995
+SKETCH = 10_000             # accuracy of the sketch that brackets a percentile
 HISTOGRAM_BINS = 4096       # bins per open interval of a percentile search
 LIST_ROWS = 20_000          # an interval this small is listed value by value
 
@@ -46,28 +46,41 @@ def linspace_sample(df: DataFrame, n: int, k: int, id_col: str = "row_id") -> Da
 def percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> dict[str, list[float]]:
     """Exact interpolated percentiles of a few columns, as driver scalars.
 
-    Rank selection by histogram: every round counts the values of the open intervals in equal-width bins and keeps the
-    bin that holds the rank, until the interval is small enough to list its distinct values. The driver sees bin counts
-    only, at most ``HISTOGRAM_BINS`` per open interval, whatever the number of rows or their skew. Nulls are left out; NaN and
+    Rank selection: the first pass sketches every column (``percentile_approx``), which brackets each wanted rank. The second counts the
+    rows in and around the brackets and lists the distinct values of small ones; a bracket with more rows is narrowed by
+    histogram, pass by pass. A bracket that turns out not to hold its rank is replaced by the gap that does, so the result never rests on
+    the sketch. The driver sees counts only, whatever the number of rows or their skew. Nulls are left out; NaN and
     infinite values have no place in the search and are refused, as is a column without values.
     """
+    return _percentiles(df, cols, ps)[0]
+
+
+def _percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> tuple[dict[str, list[float]], int]:
+    """Percentiles and the number of rows, nulls included."""
     values = {i: F.col(c).cast("double") for i, c in enumerate(cols)}
-    stats = df.agg(*[f(v).alias(f"{k}{i}") for i, v in values.items() for k, f in (("n", F.count), ("a", F.min), ("b", F.max))], *[
-        F.count_if(F.isnan(v) | (F.abs(v) == F.lit(float("inf")))).alias(f"x{i}") for i, v in values.items()]).first()
+    edges = sorted({e for p in ps for e in (max(0.0, p - 2 / SKETCH), min(1.0, p + 2 / SKETCH))})
+    stats = df.agg(
+        F.count(F.lit(1)).alias("rows"), *[f(v).alias(f"{k}{i}") for i, v in values.items() for k, f in (("n", F.count), ("a", F.min), ("b", F.max))],
+        *[F.count_if(F.isnan(v) | (F.abs(v) == F.lit(float("inf")))).alias(f"x{i}") for i, v in values.items()],
+        *[F.percentile_approx(v, F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH)).alias(f"s{i}") for i, v in values.items()]).first()
     for i, c in enumerate(cols):
         if stats[f"x{i}"]:
             raise ValueError(f"{c} has {stats[f'x{i}']} NaN or infinite values")
         if not stats[f"n{i}"]:
             raise ValueError(f"{c} has no values")
     found: dict[tuple[int, int], float] = {}
-    ranks = {i: sorted({r for p in ps for r in _rank_pair(p, stats[f"n{i}"])}) for i in range(len(cols))}
-    # Open intervals: (column, lo, hi) -> (rows below lo, rows inside, wanted ranks).
-    todo = {(i, stats[f"a{i}"], stats[f"b{i}"]): (0, stats[f"n{i}"], ranks[i]) for i in range(len(cols)) if ranks[i]}
+    # Intervals (column, lo, hi) that cover the column; values at an edge belong to the interval above, the largest to the last.
+    todo: list[_Interval] = []
+    for i in range(len(cols)):
+        ranks = sorted({r for p in ps for r in _rank_pair(p, stats[f"n{i}"])})
+        low, high, at = stats[f"a{i}"], stats[f"b{i}"], dict(zip(edges, stats[f"s{i}"]))
+        brackets = [(at[max(0.0, p - 2 / SKETCH)], math.nextafter(at[min(1.0, p + 2 / SKETCH)], math.inf)) for p in ps]
+        cuts = sorted({low, high, *(e for b in brackets for e in b if low < e < high)})
+        marks = cuts if len(cuts) > 1 else cuts * 2
+        inside = lambda lo, hi: any(a <= lo and hi <= b for a, b in brackets)  # noqa: E731, B023
+        todo.append(_Interval(i, 0, ranks, [_Piece(lo, hi, stats[f"n{i}"] * 8 // SKETCH if inside(lo, hi) else None) for lo, hi in zip(marks, marks[1:])]))
     while todo:
-        smaller = _narrow(df, cols, todo, found)
-        if smaller.keys() == todo.keys():
-            raise RuntimeError("percentile search does not narrow")
-        todo = smaller
+        todo = _narrow(df, cols, todo, found)
     out = {}
     for i, c in enumerate(cols):
         out[c] = []
@@ -76,42 +89,62 @@ def percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> dict
             position = p * (stats[f"n{i}"] - 1)
             x, y = found[i, lower], found[i, upper]
             out[c].append(x if x == y else (upper - position) * x + (position - lower) * y)
-    return out
+    return out, stats["rows"]
 
 
 def _rank_pair(p: float, n: int) -> tuple[int, int]:
     return math.floor(p * (n - 1)), math.ceil(p * (n - 1))
 
 
-def _narrow(df: DataFrame, cols: Sequence[str], todo: dict, found: dict[tuple[int, int], float]) -> dict:
-    """One counting pass over all open intervals; returns the smaller ones that remain open."""
-    keys = list(todo)
-    branches = []
-    for i in sorted({k[0] for k in keys}):
-        # One branch per column, so that each scan reads its column only; the intervals of a column are disjoint.
-        v = F.col("v")
+@dataclass
+class _Piece:
+    """Values in [lo, hi), the last piece of an interval with hi; the rows that are expected in it, None if it is only counted."""
+
+    lo: float
+    hi: float
+    rows: int | None
+
+
+@dataclass
+class _Interval:
+    """Adjoining pieces of a column's values, the rows below them, and the ranks that lie inside."""
+
+    column: int
+    below: int
+    ranks: list[int]
+    pieces: list[_Piece]
+
+
+def _narrow(df: DataFrame, cols: Sequence[str], todo: list[_Interval], found: dict[tuple[int, int], float]) -> list[_Interval]:
+    """One counting pass over all open intervals in one scan; returns the smaller ones that remain open."""
+    keys = [(t, p) for t in todo for p in t.pieces]
+    marks = []
+    for i in sorted({t.column for t in todo}):
+        v = F.col(cols[i]).cast("double")
         which, mark = F.lit(None).cast("int"), F.lit(None).cast("double")
-        for j, (column, lo, hi) in enumerate(keys):
-            if column == i:
-                inside = v.between(lo, hi)
-                few = todo[keys[j]][1] <= LIST_ROWS or hi <= lo  # few rows: list the distinct values
-                scaled = v if few else F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(HISTOGRAM_BINS))).cast("double")
+        for j, (t, p) in enumerate(keys):
+            if t.column == i:
+                inside = v.between(p.lo, p.hi) if p is t.pieces[-1] else (v >= F.lit(p.lo)) & (v < F.lit(p.hi))
+                if p.rows is None:
+                    scaled = F.lit(0.0)
+                elif p.rows <= LIST_ROWS or p.hi <= p.lo:  # few rows: list the distinct values
+                    scaled = v
+                else:
+                    scaled = F.floor((v - F.lit(p.lo)) / F.lit(p.hi - p.lo) * F.lit(float(HISTOGRAM_BINS))).cast("double")
                 which, mark = F.when(inside, F.lit(j)).otherwise(which), F.when(inside, scaled).otherwise(mark)
-        column = df.select(F.col(cols[i]).cast("double").alias("v"))
-        branches.append(column.select("v", which.alias("j"), mark.alias("bin")).filter(F.col("j").isNotNull()))
-    counted = (
-        union_all([b.groupBy("j", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")) for b in branches])
-        .collect()
-    )
-    rest = {}
-    for j, key in enumerate(keys):
-        below, _, ranks = todo[key]
-        for r in sorted((r for r in counted if r["j"] == j), key=lambda r: r["lo"]):
-            here = [k for k in ranks if below <= k < below + r["n"]]
+        marks.append(F.struct(v.alias("v"), which.alias("j"), mark.alias("bin")))
+    kept = F.filter(F.array(*marks), lambda m: m["j"].isNotNull())
+    counted = df.select(F.explode(kept).alias("m")).groupBy("m.j", "m.bin").agg(F.count(F.lit(1)).alias("n"), F.min("m.v").alias("lo"), F.max("m.v").alias("hi")).collect()
+    rest = []
+    for t in todo:
+        mine = {id(p) for p in t.pieces}
+        below = t.below
+        for r in sorted((r for r in counted if id(keys[r["j"]][1]) in mine), key=lambda r: (r["j"], r["lo"])):
+            here = [k for k in t.ranks if below <= k < below + r["n"]]
             if here and r["lo"] == r["hi"]:
-                found.update({(key[0], k): r["lo"] for k in here})
+                found.update({(t.column, k): r["lo"] for k in here})
             elif here:
-                rest[key[0], r["lo"], r["hi"]] = (below, r["n"], here)
+                rest.append(_Interval(t.column, below, here, [_Piece(r["lo"], r["hi"], r["n"])]))
             below += r["n"]
     return rest
 
@@ -124,8 +157,12 @@ def padded(lo: float, hi: float, pad: float) -> tuple[float, float]:
 
 
 def robust_extent(df: DataFrame, cols: Sequence[str], pct: tuple[float, float] = EXTENT_PCT, pad: float = PAD_FRACTION) -> list[float]:
-    q = percentiles(df, cols, pct)
-    return [edge for c in cols for edge in padded(*q[c], pad)]
+    return _extent(df, cols, pct, pad)[0]
+
+
+def _extent(df: DataFrame, cols: Sequence[str], pct: tuple[float, float] = EXTENT_PCT, pad: float = PAD_FRACTION) -> tuple[list[float], int]:
+    q, rows = _percentiles(df, cols, pct)
+    return [edge for c in cols for edge in padded(*q[c], pad)], rows
 
 
 def equalized(extent: Sequence[float]) -> list[float]:
@@ -137,19 +174,19 @@ def equalized(extent: Sequence[float]) -> list[float]:
 
 def compute_frame_3d(df: DataFrame, cols: Sequence[str] = ("x", "y", "z"), n: int | None = None) -> Frame:
     """Frame of all rows. To fit one on fewer, pass them: ``compute_frame_3d(linspace_sample(df, n, k))``."""
-    raw = robust_extent(df, cols)
-    return Frame(equalized(raw), raw, n_rows=df.count() if n is None else n)
+    raw, rows = _extent(df, cols)
+    return Frame(equalized(raw), raw, n_rows=rows if n is None else n)
 
 
 def compute_frame_2d(df: DataFrame, cols: Sequence[str] = ("x", "y"), n: int | None = None) -> Frame:
     """Extent of the trimmed core: rows within the 99.5 percentile of the distance to the median."""
     x, y = cols
-    centre = percentiles(df, cols, [0.5])
+    centre, rows = _percentiles(df, cols, [0.5])
     dx, dy = F.col(x) - F.lit(centre[x][0]), F.col(y) - F.lit(centre[y][0])
     radial = df.withColumn("_radius", F.sqrt(dx * dx + dy * dy))
     limit = percentiles(radial, ["_radius"], [CORE_RADIUS_PCT])["_radius"][0]
     raw = robust_extent(radial.filter(F.col("_radius") <= F.lit(limit)), cols)
-    return Frame(equalized(raw), raw, n_rows=df.count() if n is None else n)
+    return Frame(equalized(raw), raw, n_rows=rows if n is None else n)
 
 
 def normalize(df: DataFrame, frame: Frame, cols: Sequence[str] = ("x", "y", "z"), out: Sequence[str] = ("px", "py", "pz")) -> DataFrame:
