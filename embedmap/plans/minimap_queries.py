@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from embedmap.functions import grid
-from embedmap.operators import frames, minimap
+from embedmap.operators import frames, minimap, pages
 from embedmap.operators.ordering import md5_priority
 from embedmap.plans.data import CORPORA, ZOOM, assigned, frame2, points2, quantized, table
 from embedmap.plans.frame_queries import edges, sql_edges
 from embedmap.plans.registry import part, query
+from embedmap.session import ensure_checkpoint_dir
 
 E2 = ["x0", "x1", "y0", "y1"]
 
@@ -241,6 +244,32 @@ def rows_in_radius_capped(spark, sf):
     return minimap.rows_in_radius(quantized(spark, sf), positions(spark, sf), 3000, 16)
 
 
+def page_store(spark, sf, size=512):
+    """The tiled points, written as pages and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    pages.write_pages(tiled(spark, sf), path, size)
+    return pages.read_pages(spark, path, size)
+
+
+@query("nearest_rows_stored", """
+SELECT q, d2, row_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, row_id) AS k FROM qd2) WHERE k = 1""")
+def nearest_rows_stored(spark, sf):
+    """Nearest row of every position, from the stored pages whose boxes allow it."""
+    return pages.search_pages(page_store(spark, sf), positions(spark, sf), cap=1)
+
+
+@query("rows_in_radius_stored", "SELECT q, row_id, d2 FROM qd2 WHERE d2 <= 3000 * 3000")
+def rows_in_radius_stored(spark, sf):
+    return pages.search_pages(page_store(spark, sf), positions(spark, sf), radius=3000)
+
+
+@query("rows_in_radius_capped_stored", """
+SELECT q, row_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, row_id) AS k FROM qd2 WHERE d2 <= 3000 * 3000) WHERE k <= 16""")
+def rows_in_radius_capped_stored(spark, sf):
+    """The cap bounds the boxes before any row is read."""
+    return pages.search_pages(page_store(spark, sf), positions(spark, sf), radius=3000, cap=16)
+
+
 @query("voxels_in_radius", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, chunk_id, local_id) AS rank FROM (
   SELECT q, chunk_id, local_id, count(*) AS n FROM qd2 JOIN a3 USING (row_id) WHERE qd2.d2 <= 3000 * 3000 GROUP BY 1, 2, 3))""")
