@@ -42,11 +42,14 @@ CHUNK_BYTES = 64 << 20
 STRETCH_BYTES = 4 << 20
 #: Pairs that a task scores at once (whole groups of contexts).
 BLOCK_PAIRS = 1 << 20
+#: Rows that a task packs at once for the chunks.
+PACKED_ROWS = 1 << 22
 
 END = b"\n"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _PAIR, _WORD, _DOC = range(3)
+_TABLE = "chunk long, kind int, body binary"
 
 
 def word_lists(data: bytes, limit: int = STRETCH_BYTES) -> Iterator[list[bytes]]:
@@ -244,8 +247,55 @@ def _score(order: int, first: dict[int, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
+def _packed(kind: int):
+    """(chunk, code, value) or (chunk, word, n) rows to compressed tables of a chunk each, packed where the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        rows = 0
+
+        def table(chunk: int) -> bytes:
+            first, second = (np.concatenate(c) for c in zip(*held[chunk]))
+            by = np.argsort(first)
+            first, second = first[by], second[by]
+            # Codes in ascending order are stored as steps; the end token as an empty word.
+            data = np.diff(first, prepend=np.uint64(0)).tobytes() if kind == _PAIR else b"\n".join(b"" if w == END else w for w in first.tolist())
+            return zip_.compress(len(first).to_bytes(8, "little") + second.tobytes() + data)
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(held), pa.int64()), pa.array([kind] * len(held), pa.int32()), pa.array([table(c) for c in held], pa.binary())], names=["chunk", "kind", "body"])
+
+        for b in batches:
+            chunk = b.column(0).to_numpy()
+            first = b.column(1).to_numpy().view(np.uint64) if kind == _PAIR else b.column(1).to_numpy(zero_copy_only=False)
+            second = b.column(2).to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            chunk, first, second = chunk[order], first[order], second[order]
+            edges = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]])).tolist()
+            for at, to in zip(edges[:-1], edges[1:]):
+                if to > at:
+                    held.setdefault(int(chunk[at]), []).append((first[at:to], second[at:to]))
+            rows += b.num_rows
+            if rows > PACKED_ROWS:
+                yield batch()
+                held, rows = {}, 0
+        if held:
+            yield batch()
+
+    return run
+
+
+def _unpacked(kind: int, data: bytes) -> tuple:
+    n = int.from_bytes(data[:8], "little")
+    second, rest = np.frombuffer(data, np.float64 if kind == _PAIR else np.int64, n, 8), data[8 + 8 * n:]
+    if kind == _PAIR:
+        return np.cumsum(np.frombuffer(rest, np.uint64), dtype=np.uint64), second
+    return [w or END for w in rest.split(b"\n")], second.tolist()
+
+
 def _add_up(order: int, total: int, distinct: int):
-    """Rows of chunks, pairs and words before documents, to (row, n_tokens, n_known, base_score, score)."""
+    """Rows of chunks, tables before documents, to (row, n_tokens, n_known, base_score, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -274,28 +324,26 @@ def _add_up(order: int, total: int, distinct: int):
                                    names=["row", "n_tokens", "n_known", "base_score", "score"])
 
         for b in batches:
-            columns = {c: b.column(c) for c in b.schema.names}
-            ids, kinds = columns["chunk"].to_numpy(), columns["kind"].to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1]), [True]]))
-            for at, to in zip(edges[:-1], edges[1:]):
-                if ids[at] != chunk:
-                    chunk, known, words, parts = ids[at], None, {}, []
-                cut = {c: v.slice(at, to - at) for c, v in columns.items()}
-                if kinds[at] == _PAIR:
-                    parts.append((cut["code"].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), cut["value"].to_numpy(zero_copy_only=False)))
-                elif kinds[at] == _WORD:
-                    words.update(zip(cut["word"].to_pylist(), cut["n"].to_pylist()))
+            rows, bodies = b.column(2), []
+            ids, kinds = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i in range(b.num_rows):
+                if ids[i] != chunk:
+                    chunk, known, words, parts = ids[i], None, {}, []
+                data = unzip.decompress(b.column(3)[i].as_py())
+                if kinds[i] == _PAIR:
+                    parts.append(_unpacked(_PAIR, data))
+                elif kinds[i] == _WORD:
+                    words.update(zip(*_unpacked(_WORD, data)))
                 else:
                     if known is None:
                         known, values = (np.concatenate(c) for c in zip(*parts))
                         by = np.argsort(known)
                         known, values, parts = known[by], values[by], []
-                    bodies, begin = [], 0
-                    for i in range(to - at):
-                        bodies.append(unzip.decompress(cut["body"][i].as_py()))
-                        if len(bodies) >= 512 or len(bodies[-1]) > STRETCH_BYTES or i == to - at - 1:
-                            yield scored(cut["row"].slice(begin, len(bodies)), bodies)
-                            bodies, begin = [], i + 1
+                    bodies.append(data)
+                    last = i == b.num_rows - 1 or ids[i + 1] != chunk
+                    if last or len(bodies) >= 512 or len(data) > STRETCH_BYTES:
+                        yield scored(rows.slice(i + 1 - len(bodies), len(bodies)), bodies)
+                        bodies = []
 
     return run
 
@@ -313,7 +361,7 @@ def ppm_scores(docs: DataFrame, held_out: Column, text_col: str = "text", into:
     source = docs.select(row.alias("row"), docs[text_col].cast("binary").alias("text")).select("row", (~F.col("row.out")).alias("learned"), "text")
     shape = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("row", source.schema["row"].dataType), T.StructField("body", T.BinaryType()),
                           T.StructField("code", T.LongType()), T.StructField("n", T.LongType()), T.StructField("word", T.BinaryType())])
-    filed = stored(source.mapInArrow(_file(order, chunk_bytes), shape))
+    filed = stored(source.mapInArrow(_file(order, chunk_bytes), shape), "zstd")
     pairs, words = filed.filter(F.col("kind") == _PAIR).select("chunk", "code", "n"), filed.filter(F.col("kind") == _WORD).select("chunk", "word", "n")
     counted = stored(pairs.groupBy("code").agg(F.sum("n").alias("n")))
     # Levels 1 and 0: at most 65,536 pairs of a byte and the next.
@@ -325,15 +373,11 @@ def ppm_scores(docs: DataFrame, held_out: Column, text_col: str = "text", into:
     values = tails.mapInArrow(_score(order, first), "code long, value double")
     totals = stored(words.groupBy("word").agg(F.sum("n").alias("c")))
     size = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    nothing = F.lit(None)
-    scored = pairs.select("chunk", "code").join(values.hint("shuffle_hash"), "code").select(
-        "chunk", F.lit(_PAIR).alias("kind"), nothing.cast(shape["row"].dataType).alias("row"), nothing.cast("binary").alias("body"), "code", "value", nothing.cast("binary").alias("word"),
-        nothing.cast("long").alias("n"))
-    named = words.select("chunk", "word").join(totals.hint("shuffle_hash"), "word").select(
-        "chunk", F.lit(_WORD).alias("kind"), nothing.cast(shape["row"].dataType).alias("row"), nothing.cast("binary").alias("body"), nothing.cast("long").alias("code"),
-        nothing.cast("double").alias("value"), "word", F.col("c").alias("n"))
-    bodies = filed.filter(F.col("kind") == _DOC).select("chunk", "kind", "row", "body", "code", nothing.cast("double").alias("value"), "word", "n")
-    together = scored.unionByName(named).unionByName(bodies).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    scored = pairs.select("chunk", "code").join(values.hint("shuffle_hash"), "code").select("chunk", "code", "value")
+    named = words.select("chunk", "word").join(totals.hint("shuffle_hash"), "word").select("chunk", "word", "c")
+    tables = scored.mapInArrow(_packed(_PAIR), _TABLE).unionByName(named.mapInArrow(_packed(_WORD), _TABLE))
+    tables = tables.select("chunk", "kind", F.lit(None).cast(shape["row"].dataType).alias("row"), "body")
+    together = tables.unionByName(filed.filter(F.col("kind") == _DOC).select("chunk", "kind", "row", "body")).repartition("chunk").sortWithinPartitions("chunk", "kind")
     out_shape = T.StructType([shape["row"], *[T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]])
     out = together.mapInArrow(_add_up(order, size.n, size.v), out_shape)
     made = F.struct(F.col("row.out").alias("held_out"), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -13,14 +13,14 @@ from embedmap.session import ensure_checkpoint_dir
 BROADCAST_ROWS = 100_000
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back: cuts lineage, survives lost executors.
 
     Hadoop deletes the folder when the driver ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
