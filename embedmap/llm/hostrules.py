@@ -8,8 +8,9 @@ and they stay. A document that fails nothing is never dropped for its host.
 
 The counts are taken in the tasks that read the texts, once for the hosts and once for the verdicts, so no text is shuffled.
 
-Defined cases: null texts have no words (and fail the base rule); a null host is a host of its own; repeated rows count and are
-judged one by one; an empty table gives no rows; other columns pass through, and ``_quality`` is the only new name.
+Defined cases: null texts have no words (and fail the base rule); a null host is the empty one; repeated rows count and are
+judged one by one; an empty table gives no rows; other columns pass through, whatever their names, and ``_quality`` is the only new
+name (a column of that name gives way to it).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embedmap.llm.tables import small, stored
+from embedmap.llm.tables import carried, released, small, stored
 from embedmap.llm.words import mix, rolling, slices, split_words, texts
 
 REPEAT_WINDOW = 8
@@ -99,28 +100,28 @@ def count_columns(column: pa.Array) -> list[np.ndarray]:
 def _measure(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [count_columns(some) for _, some in slices(texts(b.column(at)))]
+            parts = [count_columns(some) for _, some in slices(texts(pc.struct_field(b.column(0), [at])))]
             counts = [pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(counts, COUNTS)], names=[*b.schema.names, "_counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(counts, COUNTS)], names=["row", "counts"])
 
     return run
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct ``_counts``."""
+def measured(docs: DataFrame, text_col: str = "text", into: str = "_quality") -> DataFrame:
+    """(row, counts): every row of ``docs`` as a struct, and its COUNTS."""
+    rows = carried(docs, into)
     counts = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_counts", counts)])
-    return docs.mapInArrow(_measure(docs.columns.index(text_col)), schema)
+    return rows.mapInArrow(_measure(docs.columns.index(text_col)), T.StructType([*rows.schema.fields, T.StructField("counts", counts)]))
 
 
 def base_failed() -> Column:
-    c = F.col("_counts")
+    c = F.col("counts")
     return (c.n_words < MIN_WORDS) | (100 * c.n_repeat_words > REPEAT_PERCENT * c.n_words)
 
 
 def soft_rules() -> dict[str, Column]:
     """Failures that count only where they are a host's habit."""
-    c = F.col("_counts")
+    c = F.col("counts")
     return {
         "symbols": 4 * c.n_symbols > c.n_words,
         "shouting": 2 * c.n_upper > c.word_chars,
@@ -132,7 +133,7 @@ def soft_rules() -> dict[str, Column]:
 def host_rates(counted: DataFrame, host: Column) -> DataFrame:
     """One row per host: documents and, per soft rule, failures and the rate shrunk by the empirical beta prior."""
     rules = soft_rules()
-    hosts = stored(counted.groupBy(host.alias("_host")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(r).alias(f"f_{name}") for name, r in rules.items()]))
+    hosts = stored(counted.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(r).alias(f"f_{name}") for name, r in rules.items()]))
     moments = []
     for name in rules:
         f, rate = F.col(f"f_{name}"), F.col(f"f_{name}") / F.col("n")
@@ -149,18 +150,18 @@ def host_rates(counted: DataFrame, host: Column) -> DataFrame:
     return out
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` with the struct ``_quality``: the counts, base_failed, the soft rules that decided against it, and kept."""
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    need = docs.select(F.col(host_col).alias("source"), F.col(text_col).alias("text"))
-    rates = host_rates(measured(need), F.coalesce(F.col("source").cast("string"), F.lit("")))
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", tolerance: float = TOLERANCE, into: str = "_quality") -> DataFrame:
+    """``docs`` with the struct ``into``: the counts, base_failed, the soft rules that decided against it, and kept."""
+    host = lambda name: F.coalesce(F.col("row").getField(name).cast("string"), F.lit(""))
+    need = docs.select(docs[host_col].alias("source"), docs[text_col].alias("text"))
+    rates = host_rates(measured(need), host("source"))
     rules = soft_rules()
-    verdicts = rates.select("_host", F.array_compact(F.array(*[F.when(F.col(f"rate_{name}") > tolerance, F.lit(name)) for name in rules])).alias("_strict"))
-    joined = measured(docs, text_col).withColumn("_host", host).join(small(verdicts), "_host", "left")
+    verdicts = rates.select("host", F.array_compact(F.array(*[F.when(F.col(f"rate_{name}") > tolerance, F.lit(name)) for name in rules])).alias("strict"))
+    joined = measured(docs, text_col, into).withColumn("host", host(host_col)).join(small(verdicts), "host", "left")
     failed = F.array_compact(F.array(*[F.when(r, F.lit(name)) for name, r in rules.items()]))
-    against = F.array_intersect(failed, F.col("_strict"))
-    joined = joined.withColumn("_base", F.coalesce(base_failed(), F.lit(True))).withColumn("_against", F.coalesce(against, F.array().cast("array<string>")))
-    fields = [F.col(f"_counts.{c}").alias(c) for c in COUNTS]
-    quality = F.struct(*fields, F.col("_base").alias("base_failed"), F.col("_against").alias("host_rules"),
-                       (~F.col("_base") & (F.size("_against") == 0)).alias("kept"))
-    return joined.withColumn("_quality", quality).drop("_host", "_strict", "_counts", "_base", "_against")
+    against = F.array_intersect(failed, F.col("strict"))
+    joined = joined.withColumn("base", F.coalesce(base_failed(), F.lit(True))).withColumn("against", F.coalesce(against, F.array().cast("array<string>")))
+    fields = [F.col(f"counts.{c}").alias(c) for c in COUNTS]
+    quality = F.struct(*fields, F.col("base").alias("base_failed"), F.col("against").alias("host_rules"),
+                       (~F.col("base") & (F.size("against") == 0)).alias("kept"))
+    return released(joined, docs.columns, into, quality)

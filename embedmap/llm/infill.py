@@ -11,7 +11,7 @@ its form alone, ``unframed`` gives plain text. No shuffle; a lost task is redone
 Defined cases: a null text is an empty one, which has form ``plain``; a null id draws its cuts as the text ``null``; repeated rows give
 repeated results; a very long text, or a letter run longer than a frame, spans frames; a text that holds a marker stays ``plain``; an empty
 table gives no rows. Other columns pass through untouched, whatever their names: only the text column is replaced by the new struct
-column, and an input that has a column of that name already is refused.
+column, and a column of that name in the input gives way to it.
 """
 
 from __future__ import annotations
@@ -137,9 +137,7 @@ def _letter_at_end(data: bytes) -> bool:
 
 def _replaced(df: DataFrame, dropped: str | None, into: str, values: list[Column], make, kind: pa.DataType, cost) -> DataFrame:
     """``df`` with column ``into`` made from ``values`` row by row, in place of column ``dropped``; batches stay below BATCH_BYTES of ``cost``."""
-    kept = [c for c in df.columns if c != dropped]
-    if into in kept:
-        raise ValueError(f"the input has a column {into} already")
+    kept = [c for c in df.columns if c not in (dropped, into)]
     row = F.struct(*[df[f"`{c.replace('`', '``')}`"] for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
     source = df.select(row.alias("row"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
     shape = T.StructType([source.schema["row"], T.StructField("made", from_arrow_type(kind))])

@@ -13,7 +13,8 @@ document and the number of documents of the whole hash.
 
 Defined cases: a null or empty text is one empty line; a null id counts as one document below all others; rows with one id are one
 document, and each of them keeps the lines that its id keeps; repeated lines of the keeping document all stay; an empty
-table gives no rows; other columns of the input, whatever their names, don't take part.
+table gives no rows; other columns of the input, whatever their names, pass through (one named ``_lines`` gives way to the result).
+The bitmaps hold the lines that go; all others are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedmap.llm.tables import stored
+from embedmap.llm.tables import carried, released, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -98,29 +99,26 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return drop_bitmaps(dropped_lines(lines, min_docs, crowded))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct ``_lines``: n_lines, n_dropped and the text that stays."""
-    marked = docs.withColumn("_doc", F.coalesce(docs[id_col].cast("long"), F.lit(_LEAST))).withColumn("_sig", F.xxhash64(docs[text_col]))
-    drops = bitmaps.select(F.col("doc").alias("_doc"), F.col("sig").alias("_sig"), F.col("drops").alias("_drops"))
-    joined = marked.join(drops.hint("shuffle_hash"), ["_doc", "_sig"], "left")
-    lines = lines_of(F.col(text_col))
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "_lines") -> DataFrame:
+    """``docs`` with the struct ``into``: n_lines, n_dropped and the text that stays."""
+    marked = carried(docs, into, doc=F.coalesce(docs[id_col].cast("long"), F.lit(_LEAST)), sig=F.xxhash64(docs[text_col]))
+    joined = marked.join(bitmaps.hint("shuffle_hash"), ["doc", "sig"], "left").select("row", "drops")
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
     # The sparse words as a dense array, so that a line finds its bit at once.
-    by_word = F.map_from_entries("_drops")
-    dense = F.transform(F.sequence(F.lit(0), F.floor((F.size("_split") - 1) / WORD).cast("int")),
-                        lambda w: F.coalesce(F.element_at("_map", w), F.lit(0).cast("long")))
-    stays = F.filter("_split", lambda line, i: F.call_function(
-        "getbit", F.element_at("_dense", (F.floor(i / WORD) + 1).cast("int")), F.pmod(i, F.lit(WORD)).cast("int")) == 0)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    changed = F.col("_drops").isNotNull()
-    out = joined.withColumn("_split", lines).withColumn("_map", by_word)
-    out = out.withColumn("_dense", F.when(changed, dense)).withColumn("_kept", F.when(changed, stays))
+    dense = F.transform(F.sequence(F.lit(0), F.floor((F.size("split") - 1) / WORD).cast("int")),
+                        lambda w: F.coalesce(F.element_at("by_word", w), F.lit(0).cast("long")))
+    stays = F.filter("split", lambda line, i: F.call_function(
+        "getbit", F.element_at("dense", (F.floor(i / WORD) + 1).cast("int")), F.pmod(i, F.lit(WORD)).cast("int")) == 0)
+    changed = F.col("drops").isNotNull()
+    out = joined.withColumn("split", F.split(text, "\n", -1)).withColumn("by_word", F.map_from_entries("drops"))
+    out = out.withColumn("dense", F.when(changed, dense)).withColumn("kept", F.when(changed, stays))
     result = F.struct(
-        F.size("_split").cast("long").alias("n_lines"),
-        F.when(changed, F.size("_split") - F.size("_kept")).otherwise(0).cast("long").alias("n_dropped"),
-        F.when(changed, F.array_join("_kept", "\n")).otherwise(text).alias("text"))
-    return out.withColumn("_lines", result).drop("_doc", "_sig", "_drops", "_split", "_map", "_dense", "_kept")
+        F.size("split").cast("long").alias("n_lines"),
+        F.when(changed, F.size("split") - F.size("kept")).otherwise(0).cast("long").alias("n_dropped"),
+        F.when(changed, F.array_join("kept", "\n")).otherwise(text).alias("text"))
+    return released(out, docs.columns, into, result)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """``docs`` with the struct ``_lines`` (n_lines, n_dropped, text)."""
-    return apply_bitmaps(docs, keep_bitmaps(docs, id_col=id_col, text_col=text_col, **limits), id_col, text_col)
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "_lines", **limits: int) -> DataFrame:
+    """``docs`` with the struct ``into`` (n_lines, n_dropped, text)."""
+    return apply_bitmaps(docs, keep_bitmaps(docs, id_col=id_col, text_col=text_col, **limits), id_col, text_col, into)

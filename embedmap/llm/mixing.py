@@ -11,8 +11,8 @@ sums per bucket and per thousand buckets supply the offsets, so no task orders a
 source's budget decides the block of the mix, which therefore holds all sources in their weights.
 
 Defined cases: a null or empty source is the source ''; a null text counts as one token, as does the end of every text; equal rows
-are drawn in any order among themselves; an empty table gives no rows; other columns pass through, and ``_mix`` is the
-only new name.
+are drawn in any order among themselves; an empty table gives no rows; other columns pass through, whatever their names, and ``_mix`` is
+the only new name (a column of that name gives way to it).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedmap.llm.tables import small, stored
+from embedmap.llm.tables import carried, released, small, stored
 
 GRID = 1 << 20
 #: Exponents tried per pass over the table of sources.
@@ -92,11 +92,13 @@ def source_budgets(docs: DataFrame, tokens: Column, source: Column, budget: int
 
 def mix(docs: DataFrame, budget: int | str = "cover", entropy: float = 0.98, max_repeat: float = 4.0, seed: int = 7, tokens: Column | None = None,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_tokens: int = BUCKET_TOKENS,
-        block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of the mix: ``docs`` with the struct ``_mix`` (epoch, block, order, tokens, source_tokens, source_budget)."""
+        block_tokens: int = BLOCK_TOKENS, into: str = "_mix") -> DataFrame:
+    """The rows of the mix: ``docs`` with the struct ``into`` (epoch, block, order, tokens, source_tokens, source_budget)."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     tokens = word_count(F.col(text_col)) if tokens is None else tokens
-    budgets = stored(source_budgets(docs, tokens, source, budget, entropy, max_repeat))
+    # The texts are counted once for the budgets and the offsets, and once more where the rows are drawn.
+    slim = stored(docs.select(source.alias("_source"), F.col(id_col).cast("string").alias("_id"), tokens.alias("_tokens")))
+    budgets = stored(source_budgets(slim, F.col("_tokens"), F.col("_source"), budget, entropy, max_repeat))
     whole = budgets.agg(F.sum("budget")).first()[0] or 0
     blocks = max(1, -(-whole // block_tokens))
     named = small(budgets.select("_source", F.col("tokens").alias("_of"), F.col("budget").alias("_budget")))
@@ -110,7 +112,6 @@ def mix(docs: DataFrame, budget: int | str = "cover", entropy: float = 0.98, max
         lead = F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
         return rows.withColumn("_order", order).withColumn("_bucket", F.floor(lead * F.ceil(F.col("_of") / bucket_tokens)))
 
-    slim = docs.select(source.alias("_source"), F.col(id_col).cast("string").alias("_id"), tokens.alias("_tokens"))
     keys = ["_source", "_epoch", "_bucket"]
     sums = drawn(slim).groupBy(*keys).agg(F.sum("_tokens").alias("_sum")).withColumn("_part", F.floor(F.col("_bucket") / BUCKETS))
     upto = (Window.unboundedPreceding, -1)
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, budget: int | str = "cover", entropy: float = 0.98, max
     inside = F.coalesce(F.sum("_sum").over(Window.partitionBy("_source", "_epoch", "_part").orderBy("_bucket").rowsBetween(*upto)), none)
     offsets = sums.withColumn("_inside", inside).join(parts, ["_source", "_epoch", "_part"]).select(*keys, (F.col("_inside") + F.col("_before_part")).alias("_offset"))
 
-    rows = docs.withColumns({"_source": source, "_id": F.col(id_col).cast("string"), "_tokens": tokens})
+    rows = carried(docs, into, _source=source, _id=F.col(id_col).cast("string"), _tokens=tokens)
     running = Window.partitionBy(*keys).orderBy("_order", "_id").rowsBetween(*upto)
     placed = drawn(rows).withColumn("_local", F.coalesce(F.sum("_tokens").over(running), none)).join(offsets, keys)
     start = F.col("_epoch") * F.col("_of") + F.col("_offset") + F.col("_local")
@@ -129,4 +130,4 @@ def mix(docs: DataFrame, budget: int | str = "cover", entropy: float = 0.98, max
     block = F.least(F.floor(F.col("_start").cast("decimal(38,0)") * blocks / F.col("_budget")).cast("long"), F.lit(blocks - 1))
     struct = F.struct(F.col("_epoch").alias("epoch"), block.alias("block"), F.col("_order").alias("order"), F.col("_tokens").alias("tokens"),
                       F.col("_of").alias("source_tokens"), F.col("_budget").alias("source_budget"))
-    return placed.select(*docs.columns, struct.alias("_mix"))
+    return released(placed, docs.columns, into, struct)

@@ -15,7 +15,7 @@ window each, and the rows of a chunk add up their scores. No table of the model
 Defined cases: a null or empty text is its end alone; rows are held out by the given column, null counting as false; repeated rows count and are
 scored each; without training rows every byte has probability 1/256 and every token of the base 1; an empty table gives no
 rows; a very long text is a chunk of its own. Other columns pass through untouched, whatever their names; the text column is
-replaced by struct ``_lm`` (refused if the input has such a column).
+replaced by struct ``_lm``, to which a column of that name gives way.
 """
 
 from __future__ import annotations
@@ -353,9 +353,7 @@ def ppm_scores(docs: DataFrame, held_out: Column, text_col: str = "text", into:
     (log10 probabilities of the whole text). ``order`` bytes of context, 3 to 7."""
     if not 3 <= order <= 7:
         raise ValueError("order must be 3 to 7")
-    kept = [c for c in docs.columns if c != text_col]
-    if into in kept:
-        raise ValueError(f"the input has a column {into} already")
+    kept = [c for c in docs.columns if c not in (text_col, into)]
     carried = [docs[f"`{c.replace('`', '``')}`"] for c in kept] or [F.lit(0)]
     row = F.struct(F.coalesce(held_out, F.lit(False)).alias("out"), F.struct(*carried).alias("kept"))
     source = docs.select(row.alias("row"), docs[text_col].cast("binary").alias("text")).select("row", (~F.col("row.out")).alias("learned"), "text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.session import ensure_checkpoint_dir
@@ -30,3 +30,24 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (Spark then joins by shuffle)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def carried(docs: DataFrame, into: str, **values: Column) -> DataFrame:
+    """``docs`` as one struct column ``row``, beside the helper columns ``values``: no helper can meet a column of the input.
+
+    ``into`` is the column that the operator will add; a column of that name in the input gives way to it.
+    """
+    columns = [docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), *[v.alias(n) for n, v in values.items()])
+
+
+def released(df: DataFrame, columns: list[str], into: str, made: Column) -> DataFrame:
+    """The columns of a carried input again, and ``made`` as ``into``."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns if c != into], made.alias(into))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it until the input has no such column."""
+    while name in docs.columns:
+        name += "_"
+    return name

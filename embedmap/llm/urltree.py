@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embedmap.llm.tables import small, stored
+from embedmap.llm.tables import carried, small, stored
 
 MIN_URLS = 5
 #: Labelled urls from which a segment's unwanted share is tested.
@@ -165,16 +165,16 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     """``pages`` with host, path, rule, verdict, template. ``labels`` are (id, unwanted 0/1)."""
     host, path = host_and_path(pages[url_col])
     known = labels.filter(F.col("id").isNotNull() & F.col("unwanted").isNotNull()).groupBy("id").agg(F.max(F.col("unwanted").cast("int")).alias("_bad"))
-    clash = [c for c in pages.columns if c in ("host", "path", "rule", "verdict", "template")]
-    keyed = pages.drop(*[pages[c] for c in clash]).withColumns({"host": host, "path": path}).withColumn("_segments", folded(F.col("path")))
-    rows = keyed.select(keyed[id_col].alias("id"), "host", "_segments").join(known, "id", "left").filter(F.col("host") != "")
-    paths = rows.groupBy("host", F.col("_segments").alias("segments")).agg(
+    named = ("host", "path", "rule", "verdict", "template")
+    keyed = carried(pages, "", host=host, path=path, id=pages[id_col]).withColumn("segments", folded(F.col("path")))
+    rows = keyed.select("id", "host", "segments").join(known, "id", "left").filter(F.col("host") != "")
+    paths = rows.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.count("_bad").alias("labelled"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
     grown = stored(path_templates(paths))
     verdicts = grown.select("host", "segments", "template").join(judged_templates(grown, purity), ["host", "template"]).select(
-        "host", F.col("segments").alias("_segments"), "template", F.col("rejected").alias("_rejected"))
+        "host", "segments", "template", "rejected")
     rule, said = longest_rule(F.col("host"), F.col("path"), rules)
-    out = keyed.join(small(stored(verdicts)), ["host", "_segments"], "left")
-    method = F.when(F.coalesce("_rejected", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
+    out = keyed.join(small(stored(verdicts)), ["host", "segments"], "left")
+    method = F.when(F.coalesce("rejected", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     out = out.withColumn("rule", rule).withColumn("verdict", F.coalesce(said, method))
-    return out.select(*[c for c in pages.columns if c not in clash], "host", "path", "rule", "verdict", "template")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in pages.columns if c not in named], *named)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from embedmap.llm.hostrules import count_columns
-from embedmap.llm.tables import stored
+from embedmap.llm.tables import carried, released, stored
 from embedmap.llm.words import slices, split_words, texts
 
 #: Documents per posterior class on which the scorer is fitted, and labelled documents from which the lexicon is drawn.
@@ -267,17 +267,19 @@ def weak_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sample = stored(sample.groupBy("id").agg(*[F.max(t).alias(t) for t in TARGETS]))
     rows = slim.join(F.broadcast(sample), "id")  # about SAMPLE documents per class
     lists = _with(rows, "text", "features", T.ArrayType(T.LongType()), lexicon, _feature_lists)
-    lists = stored(lists.select(order.alias("order"), "features", *TARGETS).dropDuplicates(["order"]))
+    # Of several texts of one id, the one with the least features is drawn, whatever the layout.
+    lists = stored(lists.groupBy(order.alias("order")).agg(F.min(F.struct("features", *TARGETS)).alias("f")).select("order", "f.*"))
     fitted = lists.coalesce(1).mapInArrow(_fit_scorer(EPOCHS), "feature long, weights array<double>").collect()
     weights = np.zeros((FEATURES + 1, len(TARGETS)))
     for r in fitted:
         weights[r.feature] = r.weights
     weights = spark.sparkContext.broadcast(weights.tobytes())
     kind = T.StructType([*_PATTERNS.fields, *[T.StructField(f"{t}_score", T.DoubleType()) for t in TARGETS]])
-    out = _with(docs, text_col, "_p", kind, lexicon, _score(weights))
+    # The text is named beside the carried row, so that no column of the input meets a helper.
+    out = _with(carried(docs, "_weak", text=docs[text_col]), "text", "p", kind, lexicon, _score(weights))
     fields, bad = [], F.lit(False)
     for t in TARGETS:
-        posterior, score = _posterior(F.col(f"_p.{t}"), tables[t]), F.col(f"_p.{t}_score")
+        posterior, score = _posterior(F.col(f"p.{t}"), tables[t]), F.col(f"p.{t}_score")
         fields += [F.round(posterior, 9).alias(f"{t}_posterior"), F.round(score, 9).alias(f"{t}_score")]
         bad = bad | ((posterior + score) / 2 > 0.5)
-    return out.withColumn("_weak", F.struct(*fields, (~bad).alias("kept"))).drop("_p")
+    return released(out, docs.columns, "_weak", F.struct(*fields, (~bad).alias("kept")))
