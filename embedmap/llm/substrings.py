@@ -9,8 +9,10 @@ snippet. Anchors found once can't match anything and stay behind. For the others
 * the other snippets of an anchor are streamed through the suffix automaton of that anchor's distinct snippets: its matching
   statistics tell at every word whether the last ``window`` words occur in two snippets. The maximal spans of such
   windows are removed;
-* an anchor with more than ``CROWD`` distinct snippets is counted window by window (128-bit hashes, combined before
-  the shuffle), so that no task gathers a crowd.
+* the automaton of an anchor takes at most ``FORMS`` distinct snippets. A more crowded anchor is split by content: windows with more words left
+  of the anchor than the middle of their range share those words and are filed under their hash, the others share the words right of it.
+  Equal windows always meet again, a snippet becomes at most two pieces a round, and after five rounds a piece is one window. So every
+  snippet meets an automaton (or its equals, by hash) in a shard of bounded size, and no task gathers a crowd.
 
 Defined cases: null texts have no words; documents shorter than a window lose nothing; repeated rows repeat each other's windows
 and so go if long enough; rows with a null id are documents like others; an empty table gives no rows; other columns are kept out
@@ -23,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.llm.tables import stored
@@ -31,8 +34,8 @@ from embedmap.llm.words import BASE, mix, raw, rolling, signed, slices, texts, w
 
 WINDOW = 35
 GRAM = 6
-#: Distinct snippets of one anchor that one automaton takes.
-CROWD = 500
+#: Distinct snippets that one automaton takes; an anchor with more is split.
+FORMS = 500
 #: Words whose anchors are found at once (positions fit in 24 bits).
 STRETCH = 1 << 22
 
@@ -57,7 +60,7 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def snippets(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Document index, first window, windows, anchor and hash of every run of windows with one anchor."""
+    """Document index, first window, windows, anchor, hash and words before the anchor of every run of windows with one anchor."""
     out = []
     powers, undo = _powers(BASE, min(len(h), STRETCH + window)), _powers(_INVERSE, min(len(h), STRETCH + window))
     for at in range(0, len(h), STRETCH):
@@ -76,9 +79,9 @@ def snippets(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * powers[:len(part)], dtype=np.uint64)])
         length = (last - first + window).astype(np.uint64)
         whole = mix((total[last + window] - total[first]) * undo[first] + length)
-        out.append((doc[first], first + at - bounds[doc[first]], last - first + 1, grams[anchor[first]], whole))
+        out.append((doc[first], first + at - bounds[doc[first]], last - first + 1, grams[anchor[first]], whole, anchor[first] - first))
     if not out:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -87,11 +90,11 @@ def _anchors(window: int):
         for b in batches:
             docs, sigs = b.column(0).to_numpy(), b.column(1).to_numpy()
             for first, some in slices(texts(b.column(2))):
-                doc, start, n, anchor, whole = snippets(*word_hashes(some), window)
+                doc, start, n, anchor, whole, left = snippets(*word_hashes(some), window)
                 if len(doc):
                     yield pa.record_batch([pa.array(signed(anchor)), pa.array(signed(whole)), pa.array(docs[first + doc]), pa.array(sigs[first + doc]),
-                                           pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                                          names=["anchor", "whole", "doc", "sig", "start", "windows"])
+                                           pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(left.astype(np.int32))],
+                                          names=["anchor", "whole", "doc", "sig", "start", "windows", "left"])
 
     return run
 
@@ -100,13 +103,13 @@ def _snippet_texts(window: int):
     """Rows (doc, sig, text, refs) to one row per snippet, with its words joined by single spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "whole", "doc", "sig", "start", "windows", "single", "crowded", "words"]
+        names = ["anchor", "doc", "sig", "start", "windows", "left", "single", "crowded", "words"]
         for b in batches:
             for doc, sig, text, refs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 words = raw(text.as_py()).split()
-                rows = [[r["anchor"], r["whole"], doc, sig, r["start"], r["windows"], r["single"], r["crowded"],
+                rows = [[r["anchor"], doc, sig, r["start"], r["windows"], r["left"], r["single"], r["crowded"],
                          b" ".join(words[r["start"]:r["start"] + r["windows"] + window - 1])] for r in refs.as_py()]
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.binary()]
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_()] * 2 + [pa.binary()]
                 for k in range(0, len(rows), 5000):
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 5000]), kinds)], names=names)
 
@@ -217,54 +220,90 @@ def _match(window: int):
     return run
 
 
-def _windows(window: int):
-    """Every window of a crowded anchor's snippets: two hashes and where it is."""
+def _halves(window: int):
+    """Pieces with ``low`` to ``high`` words of each window left of the anchor, to the pieces of the two halves of that range.
+
+    A piece: key (of the words that its windows are known to share), doc, sig, start (first window), windows, left (words before the anchor), low,
+    high, single, words. ``whole`` is the hash of its words.
+    """
+    around = window - GRAM
+    names = ["key", "whole", "doc", "sig", "start", "windows", "left", "low", "high", "single", "words"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 5 + [pa.bool_(), pa.binary()]
+    signed_hash = lambda seed, data: xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, some in slices(b.column(3).cast(pa.large_string()), 1 << 18):
-                h, bounds = word_hashes(some)
-                one, two = mix(rolling(h, window)), mix(rolling(h, window, _INVERSE))
-                n = np.diff(bounds) - window + 1
-                row = np.repeat(np.arange(len(some)), n)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                place = bounds[row] + at
-                take = lambda c: b.column(c).to_numpy()[first + row]  # noqa: E731, B023
-                yield pa.record_batch([pa.array(signed(one[place])), pa.array(signed(two[place])), pa.array(take(0)), pa.array(take(1)),
-                                       pa.array((take(2) + at).astype(np.int64))], names=["one", "two", "doc", "sig", "first"])
+            rows = []
+            for key, doc, sig, start, n, left, low, high, single, text in zip(*(c.to_pylist() for c in b.columns)):
+                words, mid = text.split(b" "), (low + high) // 2
+                for side, lo, hi in ((0, low, mid), (1, mid + 1, high)):
+                    # Window j of the piece has left - j words before the anchor.
+                    first, last = max(0, left - hi), min(n - 1, left - lo)
+                    if lo <= hi and first <= last:
+                        shared = words[left - lo:left] if side else words[left + GRAM:left + GRAM + around - hi]
+                        mine = b" ".join(words[first:last + window])
+                        known = key.to_bytes(8, "little", signed=True) + bytes([lo, hi, side]) + b" ".join(shared)
+                        rows.append([signed_hash(1, known), signed_hash(2, mine), doc, sig, start + first, last - first + 1, left - first, lo, hi, single, mine])
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return run
 
 
+_PIECE = "key long, whole long, doc long, sig long, start int, windows int, left int, low int, high int, single boolean, words binary"
+
+
+def _whole_span() -> tuple[Column, Column]:
+    return F.col("start").cast("long").alias("first"), (F.col("start") + F.col("windows") - 1).cast("long").alias("last")
+
+
+def crowded_spans(pieces: DataFrame, window: int, forms: int) -> list[DataFrame]:
+    """Spans of repeated windows among the pieces of crowded keys, which are halved by content until a key's forms fit an automaton."""
+    spans = []
+    while not pieces.isEmpty():
+        cut = stored(pieces.select("key", *_KEY, "start", "windows", "left", "low", "high", "single", "words").mapInArrow(_halves(window), _PIECE))
+        counted = stored(cut.groupBy("key", "whole").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n"), F.min(F.struct(*_KEY, "start")).alias("one")))
+        again = counted.filter(F.col("n") > 1).select("key", "whole")
+        spans.append(cut.filter("single").join(again, ["key", "whole"], "left_semi").select(*_KEY, *_whole_span()))
+        # A key needs an automaton if it has several forms, at least one of them found once; a single window is settled by its hash.
+        keys = counted.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.min("n").alias("least")).filter((F.col("forms") > 1) & (F.col("least") == 1))
+        rest = cut.filter(F.col("low") < F.col("high")).join(counted, ["key", "whole"]).filter(F.struct(*_KEY, "start") == F.col("one")).join(keys.select("key", "forms"), "key")
+        rest = stored(rest.select("key", *_KEY, "start", "windows", "left", "low", "high", (F.col("n") == 1).alias("single"), "words", (F.col("forms") > forms).alias("crowded")))
+        shards = rest.filter(~F.col("crowded")).select("key", *_KEY, "start", "words", "single").repartition("key").sortWithinPartitions("key")
+        spans.append(shards.mapInArrow(_match(window), "doc long, sig long, first long, last long"))
+        pieces = rest.filter("crowded").drop("crowded")
+    return spans
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(docs[text_col]).alias("sig"), docs[text_col].alias("text"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, forms: int = FORMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, sig, first, last): spans of consecutive repeated windows, by first word; sig tells apart rows of one id."""
     keyed = _keyed(docs, id_col, text_col)
-    found = stored(keyed.mapInArrow(_anchors(window), "anchor long, whole long, doc long, sig long, start int, windows int"))
+    found = stored(keyed.mapInArrow(_anchors(window), "anchor long, whole long, doc long, sig long, start int, windows int, left int"))
     # Stored first, so that both sides of the join are plain exchanges, whose crowded partitions Spark can split.
     again = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("anchor"))
     filed = stored(found.join(again, "anchor", "left_semi"))
-    counted = stored(filed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "start", "windows")).alias("one")))
+    counted = stored(filed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "start", "windows", "left")).alias("one")))
     copies = filed.join(counted.filter(F.col("n") > 1).select("anchor", "whole"), ["anchor", "whole"], "left_semi")
-    copies = copies.select(*_KEY, F.col("start").cast("long").alias("first"), (F.col("start") + F.col("windows") - 1).cast("long").alias("last"))
+    copies = copies.select(*_KEY, *_whole_span())
     varied = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms"), F.min("n").alias("least")).filter((F.col("forms") > 1) & (F.col("least") == 1))
-    refs = counted.join(varied.select("anchor", (F.col("forms") > crowd).alias("crowded")), "anchor")
-    refs = refs.select("one.doc", "one.sig", F.struct("anchor", "whole", "one.start", "one.windows", (F.col("n") == 1).alias("single"), "crowded").alias("ref"))
+    refs = counted.join(varied.select("anchor", (F.col("forms") > forms).alias("crowded")), "anchor")
+    refs = refs.select("one.doc", "one.sig", F.struct("anchor", "one.start", "one.windows", "one.left", (F.col("n") == 1).alias("single"), "crowded").alias("ref"))
     refs = refs.groupBy(*_KEY).agg(F.collect_list("ref").alias("refs"))
     # Repeated rows give the same snippets, so one of them is enough here.
     wanted = keyed.join(refs.select(*_KEY), _KEY, "left_semi").groupBy(*_KEY).agg(F.first("text").alias("text"))
     snips = stored(wanted.join(refs, _KEY).select(*_KEY, "text", "refs").mapInArrow(
-        _snippet_texts(window), "anchor long, whole long, doc long, sig long, start int, windows int, single boolean, crowded boolean, words binary"))
+        _snippet_texts(window), "anchor long, doc long, sig long, start int, windows int, left int, single boolean, crowded boolean, words binary"))
     shards = snips.filter(~F.col("crowded")).select("anchor", *_KEY, "start", "words", "single").repartition("anchor").sortWithinPartitions("anchor")
     matched = shards.mapInArrow(_match(window), "doc long, sig long, first long, last long")
-    each = snips.filter("crowded").select(*_KEY, "start", F.col("words").cast("string").alias("words")).mapInArrow(
-        _windows(window), "one long, two long, doc long, sig long, first long")
-    twice = each.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("one", "two")
-    crowded = each.join(twice, ["one", "two"], "left_semi").select(*_KEY, "first", F.col("first").alias("last"))
-    return copies.unionByName(matched).unionByName(crowded)
+    pieces = snips.filter("crowded").select(F.col("anchor").alias("key"), *_KEY, "start", "windows", "left", F.lit(0).alias("low"), F.lit(window - GRAM).alias("high"), "single", "words")
+    out = copies.unionByName(matched)
+    for spans in crowded_spans(pieces, window, forms):
+        out = out.unionByName(spans)
+    return out
 
 
 def _remove(window: int):
@@ -289,9 +328,9 @@ def _remove(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, forms: int = FORMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row: the words that stay, joined by one space."""
-    spans = repeated_spans(docs, window, crowd, id_col, text_col).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = repeated_spans(docs, window, forms, id_col, text_col).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     keyed = _keyed(docs, id_col, text_col).withColumn("doc_id", F.nullif("doc", F.lit(_LEAST)))
     joined = keyed.join(spans.hint("shuffle_hash"), _KEY, "left").select("text", "spans", "doc_id")
     return joined.mapInArrow(_remove(window), "n_words long, n_removed long, kept_text string, doc_id long").select("doc_id", "n_words", "n_removed", "kept_text")

@@ -94,10 +94,27 @@ def repeat_rows(df, **limits):
     return tuples(substrings.remove_repeats(df, **limits).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)))
 
 
-@pytest.mark.parametrize("crowd,window", [(500, 35), (1, 35), (500, 8)])
-def test_repeats(spark, crowd, window):
+@pytest.mark.parametrize("forms,window", [(500, 35), (1, 35), (2, 20), (1, 8)])
+def test_repeats(spark, forms, window):
     rows, df = plain.messy(spark)
-    assert repeat_rows(df, window=window, crowd=crowd) == plain.order(plain.remove_repeats(rows, window))
+    assert repeat_rows(df, window=window, forms=forms) == plain.order(plain.remove_repeats(rows, window))
+
+
+def test_a_passage_in_many_surroundings(spark):
+    """Crowded anchors are halved until their shards are small; a snippet makes at most two pieces a round."""
+    passage = plain.prose(77, 60)
+    rows = [(i, " ".join(plain.prose(1000 + i, i % 40) + passage[i % 3:60 - i % 4] + plain.prose(5000 + i, 30 - i % 17)), "s") for i in range(120)]
+    df = plain.documents(spark, rows)
+    assert repeat_rows(df, forms=3) == repeat_rows(df) == plain.order(plain.remove_repeats(rows))
+    made = []
+    real = substrings.stored
+    substrings.stored = lambda d, *a: made.append((d.columns, (out := real(d, *a)).count())) or out
+    try:
+        repeat_rows(df, forms=3)
+    finally:
+        substrings.stored = real
+    crowded = [n for c, n in made if "key" in c and "whole" in c and "words" in c]
+    assert crowded and max(crowded) <= 2 * max(n for c, n in made if c[:1] == ["anchor"])
 
 
 def test_repeats_over_short_stretches(spark, monkeypatch):
@@ -107,7 +124,7 @@ def test_repeats_over_short_stretches(spark, monkeypatch):
     parts = {}
     for stretch in (1 << 22, 40):
         monkeypatch.setattr(substrings, "STRETCH", stretch)
-        doc, start, n, anchor, _ = whole(h, bounds, 35)
+        doc, start, n, anchor, *_ = whole(h, bounds, 35)
         parts[stretch] = sorted((d, s + k, a) for d, s, m, a in zip(doc.tolist(), start.tolist(), n.tolist(), anchor.tolist()) for k in range(m))
     assert parts[40] == parts[1 << 22] and len(parts[40]) == sum(len(t.split()) - 34 for _, t, _ in rows)
 
