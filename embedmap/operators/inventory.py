@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedmap.operators.ordering import HOT_ROWS, id_bucket, limit_per_group, running_total
+from embedmap.operators.ordering import HOT_ROWS, id_bucket, limit_per_group, running_total, small
+from embedmap.session import cut
 
 VOXEL = ["chunk_id", "local_id"]
 HAND_BATCH, PICKAXE_BATCH = 1, 100  # fixed: rows taken per extraction
@@ -53,31 +54,43 @@ def _take(candidates: DataFrame, batch: int) -> DataFrame:
     return limit_per_group(candidates, VOXEL, ["cls", "ord", "row_id"], batch, "take").select(*VOXEL, "row_id", "take")
 
 
+def batch_bounds(rows: DataFrame, stacks: DataFrame, batch: int) -> DataFrame:
+    """Positions [low, high) of every touched voxel that hold its next ``batch`` rows: selected rows in the way move the end up."""
+    skipped = rows.filter("selected").groupBy(*VOXEL).agg(F.count(F.lit(1)).alias("skipped"))
+    high = F.col("cursor") + batch + F.coalesce("skipped", F.lit(0))
+    return stacks.select(*VOXEL, "cursor").join(skipped, VOXEL, "left").select(*VOXEL, F.col("cursor").alias("low"), high.alias("high"))
+
+
 def next_batch(postings: DataFrame, rows: DataFrame, stacks: DataFrame, batch: int = PICKAXE_BATCH) -> DataFrame:
-    """Next rows of every voxel: the return queue first, then postings from the cursor on, selected rows skipped."""
+    """Next rows of every voxel: the return queue first, then postings from the cursor on, selected rows skipped.
+
+    Postings are cut to the positions that can be taken before anything is shuffled: by the furthest end of all voxels in the
+    scan, and by each voxel's own bounds through a join with the touched voxels, broadcast while they are few.
+    """
     queue = rows.filter(F.col("state") == "returned").select(*VOXEL, "row_id", F.lit(0).alias("cls"), F.col("seq").alias("ord"))
+    bounds = cut(batch_bounds(rows, stacks, batch))
+    reach = bounds.agg(F.max("high")).first()[0] or 0
+    near = postings.filter(F.col("pos") < F.lit(max(reach, batch))).join(small(bounds), VOXEL, "left")
+    near = near.filter((F.col("pos") >= F.coalesce("low", F.lit(0))) & (F.col("pos") < F.coalesce("high", F.lit(batch))))
     # A selected row is known with its voxel: the voxel in the key lets the join keep what the first one shuffled, and
     # the row in the key spreads a crowded voxel.
     selected = rows.filter("selected").select(*VOXEL, "row_id")
-    fresh = (
-        postings.join(stacks.select(*VOXEL, "cursor"), VOXEL, "left")
-        .filter(F.col("pos") >= F.coalesce("cursor", F.lit(0)))
-        .join(selected, [*VOXEL, "row_id"], "left_anti")
-        .select(*VOXEL, "row_id", F.lit(1).alias("cls"), F.col("pos").alias("ord"))
-    )
+    fresh = near.join(selected, [*VOXEL, "row_id"], "left_anti").select(*VOXEL, "row_id", F.lit(1).alias("cls"), F.col("pos").alias("ord"))
     return _take(queue.unionByName(fresh), batch)
 
 
 def next_batch_filtered(postings: DataFrame, rows: DataFrame, matches: DataFrame, batch: int = PICKAXE_BATCH) -> DataFrame:
-    """Next matching rows that are not held; the ordinary cursor is neither read nor moved."""
-    wanted = matches.select("row_id")
-    queue = rows.filter(F.col("state") == "returned").join(wanted, "row_id", "left_semi").select(
+    """Next matching rows that are not held; the ordinary cursor is neither read nor moved.
+
+    Matches and touched rows meet first, in one shuffle by row; the postings then meet rows that are still wanted, once.
+    """
+    touched = rows.select("row_id", F.lit(True).alias("touched"))
+    state = matches.select("row_id").distinct().join(touched.distinct(), "row_id", "left")
+    queue = rows.filter(F.col("state") == "returned").join(state.filter("touched").select("row_id"), "row_id", "left_semi").select(
         *VOXEL, "row_id", F.lit(0).alias("cls"), F.col("seq").alias("ord")
     )
-    fresh = (
-        postings.join(wanted, "row_id", "left_semi").join(rows.select("row_id"), "row_id", "left_anti")
-        .select(*VOXEL, "row_id", F.lit(1).alias("cls"), F.col("pos").alias("ord"))
-    )
+    fresh = postings.join(state.filter(F.col("touched").isNull()).select("row_id"), "row_id", "left_semi").select(
+        *VOXEL, "row_id", F.lit(1).alias("cls"), F.col("pos").alias("ord"))
     return _take(queue.unionByName(fresh), batch)
 
 

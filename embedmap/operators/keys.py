@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from embedmap.functions import codec
-from embedmap.operators.ordering import limit_per_group, md5_priority
+from embedmap.operators.ordering import limit_per_group, md5_priority, small
 
 MISSING = -1
 DICTIONARY_LIMIT = 16
@@ -152,7 +152,7 @@ def gather_by_ref(points: DataFrame, store: DataFrame) -> DataFrame:
 
 def missing_refs(points: DataFrame, shard_rows: DataFrame) -> DataFrame:
     """References to a shard that is not stored, or to a row beyond its end. ``shard_rows``: shard, n_rows."""
-    joined = points.join(shard_rows, "shard", "left")
+    joined = points.join(small(shard_rows), "shard", "left")
     problem = F.when(F.col("n_rows").isNull(), "missing shard").when(F.col("local_row") >= F.col("n_rows"), "row beyond shard")
     return joined.withColumn("problem", problem).filter(F.col("problem").isNotNull())
 
@@ -162,7 +162,7 @@ def provenance_join(training: DataFrame, pool: DataFrame, paths: DataFrame) -> D
 
     training: row_id, path, local_row, image_id; pool: pool_row, shard, local_row, pool_id; paths: shard, path.
     """
-    located = pool.join(paths, "shard").select("path", "local_row", "pool_row", "pool_id")
+    located = pool.join(small(paths), "shard").select("path", "local_row", "pool_row", "pool_id")
     return training.join(located, ["path", "local_row"], "left").select(
         "row_id", "pool_row", F.coalesce(F.col("image_id") == F.col("pool_id"), F.lit(False)).alias("agrees")
     )
@@ -185,7 +185,7 @@ def map_source_rows(df: DataFrame, shard_stats: DataFrame) -> DataFrame:
     ok = F.col("n_rows").isNotNull() & (F.col("local_row") < F.col("n_rows")) & (F.col("local_row") >= 0) & (
         F.col("category") == F.col("shard_category")
     )
-    return df.join(shard_stats, "shard", "left").select(
+    return df.join(small(shard_stats), "shard", "left").select(
         *df.columns, (F.col("first_row") + F.col("local_row")).alias("source_row"), F.coalesce(ok, F.lit(False)).alias("valid")
     )
 
@@ -217,7 +217,7 @@ def identity_rows(map_rows: DataFrame, paths: DataFrame, catalog: DataFrame) ->
     map_rows: row_id, shard, image_id; paths: shard, path; catalog: path, image_id, hash.
     """
     stripped = paths.select("shard", F.regexp_replace("path", PATH_PREFIX, "").alias("path"))
-    return map_rows.join(stripped, "shard", "left").join(catalog, ["path", "image_id"], "left").select("row_id", "hash")
+    return map_rows.join(small(stripped), "shard", "left").join(catalog, ["path", "image_id"], "left").select("row_id", "hash")
 
 
 def unmatched_identity(rows: DataFrame, ann: DataFrame) -> DataFrame:

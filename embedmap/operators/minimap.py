@@ -253,8 +253,9 @@ def voxels_in_radius(rows: DataFrame, queries: DataFrame, radius: float, max_vox
     spots = rows.groupBy("qx", "qy", "chunk_id", "local_id").agg(F.count(F.lit(1)).alias("n"))
     hits = gridsearch.within(spots, queries, ["qx", "qy"], ["qx", "qy"], "q", radius)
     counted = hits.groupBy("q", "chunk_id", "local_id").agg(F.sum("n").alias("n"))
-    if max_voxels is None:
-        max_voxels = (1 << 31) - 1
+    if max_voxels is None:  # all of them: a query with very many is ranked in buckets of the count
+        ranked = rank_in_group(counted, ["q"], [F.desc("n"), "chunk_id", "local_id"], "rank", -F.col("n"))
+        return ranked.withColumn("rank", F.col("rank") + 1)
     return limit_per_group(counted, ["q"], [F.desc("n"), "chunk_id", "local_id"], max_voxels)
 
 

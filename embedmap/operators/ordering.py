@@ -163,68 +163,63 @@ def linspace_ids(n: int, k: int) -> Column:
 _SKETCH = 10_000
 
 
+_BINS = 1024
+
+
 def exact_percentiles(df: DataFrame, group: Sequence[str], cols: Sequence[str], ps: Sequence[float]) -> DataFrame:
     """Exact, linearly interpolated percentiles in long form: (*group, col, p, value).
 
-    A sketch brackets every wanted rank to within a thousandth of the rows; one pass then counts the rows below
-    each bracket and the distinct values inside it. No task holds more than the bracket's distinct values.
+    Rank selection per group, in tasks: a sketch brackets every wanted rank, a first pass counts the rows below, beyond and in ``_BINS`` bins of
+    the bracket, and a second one lists the distinct values of the one bin that holds the rank. A window sees the bins of a rank or
+    the values of one bin, never a group. Should the sketch be wrong, the bin that holds the rank is merely wider.
     """
-    margin = 10.0 / _SKETCH
+    margin = 2.0 / _SKETCH
     long = df.select(
         *group,
         F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_e"),
     ).select(*group, "_e.col", "_e.v").filter(F.col("v").isNotNull())
     keys = [*group, "col"]
-    cuts = [max(0.0, p - margin) for p in ps] + [min(1.0, p + margin) for p in ps]
-    sketch = long.groupBy(*keys).agg(
-        F.percentile_approx("v", cuts, _SKETCH).alias("_q"), F.count(F.lit(1)).alias("_n"),
-        F.min("v").alias("_min"), F.max("v").alias("_max"),
-    )
-    wanted = [
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            (F.col("_min") if p - margin <= 0 else F.col("_q")[i]).alias("lo"),
-            (F.col("_max") if p + margin >= 1 else F.col("_q")[len(ps) + i]).alias("hi"),
-        )
-        for i, p in enumerate(ps)
-    ]
-    brackets = sketch.select(*keys, "_n", F.explode(F.array(*wanted)).alias("_w")).select(*keys, "_n", "_w.*")
-    side = F.when(F.col("v") < F.col("lo"), 0).when(F.col("v") <= F.col("hi"), 1).otherwise(2)
-    tally = (
-        long.join(brackets, keys)
-        .withColumn("_side", side)
-        .groupBy(*keys, "p", "_n", "_side", F.when(F.col("_side") == 1, F.col("v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("v").alias("_lowest"), F.max("v").alias("_highest"))
-    )
-    w = Window.partitionBy(*keys, "p").orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.col("p") * (F.col("_n") - 1)
-    steps = (
-        tally.withColumn("_end", F.sum("_c").over(w))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-        .withColumn("_rank", rank)
-    )
-    lower, upper = F.floor("_rank"), F.ceil("_rank")
-
-    def value_at(r: Column) -> Column:
-        # Rows outside the bracket form one step each side, of which only the member next to the bracket is known.
-        return F.max(
-            F.when((F.col("_side") == 1) & (F.col("_start") <= r) & (F.col("_end") > r), F.col("_v"))
-            .when((F.col("_side") == 0) & (F.col("_end") - 1 == r), F.col("_highest"))
-            .when((F.col("_side") == 2) & (F.col("_start") == r), F.col("_lowest"))
-        )
-
-    found = steps.groupBy(*keys, "p").agg(
-        value_at(lower).alias("_a"),
-        value_at(upper).alias("_b"),
-        F.max("_rank").alias("_rank"),
-    )
+    # Null groups are groups too, so the keys are told apart by a struct, which joins like any value.
+    long = long.withColumn("_k", F.struct(*[F.struct(F.col(k).isNull(), F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys]))
+    sketch = long.groupBy("_k").agg(
+        F.percentile_approx("v", [max(0.0, p - margin) for p in ps] + [min(1.0, p + margin) for p in ps], _SKETCH).alias("_q"), F.count(F.lit(1)).alias("_n"),
+        *[F.first(k).alias(k) for k in keys])
+    wanted = [F.struct(F.lit(float(p)).alias("p"), F.col("_q")[i].alias("lo"), F.col("_q")[len(ps) + i].alias("hi")) for i, p in enumerate(ps)]
+    sketch = cut(sketch)
+    brackets = sketch.select("_k", "_n", F.explode(F.array(*wanted)).alias("_w")).select("_k", "_n", "_w.*")
+    inside = F.least(F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(5e-324)) * _BINS), F.lit(_BINS - 1))
+    bin_ = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), _BINS).otherwise(inside)
+    steps = long.select("_k", "v").join(small(brackets), "_k").groupBy("_k", "p", "_n", bin_.cast("int").alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("v").alias("_lowest"), F.max("v").alias("_highest"))
+    before = lambda order: Window.partitionBy("_k", "p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    steps = steps.withColumn("_below", F.coalesce(F.sum("_c").over(before("_bin")), none))
+    position = F.col("p") * (F.col("_n") - 1)
+    ranks = F.array_distinct(F.array(F.floor(position), F.ceil(position)))
+    held = F.filter(ranks, lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c")))
+    steps = cut(steps.select("_k", "p", "_n", "_below", "_lowest", "_highest", F.explode(held).alias("_rank")))
+    known = steps.filter(F.col("_lowest") == F.col("_highest")).select("_k", "p", "_n", "_rank", F.col("_lowest").alias("_v"))
+    open_ = steps.filter(F.col("_lowest") < F.col("_highest"))
+    # Both ranks of a percentile may lie in one bin: its values are listed once for each.
+    listed = long.select("_k", "v").join(small(open_), "_k").filter(F.col("v").between(F.col("_lowest"), F.col("_highest")))
+    listed = listed.groupBy("_k", "p", "_n", "_rank", "_below", "v").agg(F.count(F.lit(1)).alias("_c"))
+    at = Window.partitionBy("_k", "p", "_rank").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_below") + F.coalesce(F.sum("_c").over(at), none)
+    listed = listed.withColumn("_start", start).filter((F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_start") + F.col("_c")))
+    found = known.unionByName(listed.select("_k", "p", "_n", "_rank", F.col("v").alias("_v"))).groupBy("_k", "p").agg(
+        F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b"), F.max(position).alias("_at"))
     value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
-        (F.ceil("_rank") - F.col("_rank")) * F.col("_a") + (F.col("_rank") - F.floor("_rank")) * F.col("_b")
-    )
-    checked = F.when(
-        F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("percentile rank outside its bracket")).cast("double")
-    ).otherwise(value)
-    return found.select(*keys, "p", checked.alias("value"))
+        (F.ceil("_at") - F.col("_at")) * F.col("_a") + (F.col("_at") - F.floor("_at")) * F.col("_b"))
+    return found.join(sketch.select("_k", *keys), "_k").select(*keys, "p", value.alias("value"))
+
+
+#: Rows of a table of short rows that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is: the join is then a shuffle that AQE splits where it is skewed."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

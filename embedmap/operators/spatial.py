@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from embedmap.functions import grid
 from embedmap.operators import gridsearch
-from embedmap.operators.ordering import limit_per_group
+from embedmap.operators.ordering import limit_per_group, rank_in_group
 
 SHELL_FACING = 0.5          # fixed: discount for voxels ahead
 CHUNK_FACING = 0.35         # fixed: discount for chunks ahead
 POS = ["ux", "uy", "uz"]
 
 
+PRIORITY_BUCKETS = 64  # buckets per voxel of priority where a probe's shell is ranked whole
+
+
 def _in_voxels(voxels: DataFrame, n: int, vpc: int) -> DataFrame:
     """Voxel centres in units of one voxel."""
     axes = grid.voxel_axes(F.col("chunk_id"), F.col("local_id"), n, vpc)
@@ -43,7 +46,11 @@ def voxels_in_shell(voxels: DataFrame, probes: DataFrame, radius: float, n: int,
     eye = p.select("q", *[F.col(u).alias(f"e{u}") for u in POS], "fx", "fy", "fz")
     ahead = sum((F.col(u) - F.col(f"e{u}")) * F.col(f) for u, f in zip(POS, ("fx", "fy", "fz"))) / F.sqrt("d2")
     ranked = hits.join(eye, "q").withColumn("priority", F.round(F.sqrt("d2") * (F.lit(1.0) - F.lit(SHELL_FACING) * ahead), 9))
-    top = limit_per_group(ranked, ["q"], ["priority", "chunk_id", "local_id"], (1 << 31) - 1 if slots is None else slots)
+    order = ["priority", "chunk_id", "local_id"]
+    if slots is None:  # all of them: a probe with very many is ranked in buckets of its priority
+        top = rank_in_group(ranked, ["q"], order, "rank", F.floor(F.col("priority") * F.lit(PRIORITY_BUCKETS)).cast("long")).withColumn("rank", F.col("rank") + 1)
+    else:
+        top = limit_per_group(ranked, ["q"], order, slots)
     return top.select("q", "rank", "chunk_id", "local_id", "n", (F.col("priority") * F.lit(2.0 / n)).alias("priority"))
 
 

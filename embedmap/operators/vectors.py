@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from embedmap.functions import vectors as vf
 from embedmap.operators import blocks
 from embedmap.operators.keys import MISSING, duplicate_keys, refusing_join
+from embedmap.operators.ordering import exact_percentiles
 from embedmap.session import cut
 
 
@@ -297,6 +298,8 @@ def evaluation_report(found: DataFrame, truth: DataFrame, timings: DataFrame, gr
         wanted = truth.filter(F.col("rank") <= k).select("q", "row_id")
         hits = found.filter(F.col("rank") <= k).join(wanted, ["q", "row_id"]).groupBy("setting", "q").agg((F.count(F.lit(1)) / F.lit(float(k))).alias(f"_r{k}"))
         per_query = per_query.join(hits, ["setting", "q"], "left")
-    return per_query.groupBy("setting", "grp").agg(
-        F.count(F.lit(1)).alias("n_queries"), *[F.avg(F.coalesce(f"_r{k}", F.lit(0.0))).alias(f"recall_{k}") for k in ks],
-        F.percentile("ms", F.lit(0.5)).alias("p50_ms"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"))
+    out = per_query.groupBy("setting", "grp").agg(
+        F.count(F.lit(1)).alias("n_queries"), *[F.avg(F.coalesce(f"_r{k}", F.lit(0.0))).alias(f"recall_{k}") for k in ks])
+    times = exact_percentiles(per_query, ["setting", "grp"], ["ms"], [0.5, 0.95]).groupBy("setting", "grp").agg(
+        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(100 * p)}_ms") for p in (0.5, 0.95)])
+    return out.join(times, ["setting", "grp"])

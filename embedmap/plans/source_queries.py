@@ -33,7 +33,16 @@ SELECT lpad(id, 9, '0') AS id, title, author, publisher FROM (
   SELECT CAST(p_partkey % 500 AS VARCHAR) AS id, p_brand AS title, p_type AS author, p_name AS publisher,
     row_number() OVER (PARTITION BY p_partkey % 500 ORDER BY p_brand, p_type, p_name) AS k FROM part) WHERE k = 1""")
 def build_catalog(spark, sf):
-    return tables.build_catalog(catalog_rows(spark, sf))
+    return tables.build_catalog(catalog_rows(spark, sf), conflicts="smallest")
+
+
+@query("build_catalog_checked", """
+SELECT lpad(CAST(p_partkey % 500 AS VARCHAR), 9, '0') AS id, 'Book ' || (p_partkey % 500) AS title, min(p_type) AS author, arg_min(p_name, p_type || p_name) AS publisher
+FROM part GROUP BY p_partkey % 500""")
+def build_catalog_checked(spark, sf):
+    """Repeated rows whose titles agree; others would stop the read."""
+    rows = catalog_rows(spark, sf).withColumn("title", F.concat(F.lit("Book "), F.col("id")))
+    return tables.build_catalog(rows)
 
 
 @query("catalog_conflicts", """
@@ -74,6 +83,17 @@ def release_manifest(spark, sf):
     return release.release_manifest({t: table(spark, sf, t) for t in ("nation", "orders", "lineitem")}).select("name", "n_rows")
 
 
+@query("release_manifest_bytes", """
+SELECT 'documents' AS name, count(*) AS n_rows,
+  CAST(sum(CASE WHEN doc_id IS NULL THEN 0 ELSE 8 END + CASE WHEN n_chars IS NULL THEN 0 ELSE 8 END + coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0)) AS BIGINT) AS n_bytes
+FROM documents UNION ALL
+SELECT 'customer', count(*), CAST(sum(CASE WHEN c_custkey IS NULL THEN 0 ELSE 8 END + CASE WHEN c_acctbal IS NULL THEN 0 ELSE 8 END) + sum(coalesce(strlen(c_mktsegment), 0)) AS BIGINT) FROM customer""")
+def release_manifest_bytes(spark, sf):
+    """Rows and stored bytes of two tables."""
+    picked = {"documents": table(spark, sf, "documents"), "customer": table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")}
+    return release.release_manifest(picked).select("name", "n_rows", "n_bytes")
+
+
 @query("validate_release", """
 SELECT 'orders' AS name, unnest(['rows', 'bytes', 'digest']) AS problem UNION ALL SELECT 'part', 'unknown table' UNION ALL SELECT 'nation', 'missing table'""")
 def validate_release(spark, sf):

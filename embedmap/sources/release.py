@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from embedmap.operators.keys import ContractError
 
+#: Bytes of a value by type; 16 for the rest (decimals, intervals).
+WIDTHS = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4, "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
 MANIFEST = "release string, seq long, name string, n_rows long, n_bytes long, digest string"
 
 
@@ -57,14 +60,26 @@ def write_points_table(df: DataFrame, root: str, release: str, contract: Sequenc
 
 # --- manifests --------------------------------------------------------------------------------------------------------
 
+def value_bytes(df: DataFrame, name: str) -> Column:
+    """Bytes of a value: the width of its type, the length of text and binary data, the JSON text of nested values, nothing for null."""
+    kind, value = df.schema[name].dataType, df[f"`{name}`"]
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        size = F.octet_length(F.to_json(F.struct(value)))
+    else:
+        size = F.lit(WIDTHS.get(kind.typeName(), 16))
+    return F.when(value.isNull(), 0).otherwise(size).cast("long")
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """One row: count, bytes of the row text, and an order-free digest of all columns."""
+    """One row: count, bytes of the values, and an order-free digest of all columns."""
     cols = sorted(df.columns)
-    text = F.to_json(F.struct(*cols))
+    total = sum((value_bytes(df, c) for c in cols), F.lit(0).cast("long"))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("n_bytes"),
-        F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"),
+        F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.sum(F.xxhash64(*[df[f"`{c}`"] for c in cols]).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"),
     )
 
 

@@ -52,12 +52,21 @@ def _padded_id() -> Column:
     return F.when(F.length("id") < 9, F.lpad("id", 9, "0")).otherwise(F.col("id"))
 
 
-def build_catalog(rows: DataFrame) -> DataFrame:
-    """One book per zero-padded id. Of several rows the smallest is kept, since rows of files have no order here."""
+def build_catalog(rows: DataFrame, conflicts: str = "refuse") -> DataFrame:
+    """One book per zero-padded id, the smallest of several rows, since rows of files have no order here.
+
+    Rows of one id with different titles are refused when the catalogue is read; ``conflicts="smallest"`` takes the smallest of those too.
+    ``catalog_conflicts`` lists them.
+    """
+    if conflicts not in ("refuse", "smallest"):
+        raise ValueError(f"unknown rule {conflicts}")
     fields = [c for c in rows.columns if c != "id"]
-    return (
-        rows.withColumn("id", _padded_id()).groupBy("id").agg(F.min(F.struct(*fields)).alias("_b")).select("id", "_b.*")
-    )
+    one = rows.withColumn("id", _padded_id()).groupBy("id").agg(
+        F.min(F.struct(*fields)).alias("_b"), *[f(F.coalesce("title", F.lit(""))).alias(n) for n, f in (("_first", F.min), ("_last", F.max))])
+    if conflicts == "refuse":
+        refused = F.raise_error(F.concat(F.lit("conflicting titles of book "), F.coalesce("id", F.lit("null")))).cast("string")
+        one = one.withColumn("id", F.when(F.col("_first") == F.col("_last"), F.col("id")).otherwise(refused))
+    return one.select("id", "_b.*")
 
 
 def catalog_conflicts(rows: DataFrame) -> DataFrame:

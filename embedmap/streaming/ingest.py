@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from embedmap.operators.metrics import hourly_usage
+from embedmap.operators.ordering import small
 
 RECEIPT = "batch long, shard string, n_rows long"
 
@@ -34,19 +35,50 @@ def ingest_shards_stream(spark: SparkSession, src: str, dst: str, checkpoint: st
 
 
 def receipts(spark: SparkSession, dst: str) -> DataFrame:
-    """Finished batches: batch, shard, n_rows."""
+    """Finished batches: batch, shard, n_rows, from the last snapshot of the log and the receipts written since."""
     try:
-        return spark.read.schema(RECEIPT).parquet(f"{dst}/receipts/*")
+        single = spark.read.schema(RECEIPT).parquet(f"{dst}/receipts/*")
     except AnalysisException:
-        return spark.createDataFrame([], RECEIPT)
+        single = spark.createDataFrame([], RECEIPT)
+    try:
+        folded = spark.read.schema(f"{RECEIPT}, upto long").parquet(f"{dst}/folded/*")
+    except AnalysisException:
+        return single
+    last = folded.agg(F.max("upto").alias("last"))
+    return folded.join(F.broadcast(last), F.col("upto") == F.col("last")).select(*single.columns).unionByName(
+        single.join(F.broadcast(last), F.col("last").isNull() | (F.col("batch") > F.col("last"))).select(*single.columns))
+
+
+def fold_receipts(spark: SparkSession, dst: str) -> int | None:
+    """Write all receipts so far as one snapshot, so that readers open one file instead of one per batch; the batch that it reaches."""
+    known = receipts(spark, dst)
+    upto = known.agg(F.max("batch")).first()[0]
+    if upto is not None:
+        known.withColumn("upto", F.lit(upto).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{dst}/folded/{upto}")
+    return upto
 
 
 def read_ingested(spark: SparkSession, dst: str) -> DataFrame:
-    """Rows of the finished batches."""
-    done = [r.batch for r in receipts(spark, dst).select("batch").distinct().collect()]
-    if not done:
+    """Rows of the finished batches. Batches are partitions, pruned by the join with the receipts; none are listed on the driver."""
+    done = receipts(spark, dst).select("batch").distinct()
+    if done.isEmpty():
         raise FileNotFoundError(f"no finished batch in {dst}")
-    return spark.read.option("basePath", f"{dst}/rows").parquet(*[f"{dst}/rows/batch={b}" for b in sorted(done)]).drop("batch")
+    rows = spark.read.option("basePath", f"{dst}/rows").parquet(f"{dst}/rows")
+    return rows.withColumn("batch", F.col("batch").cast("long")).join(small(done), "batch", "left_semi").drop("batch")
+
+
+def stored_usage_stream(spark: SparkSession, src: str, dst: str, checkpoint: str, schema: StructType | str, by: list[str], delay: str = "10 minutes") -> DataFrame:
+    """Hourly sums of the stream of files in ``src``, as of its last batch: every batch stores the hours that it changed, and the latest state of an
+    hour counts. Rows later than ``delay`` behind the newest are left out, as in ``hourly_usage_stream``; a restart goes on where the last run ended.
+    """
+    hours = hourly_usage_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), by, delay)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{dst}/{number}")
+
+    hours.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.parquet(f"{dst}/*")
+    return states.groupBy("hour", *by).agg(F.max_by("value", "batch").alias("value"), F.max_by("n", "batch").alias("n"))
 
 
 def hourly_usage_stream(events: DataFrame, by: list[str], delay: str = "10 minutes") -> DataFrame:
