@@ -127,6 +127,16 @@ def image_detail(images: DataFrame, books: DataFrame, rows: DataFrame) -> DataFr
     ).drop("_title")
 
 
+def image_links(detail: DataFrame, row_url: Column, links: DataFrame) -> DataFrame:
+    """Links of every detail row in display order: its source row, and its photo page where the source has one.
+
+    ``row_url`` makes the address of the source row from the detail's columns; links: fname, subset, photo_url (unique key).
+    """
+    joined = detail.join(links.select("fname", "subset", "photo_url"), ["fname", "subset"], "left")
+    each = F.array(F.struct(F.lit("source row").alias("label"), row_url.alias("url")), F.struct(F.lit("photo page").alias("label"), F.nullif("photo_url", F.lit("")).alias("url")))
+    return joined.select("row_id", F.posexplode(each).alias("seq", "_l")).select("row_id", "seq", "_l.*").filter(F.col("url").isNotNull())
+
+
 def image_fields(detail: DataFrame) -> DataFrame:
     """The non-empty labelled fields of each detail row, in display order: row_id, seq, label, value."""
     pairs = F.array(*[F.struct(F.lit(l).alias("label"), F.col(c).cast("string").alias("value")) for l, c in LABELS])
@@ -172,8 +182,55 @@ def filtered_octree(counts: DataFrame, chunks_per_axis: int) -> DataFrame:
     return lod.octree(totals, chunks_per_axis)
 
 
-def check_snapshot(mask: DataFrame, counts: DataFrame, n: int, chunks: int, vpc: int) -> DataFrame:
-    """One row: bits set, sum of counts, repeated voxels, addresses out of bounds, and whether all agree."""
+@dataclass(frozen=True)
+class MapIdentity:
+    """What an artifact must have been built for: digest and row count of the map's points, as in its manifest."""
+
+    digest: str
+    rows: int
+
+
+def identity_of(manifest: DataFrame, name: str = "points") -> MapIdentity:
+    row = manifest.filter(F.col("name") == name).select("digest", "n_rows").first()
+    if row is None:
+        raise ValueError(f"the manifest has no table {name}")
+    return MapIdentity(row["digest"], row["n_rows"])
+
+
+_BOUND = ("map_digest", "map_rows")
+
+
+def bind(artifact: DataFrame, identity: MapIdentity) -> DataFrame:
+    """A mask, count table or index with the identity of its map in every row, so that it travels with the data."""
+    return artifact.withColumns({"map_digest": F.lit(identity.digest), "map_rows": F.lit(identity.rows).cast("long")})
+
+
+def belongs(identity: MapIdentity) -> Column:
+    return F.col("map_digest").eqNullSafe(F.lit(identity.digest)) & F.col("map_rows").eqNullSafe(F.lit(identity.rows).cast("long"))
+
+
+def bound(artifact: DataFrame, identity: MapIdentity) -> DataFrame:
+    """The artifact without its identity; a row of another map, or an artifact that was never bound, is refused when it is read."""
+    if not set(_BOUND) <= set(artifact.columns):
+        raise ValueError("artifact without an identity")
+    refused = F.raise_error(F.concat(F.lit("artifact belongs to another map: "), F.coalesce("map_digest", F.lit("none")))).cast("boolean")
+    return artifact.filter(F.when(belongs(identity), F.lit(True)).otherwise(refused)).drop(*_BOUND)
+
+
+def foreign_rows(artifacts: Mapping[str, DataFrame], identity: MapIdentity) -> DataFrame:
+    """Rows of every bound artifact, and those that belong to another map: artifact, n_rows, n_foreign."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~belongs(identity)).alias("n_foreign")).select(F.lit(name).alias("artifact"), "n_rows", "n_foreign")
+             for name, df in sorted(artifacts.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def check_snapshot(mask: DataFrame, counts: DataFrame, n: int, chunks: int, vpc: int, identity: MapIdentity | None = None) -> DataFrame:
+    """One row: bits set, sum of counts, repeated voxels, addresses out of bounds, and whether all agree.
+
+    With an ``identity``, mask and counts must be bound to it.
+    """
+    if identity is not None:
+        mask, counts = bound(mask, identity), bound(counts, identity)
     bits = mask.agg(F.coalesce(F.sum(F.bitmap_count("mask")), F.lit(0)).cast("long").alias("bits"), F.lit(0).alias("_k"))
     inside = F.col("chunk_id").between(0, chunks - 1) & F.col("local_id").between(0, vpc**3 - 1) & (F.col("n") > 0)
     per_voxel = counts.groupBy("chunk_id", "local_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("_c"))

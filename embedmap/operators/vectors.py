@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from embedmap.functions import vectors as vf
 from embedmap.operators import blocks
 from embedmap.operators.keys import MISSING, duplicate_keys, refusing_join
+from embedmap.operators.metadata import MapIdentity, bound
 from embedmap.operators.ordering import exact_percentiles
 from embedmap.session import cut
 
@@ -250,8 +251,10 @@ def projection_error(recomputed: DataFrame, stored: DataFrame, cols: Sequence[st
 
 # --- search results ---------------------------------------------------------------------------------------------------
 
-def resolve_hits(hits: DataFrame, row_to_voxel: DataFrame, points: DataFrame) -> DataFrame:
-    """Place search results: q, rank, row_id, score, chunk_id, local_id, ref, subset."""
+def resolve_hits(hits: DataFrame, row_to_voxel: DataFrame, points: DataFrame, identity: MapIdentity | None = None) -> DataFrame:
+    """Place search results: q, rank, row_id, score, chunk_id, local_id, ref, subset. With an ``identity``, the results must be bound to it."""
+    if identity is not None:
+        hits = bound(hits, identity)
     placed = refusing_join(hits, row_to_voxel.select("row_id", "chunk_id", "local_id"), ["row_id"], "hit without a voxel")
     return refusing_join(placed, points.select("row_id", "ref", "subset"), ["row_id"], "hit without a point")
 

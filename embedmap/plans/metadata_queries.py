@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from embedmap.operators import metadata, voxels
-from embedmap.plans.data import G, VPC, assigned, table
+from embedmap.plans.data import G, VPC, assigned, points3, table
 from embedmap.plans.registry import part, query
+from embedmap.sources import release
 
 TYPES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 FILTER = {"type": "2-HIGH", "minYear": 1994, "maxYear": 1997, "includeUnknown": True}
@@ -117,6 +118,19 @@ def image_fields(spark, sf):
     return metadata.image_fields(detail(spark, sf))
 
 
+@query("image_links", """
+SELECT row_id, CAST(seq AS INTEGER) AS seq, label, url FROM (
+  SELECT row_id, unnest([0, 1]) AS seq, unnest(['source row', 'photo page']) AS label,
+    unnest(['https://host/' || subset || '/rows/' || local_idx, CASE WHEN length(fname) % 3 <> 0 THEN 'https://photos/' || fname END]) AS url
+  FROM det WHERE row_id IN (SELECT row_id FROM flt)) WHERE url IS NOT NULL""")
+def image_links(spark, sf):
+    """Two thirds of the file names have a photo page."""
+    d = detail(spark, sf)
+    row_url = F.concat(F.lit("https://host/"), F.col("subset"), F.lit("/rows/"), F.col("local_idx").cast("string"))
+    photo = F.when(F.length("fname") % 3 != 0, F.concat(F.lit("https://photos/"), F.col("fname"))).otherwise("")
+    return metadata.image_links(d, row_url, d.select("fname", "subset", photo.alias("photo_url")).distinct())
+
+
 @query("find_books", """
 SELECT id, title FROM bks WHERE contains(lower(title), 'customer#00000012') AND id IN (SELECT book FROM img) """)
 def find_books(spark, sf):
@@ -148,3 +162,27 @@ def filtered_octree(spark, sf):
 def check_snapshot(spark, sf):
     m = matching(spark, sf)
     return metadata.check_snapshot(metadata.row_mask(m), metadata.filter_counts(m), table(spark, sf, "orders").count(), G**3, VPC)
+
+
+def bound_artifacts(spark, sf):
+    """Mask and counts bound to the digest of the points' manifest, and counts bound to a map that lacks a row."""
+    points, m = points3(spark, sf), matching(spark, sf)
+    mine = metadata.identity_of(release.release_manifest({"points": points}))
+    other = metadata.identity_of(release.release_manifest({"points": points.filter("row_id > 0")}))
+    mask, counts = metadata.row_mask(m), metadata.filter_counts(m)
+    return mine, {"counts": metadata.bind(counts, mine), "foreign": metadata.bind(counts, other), "mask": metadata.bind(mask, mine)}
+
+
+@query("check_snapshot_bound", "SELECT count(*) AS bits, count(*) AS total, 0::BIGINT AS repeated, 0::BIGINT AS outside, true AS ok FROM flt")
+def check_snapshot_bound(spark, sf):
+    """A snapshot whose mask and counts carry the identity of the map."""
+    mine, bound = bound_artifacts(spark, sf)
+    return metadata.check_snapshot(bound["mask"], bound["counts"], mine.rows, G**3, VPC, mine)
+
+
+@query("foreign_rows", """
+SELECT 'counts' AS artifact, count(*) AS n_rows, 0::BIGINT AS n_foreign FROM fcnt UNION ALL SELECT 'foreign', count(*), count(*) FROM fcnt
+UNION ALL SELECT 'mask', count(DISTINCT row_id // 32768), 0 FROM flt""")
+def foreign_rows(spark, sf):
+    mine, bound = bound_artifacts(spark, sf)
+    return metadata.foreign_rows(bound, mine)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from embedmap.functions import grid
 from embedmap.operators import lod, voxels
 from embedmap.plans.data import G, VPC, assigned, records, summary, table, voxel_table
 from embedmap.plans.registry import part, query
+from embedmap.session import ensure_checkpoint_dir
 
 
 @query("representatives", "SELECT chunk_id, local_id, repr_row_id, n FROM vox")
@@ -90,6 +93,18 @@ def derive_voxel_proxy(spark, sf):
     return voxels.derive_voxel_proxy(records(spark, sf), G, VPC)
 
 
+@query("compare_proxy", """
+SELECT count(*) AS n_stored, count(*) AS n_derived, count(*) FILTER (chunk_id % 7 = 3) AS n_only_stored, count(*) FILTER (chunk_id % 7 = 3) AS n_only_derived FROM rec""")
+def compare_proxy(spark, sf):
+    """A stored proxy with changed counts in every seventh chunk, against the one derived from stored records."""
+    root = f"{ensure_checkpoint_dir(spark)}/proxy-{uuid.uuid4().hex}"
+    records(spark, sf).write.parquet(f"{root}/records")
+    rec = spark.read.parquet(f"{root}/records")
+    changed = F.when(F.col("chunk_id") % 7 == 3, F.col("n") + 1).otherwise(F.col("n"))
+    voxels.write_voxel_proxy(voxels.voxel_proxy(rec, G, VPC).withColumn("n", changed), f"{root}/proxy")
+    return voxels.compare_proxy(spark.read.parquet(f"{root}/proxy"), voxels.derive_voxel_proxy(rec, G, VPC))
+
+
 @query("check_canonical", """
 SELECT l_orderkey AS chunk_id, CAST(l_linenumber AS BIGINT) AS local_id, count(*) AS copies
 FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")

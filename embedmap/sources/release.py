@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from embedmap.operators.keys import ContractError
+from embedmap.operators.voxels import row_hash
 
 #: Bytes of a value by type; 16 for the rest (decimals, intervals).
 WIDTHS = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4, "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
@@ -79,7 +80,7 @@ def digest(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("n_bytes"),
-        F.coalesce(F.sum(F.xxhash64(*[df[f"`{c}`"] for c in cols]).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"),
+        F.coalesce(F.sum(row_hash(df.select(*[f"`{c}`" for c in cols]), 0).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"),
     )
 
 
