@@ -14,6 +14,9 @@ lt, gt, quot, apos (39), nbsp and amp are decoded.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +60,7 @@ def responses(pages: DataFrame, date: str = NO_DATE, id_col: str = "page_id", ur
 
 def derive(source: DataFrame) -> DataFrame:
     """Two records per response: page_id, type, record_id, refers_to, target_uri, date, content_type, content_length, block_digest,
-    payload_digest and refers_to_date, block."""
+    payload_digest, block. The date of the source is the date of both (the writer also states it as WARC-Refers-To-Date)."""
     text = plain_text(F.col("body"))
     title = F.btrim(F.regexp_replace(F.regexp_extract("body", r"(?is)<title[^>]*>([^<]*)", 1), "[ \\t\\r\\n]+", " "), F.lit(" "))
     kept = F.regexp_replace(F.regexp_replace("http", "^[^\\r\\n]*\\r\\n", ""), "(?m)^", "source-header-")
@@ -87,28 +90,97 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
     records.select(record.alias("value")).write.option("lineSep", END + END).option("compression", compression).text(path)
 
 
+_CUT = f"{END}{END}WARC/1."
+
+
+def _stated(piece: bytes) -> tuple[int, int] | None:
+    """Bytes of the block that a record states, and those that the piece has; None if it isn't a record."""
+    head, sep, body = piece.partition(b"\r\n\r\n")
+    for line in head.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if sep and name.strip().lower() == b"content-length" and value.strip().isdigit():
+            return int(value), len(body)
+    return None
+
+
+def _rejoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in file order, to whole records: a piece that is too short takes the pieces after it, if the lengths then agree."""
+    file, waiting = None, []
+
+    def settle(whole: bool) -> list[bytes]:
+        """Records that the waiting pieces give; with ``whole``, no further piece of the file comes."""
+        out = []
+        while waiting:
+            stated = _stated(waiting[0])
+            size, have, n = (*stated, 1) if stated else (0, 0, 1)
+            while have < size and n < len(waiting):
+                have, n = have + len(_CUT) + len(waiting[n]), n + 1
+            if have < size and not whole:
+                return out
+            last = whole and n == len(waiting)
+            met = have == size or (last and size <= have <= size + 2 * len(END))
+            out.append(_CUT.encode().join(waiting[:n]) if n > 1 and met else waiting[0])
+            del waiting[:n if met else 1]
+        return out
+
+    def batch(values: list[bytes]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(values, pa.binary())], names=["value"])
+
+    for b in batches:
+        for name, value in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+            if name != file:
+                if done := settle(True):
+                    yield batch(done)
+                file = name
+            waiting.append(value)
+            if done := settle(False):
+                yield batch(done)
+    if done := settle(True):
+        yield batch(done)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files: headers (map of lower-case names), block (binary), and whether the block has the stated length.
 
-    Files are cut at record starts wherever they lie, so a large plain file is read by many tasks. A block that itself holds an
-    empty line followed by ``WARC/1.`` is cut there; such a record shows as not intact.
+    Files are cut at record starts wherever they lie, so a large plain file is read by many tasks. Content-Length decides: where a block itself
+    holds an empty line followed by ``WARC/1.``, the pieces of that file are put in order again and rejoined. A record whose length
+    can't be met shows as not intact.
     """
-    raw = spark.read.option("lineSep", f"{END}{END}WARC/1.").text(path).filter(F.col("value") != "")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")]
+    raw = spark.read.option("lineSep", _CUT).text(path).select(*place, "value").filter(F.col("value") != "")
+    records = _parsed(raw.select("file", "start", "at", "value"))
+    broken = records.filter(~F.col("intact")).select("file").distinct()
+    whole = records.join(broken, "file", "left_anti").select("headers", "block", "intact")
+    pieces = raw.join(broken, "file", "left_semi").select("file", "start", "at", F.col("value").cast("binary").alias("value"))
+    pieces = pieces.repartition("file").sortWithinPartitions("file", "start", "at").mapInArrow(_rejoined, "value binary")
+    again = _parsed(pieces.select(F.lit("").alias("file"), F.col("value").cast("string").alias("value"))).select("headers", "block", "intact")
+    return whole.unionByName(again)
+
+
+def _parsed(raw: DataFrame) -> DataFrame:
     at = F.instr("value", END + END)
     head = F.split(F.substring_index("value", END + END, 1), END)
     pairs = F.transform(F.filter(F.slice(head, 2, F.size(head)), lambda x: F.instr(x, ":") > 0), lambda x: F.struct(
         F.lower(F.btrim(F.substring_index(x, ":", 1))).alias("key"), F.btrim(x.substr(F.instr(x, ":") + 1, F.length(x))).alias("value")))
     body = F.col("value").cast("binary").substr(F.octet_length(F.substring_index("value", END + END, 1)) + 5, F.octet_length("value"))
-    rows = raw.filter(at > 0).select(F.map_from_entries(pairs).alias("headers"), body.alias("body"))
+    rows = raw.filter(at > 0).select("file", F.map_from_entries(pairs).alias("headers"), body.alias("body"))
     size = F.element_at("headers", "content-length").cast("int")
-    return rows.select("headers", F.col("body").substr(F.lit(1), size).alias("block"), (F.octet_length("body") >= size).alias("intact"))
+    return rows.select("file", "headers", F.col("body").substr(F.lit(1), size).alias("block"), F.coalesce(F.octet_length("body") >= size, F.lit(False)).alias("intact"))
 
 
-def source_responses(records: DataFrame) -> DataFrame:
-    """Response records read from WARC files in the form that ``derive`` takes (page_id is the record id)."""
+def source_responses(records: DataFrame, damaged: str = "refuse") -> DataFrame:
+    """Response records read from WARC files in the form that ``derive`` takes (page_id is the record id).
+
+    A response that is not intact is refused; with ``damaged="skip"`` it is left out, and ``records.filter(~intact)`` has it.
+    """
+    if damaged not in ("refuse", "skip"):
+        raise ValueError(f"unknown rule {damaged}")
     h = lambda name: F.element_at("headers", name)
     block = F.col("block").cast("string")
-    rows = records.filter("intact").filter(h("warc-type") == "response")
+    rows = records.filter(h("warc-type") == "response")
+    if damaged == "refuse" and (lost := rows.filter(~F.col("intact")).select(h("warc-record-id")).first()):
+        raise ValueError(f"damaged record {lost[0]}")
+    rows = rows.filter("intact")
     http = F.substring_index(block, END + END, 1)
     body = F.when(F.instr(block, END + END) > 0, block.substr(F.length(http) + 5, F.length(block))).otherwise("")
     return rows.select(h("warc-record-id").alias("page_id"), h("warc-record-id").alias("record_id"), F.coalesce(h("warc-target-uri"), F.lit("")).alias("target_uri"),

@@ -140,3 +140,30 @@ def test_responses_from_a_warc_file(spark, scratch):
     made = {r.type: r for r in warc.derive(source).collect()}
     assert source.count() == 1 and made["conversion"].block == "né\nmore" and made["conversion"].refers_to == "<urn:uuid:response>"
     assert "source-status: 404\r\nsource-header-Content-Type: text/html\r\nsource-header-X-A: b:c\r\n" in made["metadata"].block
+
+
+def test_a_record_inside_a_body(spark, scratch):
+    """Bodies that hold record starts come back whole; a truncated record neither swallows its followers nor vanishes silently."""
+    import os
+
+    os.makedirs(f"{scratch}/in")
+    record = lambda name, block, size=None: (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{name}>\r\n"
+                                             f"Content-Length: {len(block.encode()) if size is None else size}\r\n\r\n{block}\r\n\r\n")
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    inner = http + "before" + "\r\n\r\n" + record("inner", http + "é") + "middle\r\n\r\nWARC/1.9 nonsense\r\n\r\nafter"
+    blocks = {"a": http + "plain", "b": inner, "c": http + "last"}
+    for name, order in (("x", "abc"), ("y", "cba")):
+        with open(f"{scratch}/in/{name}.warc", "wb") as f:
+            f.write("".join(record(name + k, blocks[k]) for k in order).encode())
+    got = warc.read_warc(spark, f"{scratch}/in").select(F.element_at("headers", "warc-record-id").alias("id"), F.col("block").cast("string"), "intact").collect()
+    assert plain.order(map(tuple, got)) == plain.order((f"<urn:uuid:{n}{k}>", b, True) for n in "xy" for k, b in blocks.items())
+    assert warc.source_responses(warc.read_warc(spark, f"{scratch}/in")).count() == 6
+    os.makedirs(f"{scratch}/cut")
+    with open(f"{scratch}/cut/z.warc", "wb") as f:
+        f.write((record("short", http + "cut off", 5000) + record("d", inner) + record("e", http + "end")).encode())
+    records = warc.read_warc(spark, f"{scratch}/cut")
+    assert plain.order((r.id, r.intact) for r in records.select(F.element_at("headers", "warc-record-id").alias("id"), "intact").collect()) == [
+        ("<urn:uuid:d>", True), ("<urn:uuid:e>", True), ("<urn:uuid:short>", False)]
+    with pytest.raises(Exception, match="damaged record <urn:uuid:short>"):
+        warc.source_responses(records)
+    assert warc.source_responses(records, damaged="skip").count() == 2
