@@ -305,4 +305,4 @@ def evaluation_report(found: DataFrame, truth: DataFrame, timings: DataFrame, gr
         F.count(F.lit(1)).alias("n_queries"), *[F.avg(F.coalesce(f"_r{k}", F.lit(0.0))).alias(f"recall_{k}") for k in ks])
     times = exact_percentiles(per_query, ["setting", "grp"], ["ms"], [0.5, 0.95]).groupBy("setting", "grp").agg(
         *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(100 * p)}_ms") for p in (0.5, 0.95)])
-    return out.join(times, ["setting", "grp"])
+    return out.join(times, ["setting", "grp"], "left")  # without times where nothing was timed

@@ -52,7 +52,8 @@ def frame_3d(spark, sf):
     return edges(spark, frame3(spark, sf).extent, E3)
 
 
-part("s3", "SELECT * FROM p3 WHERE row_id IN (SELECT i * ((SELECT count(*) FROM p3) - 1) // 999 FROM range(1000) t(i))")
+part("s3n", "SELECT count(*) AS n, count(*) // 10 AS k FROM p3")
+part("s3", "SELECT * FROM p3 WHERE row_id IN (SELECT i * (n - 1) // (k - 1) FROM (SELECT n, k, unnest(range(k)) AS i FROM s3n))")
 part("s3q", "SELECT " + ", ".join(
     f"quantile_cont({c}, 0.001) AS {c}a, quantile_cont({c}, 0.999) AS {c}b" for c in "xyz") + " FROM s3")
 part("s3r", "SELECT " + ", ".join(
@@ -60,11 +61,15 @@ part("s3r", "SELECT " + ", ".join(
 part("s3h", "SELECT *, greatest(x1 - x0, y1 - y0, z1 - z0) / 2 AS h FROM s3r")
 
 
-@query("frame_3d_sampled", "SELECT " + ", ".join(
-    f"round(({c}0 + {c}1) / 2 - h, 9) AS {c}0, round(({c}0 + {c}1) / 2 + h, 9) AS {c}1" for c in "xyz") + " FROM s3h")
+@query("frame_3d_sampled", " UNION ALL ".join(
+    f"SELECT '{c}{i}' AS edge, round(f3.{c}{i}, 9) AS whole, round((s3h.{c}0 + s3h.{c}1) / 2 {sign} h, 9) AS sampled FROM f3, s3h" for c in "xyz" for i, sign in ((0, "-"), (1, "+"))))
 def frame_3d_sampled(spark, sf):
+    """The frame of all rows beside the one of every tenth row, edge by edge."""
     df = points3(spark, sf)
-    return edges(spark, frames.compute_frame_3d(frames.linspace_sample(df, df.count(), 1000)).extent, E3)
+    whole = frames.compute_frame_3d(df)
+    tenth = frames.compute_frame_3d(frames.linspace_sample(df, whole.n_rows, whole.n_rows // 10))
+    rows = [F.struct(F.lit(n).alias("edge"), F.round(F.lit(a), 9).alias("whole"), F.round(F.lit(b), 9).alias("sampled")) for n, a, b in zip(E3, whole.extent, tenth.extent)]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*")
 
 
 @query("linspace_sample", """

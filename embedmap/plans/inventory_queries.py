@@ -6,13 +6,15 @@ status P behind the cursor are selected through a filter. A voxel whose whole fi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from embedmap.operators import inventory, metadata, voxels
 from embedmap.plans.data import G, GRID, VPC, assigned, table
 from embedmap.plans.metadata_queries import matching
 from embedmap.plans.registry import part, query
-from embedmap.session import cut
+from embedmap.session import cut, ensure_checkpoint_dir
 from embedmap.sources import inventory_csv
 
 VOXEL = ["chunk_id", "local_id"]
@@ -200,3 +202,12 @@ def inventory_from_csv(spark, sf):
     """Reading back what was exported gives the same rows."""
     _, rows = inventory_csv.inventory_from_csv(csv(spark, sf))
     return rows.select("chunk_id", "local_id", "row_id", "state", "selected")
+
+
+@query("inventory_csv_files", "SELECT chunk_id, local_id, row_id, state, selected FROM rws WHERE (chunk_id, local_id) IN (SELECT (chunk_id, local_id) FROM csvl)")
+def inventory_csv_files(spark, sf):
+    """The same through files: written, read in byte ranges, checked and taken apart."""
+    path = f"{ensure_checkpoint_dir(spark)}/inventory-{uuid.uuid4().hex}"
+    inventory_csv.write_inventory_csv(csv(spark, sf), path)
+    _, rows = inventory_csv.inventory_from_csv(inventory_csv.read_inventory_csv(spark, path))
+    return rows.select("chunk_id", "local_id", "row_id", "state", "selected")

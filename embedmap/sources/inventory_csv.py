@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from embedmap.operators.inventory import VOXEL
+from embedmap.operators.keys import require_empty
 from embedmap.operators.ordering import HOT_ROWS, id_bucket, rank_in_group
+from embedmap.session import cut
+from embedmap.sources.quoted_csv import read_records
 
 # The columns of the format; the legacy header lacks the last one.
 COLUMNS = ["version", "dataset", "pack", "chunk_id", "voxel_id", "row_id", "thumbnail_url", "total_points", "repr_row_id",
@@ -51,20 +53,19 @@ def write_inventory_csv(csv: DataFrame, path: str) -> None:
 
 
 def read_inventory_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as text columns with ``line`` increasing in file order; both header widths are accepted.
+    """Lines as text columns with ``line`` increasing in file order; both header widths are accepted, files with another header are refused.
 
-    A multi-line file is read by one task, so the running id orders its lines; the rank of its name orders the files.
+    A large file is read by many tasks, whatever line ends its quoted cells hold.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-    names = [c.lstrip("\ufeff").strip('"') for c in df.columns]
-    if names not in (COLUMNS, LEGACY_COLUMNS):
+    records = cut(read_records(spark, path).filter(F.col("text") != ""))
+    headers = records.filter(F.col("number") == 0).select(F.regexp_replace(F.ltrim(F.col("text"), F.lit("\ufeff")), '"', "").alias("h")).distinct().limit(3).collect()
+    found = [h[0].split(",") for h in headers]
+    if len(found) != 1 or found[0] not in (COLUMNS, LEGACY_COLUMNS):
         raise ValueError("not an inventory CSV")
-    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    lines = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_metadata.file_path").alias("_file"), within.alias("_within"))
-    files = df.select(F.col("_metadata.file_path").alias("_file")).distinct()  # one row per file
-    files = files.withColumn("_rank", F.row_number().over(Window.orderBy("_file")).cast("long") - 1)
-    line = F.shiftleft("_rank", 34).bitwiseOR(F.col("_within"))
-    df = lines.join(files, "_file").withColumn("_line", line).drop("_file", "_rank", "_within").toDF(*names, "line")
+    names = found[0]
+    shape = ", ".join(f"{n} string" for n in names)
+    cells = F.from_csv("text", shape, {"quote": '"', "escape": '"', "mode": "FAILFAST", "multiLine": "true"})
+    df = records.filter(F.col("number") > 0).select(cells.alias("c"), "line").select("c.*", "line")
     if names == LEGACY_COLUMNS:
         df = df.withColumn("selected_row_ids", F.lit(""))
     return df.na.fill("")
@@ -86,8 +87,10 @@ def csv_violations(df: DataFrame) -> DataFrame:
     return mixed.unionByName(broken).unionByName(repeated)
 
 
-def inventory_from_csv(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stacks, rows) from CSV lines; run ``csv_violations`` first."""
+def inventory_from_csv(df: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(stacks, rows) from CSV lines; lines with violations are refused."""
+    if check:
+        require_empty(csv_violations(df), "broken inventory CSV")
     num = lambda c: F.col(c).cast("long")
     head = df.filter(F.col("total_points") != "")
     key = [num("chunk_id").alias("chunk_id"), num("voxel_id").alias("local_id")]
