@@ -18,10 +18,20 @@ LEGACY_COLUMNS = COLUMNS[:-1]
 BLOCK_FIELDS = COLUMNS[7:]
 
 
-def _joined(rows: DataFrame, condition, name: str) -> DataFrame:
-    """Ids per voxel in seq order as 'a;b;c': the format wants the list in one cell. The tables hold them one per row."""
-    listed = rows.filter(condition).groupBy(*VOXEL).agg(F.array_sort(F.collect_list(F.struct("seq", "row_id"))).alias("_l"))
-    return listed.select(*VOXEL, F.concat_ws(";", F.transform("_l", lambda e: e["row_id"].cast("string"))).alias(name))
+#: Ids of one piece of a cell, put together before the pieces are.
+CELL_PIECE = 4096
+
+
+def _joined(rows: DataFrame, condition, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Ids per voxel in seq order as 'a;b;c': the format wants the list in one cell. The tables hold them one per row.
+
+    A crowded voxel's list is made piece by piece in many tasks; only finished pieces of text meet.
+    """
+    ranked = rank_in_group(rows.filter(condition).select(*VOXEL, "seq", "row_id"), VOXEL, ["seq", "row_id"], "_r", id_bucket("seq"), hot_rows)
+    piece = F.call_function("div", F.col("_r"), F.lit(CELL_PIECE).cast("long"))
+    text = lambda c: F.concat_ws(";", F.transform(F.array_sort(F.collect_list(c)), lambda e: e["t"]))
+    pieces = ranked.groupBy(*VOXEL, piece.alias("_p")).agg(text(F.struct("_r", F.col("row_id").cast("string").alias("t"))).alias("t"))
+    return pieces.groupBy(*VOXEL).agg(text(F.struct("_p", "t")).alias(name))
 
 
 def inventory_to_csv(stacks: DataFrame, rows: DataFrame, urls: DataFrame, dataset: str, pack: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -29,8 +39,8 @@ def inventory_to_csv(stacks: DataFrame, rows: DataFrame, urls: DataFrame, datase
     held = rows.filter(F.col("state") == "held")
     ranked = rank_in_group(held, VOXEL, ["seq", "row_id"], "line", id_bucket("seq"), hot_rows)
     block = (
-        stacks.join(_joined(rows, F.col("state") == "returned", "returned_row_ids"), VOXEL, "left")
-        .join(_joined(rows, F.col("selected"), "selected_row_ids"), VOXEL, "left")
+        stacks.join(_joined(rows, F.col("state") == "returned", "returned_row_ids", hot_rows), VOXEL, "left")
+        .join(_joined(rows, F.col("selected"), "selected_row_ids", hot_rows), VOXEL, "left")
         .select(*VOXEL, "total_points", "repr_row_id", "cursor", "returned_row_ids",
                 F.col("first_seq").alias("first_extracted_at"), F.col("last_seq").alias("last_extracted_at"), "selected_row_ids")
     )

@@ -117,17 +117,13 @@ def test_padding_on_the_table(spark):
 
 
 def plain_top(rows, k, every):
-    usable = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            usable[i] = min(v, usable.get(i, v))
-    q = {i: [math.floor(256 * x) for x in v] for i, v in usable.items()}
-    out = []
-    for i, v in q.items():
+    """Every usable row is a candidate; a query id has the best of all its rows."""
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    found = {}
+    for i, v in q:
         if i % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in q.items() if j != i and len(w) == len(v))[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    return out
+            found.setdefault(i, []).extend((-sum(a * b for a, b in zip(v, w)), j) for j, w in q if j != i and len(w) == len(v))
+    return [(i, n + 1, j, -s) for i, some in found.items() for n, (s, j) in enumerate(sorted(some)[:k])]
 
 
 @pytest.mark.parametrize("block", [7, 4096])
@@ -136,9 +132,10 @@ def test_top_k(spark, block):
     rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(60)]
     rows += [(60 + i, rows[i % 5][1]) for i in range(20)]  # ties
     rows += [(200, None), (201, []), (202, [None] * 8), (203, [float("nan")] * 8), (204, [float("inf")] * 8), (None, rows[0][1]), (3, rows[3][1]), (3, [0.0] * 8),
+             (10, [9.0] * 8), (10, rows[10][1]), (41, [8.0] * 8), (41, [-8.0] * 8),
              (205, [1.0, 2.0]), (210, [0.5, 0.5]), (220, [0.0] * 8)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, dim int, block int")
-    got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=5, block_rows=block, query_rows=3)
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=5, block_rows=block, query_values=24)
     assert plain.order(tuple(r) for r in got.collect()) == plain.order(plain_top(rows, 5, 10))
 
 
