@@ -32,7 +32,7 @@ def volume(spark) -> dict[str, object]:
 
     from pyspark.sql import functions as F
 
-    from embedmap.operators import ann, vectors
+    from embedmap.operators import ann, blocks, vectors
 
     base = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     copies = -(-VOLUME_ROWS // base.count())
@@ -44,7 +44,7 @@ def volume(spark) -> dict[str, object]:
     rows = spark.read.parquet(f"{root}/base")
     rows.filter(F.col("row_id") % (rows.count() // VOLUME_QUERIES) == 1).select(F.col("row_id").alias("q"), "embedding").write.parquet(f"{root}/queries")
     queries = spark.read.parquet(f"{root}/queries")
-    vectors.vector_blocks(rows).write.parquet(f"{root}/blocks")
+    blocks.write(vectors.vector_blocks(rows), f"{root}/blocks")
     packed = spark.read.parquet(f"{root}/blocks")
     fit = rows.filter(F.pmod(F.xxhash64("row_id"), F.lit(50)) == 0)  # one in fifty rows fits the centroids
     model = ann.train_codes(rows, ann.ivf_train(fit, LISTS, seed=1, iterations=5))

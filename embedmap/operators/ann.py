@@ -174,8 +174,7 @@ def code_blocks(base: DataFrame, model: ListCodes) -> DataFrame:
 def write_lists(lists: DataFrame, path: str) -> None:
     """Store blocks sorted by list within range partitions, in small row groups: a search skips the groups of other lists, and a crowded
     list spans several files."""
-    stored = lists.write.mode("errorifexists").option("parquet.block.size", LIST_GROUP_BYTES).option("parquet.block.size.row.check.min", 4).option("parquet.enable.dictionary", "false")
-    stored.parquet(path)
+    blocks.write(lists, path, LIST_GROUP_BYTES)
 
 
 def read_lists(spark: SparkSession, path: str) -> DataFrame:

@@ -19,10 +19,12 @@ from pyspark.sql import types as T
 from embedmap.operators.ordering import limit_per_group
 
 #: Values in a block of data and in one of queries.
-DATA_VALUES, QUERY_VALUES = 1 << 21, 1 << 20
+DATA_VALUES, QUERY_VALUES = 1 << 19, 1 << 18
 #: Query blocks that are broadcast, and query blocks of one side of the grid.
-BROADCAST_BYTES = 8 << 20
-SIDE_BLOCKS = 8
+BROADCAST_BYTES = 2 << 20
+SIDE_BLOCKS = 32
+#: Row group of stored blocks.
+GROUP_BYTES = 8 << 20
 #: Scores held at once, and best rows that a task keeps before it hands them on.
 SCORE_VALUES = 1 << 22
 KEPT_ROWS = 1 << 22
@@ -82,6 +84,12 @@ def pack(rows: DataFrame, matrix: Callable[[pa.Array], np.ndarray], values: int,
     return source.mapInArrow(run, "key long, block long, ids binary, data binary")
 
 
+def write(blocks: DataFrame, path: str, group_bytes: int = GROUP_BYTES) -> None:
+    """Store blocks. A cell is large, so the size of a row group is looked at after every few rows; otherwise a writer would hold a hundred blocks."""
+    stored = blocks.write.mode("errorifexists").option("parquet.block.size", group_bytes).option("parquet.block.size.row.check.min", 2)
+    stored.option("parquet.block.size.row.check.max", 4).option("parquet.page.size.row.check.min", 1).option("parquet.enable.dictionary", "false").parquet(path)
+
+
 class TopRows:
     """k best rows (score descending, row ascending) of every query of a block."""
 

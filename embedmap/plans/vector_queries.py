@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from embedmap.functions import vectors as vf
-from embedmap.operators import ann, keys, vectors
+from embedmap.operators import ann, blocks, keys, vectors
 from embedmap.operators.frames import linspace_sample
 from embedmap.plans.data import table
 from embedmap.plans.registry import part, query
@@ -162,7 +162,7 @@ SELECT * FROM (SELECT q, row_id, score, row_number() OVER (PARTITION BY q ORDER
 def knn_every_fiftieth(spark, sf):
     """Exact search of every fiftieth row over stored blocks of vectors."""
     path = f"{ensure_checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}"
-    vectors.vector_blocks(base(spark, sf)).write.parquet(path)
+    blocks.write(vectors.vector_blocks(base(spark, sf)), path)
     return vectors.knn_blocks(spark.read.parquet(path), probe_queries(spark, sf), K)
 
 

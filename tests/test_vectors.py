@@ -62,7 +62,7 @@ def test_query_and_data_blocks_are_bounded(base, queries, monkeypatch):
 
 
 def test_blocks_can_be_stored(spark, base, queries, scratch):
-    vectors.vector_blocks(base).write.parquet(f"{scratch}/blocks")
+    blocks.write(vectors.vector_blocks(base), f"{scratch}/blocks")
     stored = spark.read.parquet(f"{scratch}/blocks")
     assert rows(vectors.knn_blocks(stored, queries, 5, kind="<f8")) == rows(vectors.knn_exact(base, queries, 5))
 
