@@ -7,12 +7,14 @@ bound. Reading stops when the k-th best lower bound (of this block or of blocks
 not seen at all and leaves few rows above it; their scores are then resolved. A block whose list heads can't reach the
 bound isn't read.
 
-Queries and data meet block by block (an equi join on block numbers, each side repeated by rule), and a task returns the k
-best of each query and block, so nothing grows with the number of candidates of a query.
+Query blocks of bounded size meet lanes of data blocks: data are sent once per query block (one for up to ``QUERY_VALUES`` values of
+queries), and a task streams its lane past one query block and returns the k best of each query and block, so nothing grows with
+the number of candidates of a query.
 
 Defined cases: a vector that is null, empty or holds a null, NaN or infinite component takes no part; an id that is null takes no
-part; of several rows with one id the smallest vector counts; vectors of different lengths have no score together; equal
-scores go to the smaller id; an empty table gives no rows; other columns are ignored. Scores are exact below 2^53.
+part; every row is a candidate, so an id with several rows can be found once for each; a query is not compared with rows of its own id,
+and a query id with several rows has the best of all of them; vectors of different lengths have no score together; equal scores go to
+the smaller id; an empty table gives no rows; other columns are ignored. Scores are exact below 2^53.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from embedmap.llm.tables import stored
 
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
-#: Reading depths at which the bounds are looked at, as shares of a list.
-DEPTHS = (0.5, 0.875)
+QUERY_VALUES = 1 << 22
+#: Reading depths at which the bounds are looked at, as shares of a list: doubling from the head, so that all looks together cost about two of the last.
+DEPTHS = (*(2.0 ** -i for i in range(6, 0, -1)), 0.875)
 #: Reading also goes on while more than one in so many rows of the block can still qualify.
 FEW = 4
 
@@ -95,8 +97,8 @@ class Lists:
         return rows[order], scores[order]
 
 
-def _in_blocks(limit: int):
-    """Rows (dim, id, vector) of a partition as blocks of one length of vector each."""
+def _in_blocks(rows: int, limit: int):
+    """Rows (dim, id, vector) of a partition as blocks of one length of vector each, of at most ``rows`` rows and ``limit`` values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -111,12 +113,16 @@ def _in_blocks(limit: int):
             ids = b.column(1).to_numpy()
             flat, ends = b.column(2).flatten().to_numpy(), np.cumsum(dims)
             for dim in np.unique(dims).tolist():
+                most = max(1, min(rows, limit // dim))
                 own = np.flatnonzero(dims == dim)
                 values = flat[(ends[own] - dim)[:, None] + np.arange(dim)]
-                for start in range(0, len(own), limit):
+                at = 0
+                while at < len(own):
                     parts = waiting.setdefault(dim, [])
-                    parts.append((ids[own[start:start + limit]], values[start:start + limit]))
-                    if sum(len(p[0]) for p in parts) >= limit:
+                    room = most - sum(len(p[0]) for p in parts)
+                    parts.append((ids[own[at:at + room]], values[at:at + room]))
+                    at += room
+                    if at <= len(own):
                         yield block(dim, waiting.pop(dim))
         for dim, parts in waiting.items():
             yield block(dim, parts)
@@ -125,41 +131,42 @@ def _in_blocks(limit: int):
 
 
 def _search(k: int):
+    """Rows (query_block, lane, is_data, dim, ids, data) in this order, queries before data, to the k best of each query and data block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[int, float] = {}
-        current = None
+        where, asked, weights, floors = None, None, None, {}
         for b in batches:
-            for r in b.to_pylist():
-                if r["query_block"] != current:
-                    current, floors = r["query_block"], {}
-                asked = np.frombuffer(r["query_ids"], np.int64)
-                weights = np.frombuffer(r["query_data"], np.float64).reshape(len(asked), r["dim"])
-                ids = np.frombuffer(r["ids"], np.int64)
-                lists = Lists(ids, np.frombuffer(r["data"], np.float64).reshape(len(ids), r["dim"]))
-                out: list[tuple] = []
-                for own, query in zip(asked.tolist(), weights):
+            for i in range(b.num_rows):
+                number, lane, is_data, dim, ids, data = (b.column(c)[i] for c in range(6))
+                ids, values = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(data.as_buffer(), np.float64).reshape(-1, dim.as_py())
+                if not is_data.as_py():
+                    where, asked, weights, floors = number.as_py(), ids.tolist(), values.copy(), {}
+                    continue
+                assert where == number.as_py(), "data without their queries"
+                lists = Lists(ids, values)
+                found: list[list[np.ndarray]] = [[], [], []]
+                for own, query in zip(asked, weights):
                     rows, scores = lists.best(query, own, k, floors.get(own, -np.inf))
                     if len(rows) == k:
                         floors[own] = max(floors.get(own, -np.inf), scores[-1])
-                    out += zip([own] * len(rows), ids[rows].tolist(), scores.astype(np.int64).tolist())
-                if out:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                    for to, some in zip(found, (np.full(len(rows), own), ids[rows], scores.astype(np.int64))):
+                        to.append(some)
+                yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(dim, vec_id, vector) of the usable rows: floor(scale * x) as whole doubles, one row per id."""
+    """(dim, vec_id, vector) of the usable rows: floor(scale * x) as whole doubles."""
     x = F.transform(vectors[vector_col], lambda v: v.cast("double"))
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), x.alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter((F.size("v") > 0) & F.forall(
         "v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
-    one = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return one.select(F.size("v").alias("dim"), "vec_id", F.transform("v", lambda v: F.floor(v * F.lit(float(scale))).cast("double")).alias("vector"))
+    return rows.select(F.size("v").alias("dim"), "vec_id", F.transform("v", lambda v: F.floor(v * F.lit(float(scale))).cast("double")).alias("vector"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding",
-          block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+          block_rows: int = BLOCK_ROWS, query_values: int = QUERY_VALUES) -> DataFrame:
     """The k best other vectors of every query by integer inner product: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on the id column.
@@ -167,19 +174,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     spark = vectors.sparkSession
     shape = "dim int, ids binary, data binary"
     usable = quantised(vectors.withColumnRenamed(id_col, "vec_id"), scale, "vec_id", vector_col)
-    data = stored(usable.mapInArrow(_in_blocks(block_rows), shape).withColumn("block", F.monotonically_increasing_id()))
+    data = stored(usable.mapInArrow(_in_blocks(block_rows, 1 << 40), shape).withColumn("block", F.monotonically_increasing_id()))
     asked = quantised(vectors.withColumnRenamed(id_col, "vec_id").filter(is_query), scale, "vec_id", vector_col)
-    asked = stored(asked.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_in_blocks(query_rows), shape)
+    values = asked.agg(F.sum("dim")).first()[0] or 0
+    # As few query blocks as their size allows: data are sent once per block.
+    asked = stored(asked.coalesce(max(1, -(-values // query_values))).mapInArrow(_in_blocks(1 << 40, query_values), shape)
                    .withColumn("query_block", F.monotonically_increasing_id()))
     lanes = max(1, min(data.count(), 4 * spark.sparkContext.defaultParallelism))
-    # Each side is repeated once per block of the other that it has to meet; one task gets few blocks of either.
-    left = data.select("dim", "ids", "data", F.pmod(F.xxhash64("block"), F.lit(lanes)).alias("lane"))
-    blocks = asked.select("dim", F.col("query_block"))
-    left = left.join(F.broadcast(blocks) if asked.count() <= 100_000 else blocks, "dim")
-    right = asked.select("query_block", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"),
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
-    met = left.join(right.hint("shuffle_hash"), ["query_block", "lane"]).sortWithinPartitions("query_block")
-    found = met.select("query_block", "dim", "query_ids", "query_data", "ids", "data").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    columns = ["query_block", "lane", "is_data", "dim", "ids", "data"]
+    left = data.withColumns({"lane": F.pmod(F.xxhash64("block"), F.lit(lanes)), "is_data": F.lit(True)})
+    left = left.join(F.broadcast(asked.select("dim", "query_block")) if asked.count() <= 100_000 else asked.select("dim", "query_block"), "dim")
+    right = asked.withColumns({"lane": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))), "is_data": F.lit(False)})
+    met = left.select(columns).unionByName(right.select(columns)).repartition("query_block", "lane").sortWithinPartitions("query_block", "lane", "is_data")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
