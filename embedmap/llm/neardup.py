@@ -14,8 +14,8 @@ Tasks hand on one link per joined node, not pairs, and full sets travel once per
 any size is spread over tasks and no link between classes is lost.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing; so are rows with a null id; a text with fewer
-words than a shingle is one shingle; texts with equal sets are linked; rows with one id are one document, linked by any of their
-texts; an empty table gives no rows; other columns don't take part.
+words than a shingle is one shingle; texts with equal sets are linked; rows that share an id but not a text are classed by their
+texts, so an id can be in two classes; an empty table gives no rows; other columns don't take part.
 """
 
 from __future__ import annotations
