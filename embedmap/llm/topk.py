@@ -66,15 +66,23 @@ class Lists:
             edge, read = shown[:, -1], depth
             seen.append(rows)
             lower += np.bincount(rows.ravel(), (shown - worst[:, None]).ravel(), n)
-            above = lower + (edge - worst).sum()  # the edge of every list ...
-            for part in seen:  # ... but for those in which the row was shown
-                above -= np.bincount(part.ravel(), np.repeat(edge - worst, part.shape[1]), n)
             if np.count_nonzero(others) >= k:
                 floor = max(floor, np.partition(lower[others], -k)[-k])
-            left = np.flatnonzero(above >= floor)
-            if edge.sum() < floor and len(left) <= n // FEW:  # rows not seen at all can't qualify
+            if edge.sum() >= floor:  # a row not seen at all can still qualify, so there is no need to look at the others
+                continue
+            left = np.flatnonzero(self._above(lower, seen, edge - worst) >= floor)
+            if len(left) <= n // FEW:
                 return self._resolve(left, query, own, k, floor)
-        return self._resolve(np.flatnonzero(above >= floor) if seen else np.arange(n), query, own, k, floor)
+        left = np.flatnonzero(self._above(lower, seen, edge - worst) >= floor) if seen else np.arange(n)
+        return self._resolve(left, query, own, k, floor)
+
+    @staticmethod
+    def _above(lower: np.ndarray, seen: list[np.ndarray], room: np.ndarray) -> np.ndarray:
+        """Upper bounds: the edge of every list, but for those in which the row was shown."""
+        above = lower + room.sum()
+        for part in seen:
+            above -= np.bincount(part.ravel(), np.repeat(room, part.shape[1]), len(lower))
+        return above
 
     def _read(self, used, up, weight, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.ids)
