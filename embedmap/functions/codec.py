@@ -1,4 +1,8 @@
-"""Composite integer keys as Column arithmetic. Unsigned 32-bit values are held in BIGINT."""
+"""Composite integer keys as Column arithmetic, held in BIGINT.
+
+The low field of a packed reference or voxel has a fixed width; the high one takes what is left of a BIGINT, since no field follows
+it. Whether a key also fits the unsigned 32 bits of the stored format is told by ``ref_in_range`` and ``voxel_in_range``.
+"""
 
 from __future__ import annotations
 
@@ -19,9 +23,13 @@ def _guarded(packed: Column, ok: Column, known: Column, what: str) -> Column:
     return F.when(ok, packed).when(known, F.raise_error(F.lit(f"{what} out of range")).cast("long"))
 
 
+def _fits(high: Column, low: Column, lows: int) -> Column:
+    return high.between(0, ((1 << 63) // lows) - 1) & low.between(0, lows - 1)
+
+
 def pack_ref(shard: Column, local: Column) -> Column:
-    packed = shard.cast("long") * REF_LOCALS + local.cast("long")
-    return _guarded(packed, ref_in_range(shard, local), shard.isNotNull() & local.isNotNull(), "shard or local row of a packed reference")
+    packed = F.shiftleft(shard.cast("long"), 16).bitwiseOR(local.cast("long"))
+    return _guarded(packed, _fits(shard, local, REF_LOCALS), shard.isNotNull() & local.isNotNull(), "shard or local row of a packed reference")
 
 
 def unpack_ref(ref: Column) -> tuple[Column, Column]:

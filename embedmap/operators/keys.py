@@ -10,10 +10,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from embedmap.functions import codec
-from embedmap.operators.ordering import limit_per_group, md5_priority, small
+from embedmap.operators.ordering import id_bucket, limit_per_group, md5_priority, running_total, small
 
 MISSING = -1
 DICTIONARY_LIMIT = 16
@@ -279,14 +278,12 @@ def check_permutation(df: DataFrame, a: str, b: str) -> DataFrame:
 def verify_row_order(points: DataFrame, shards: DataFrame) -> DataFrame:
     """Rows whose packed reference differs from the one their position in shard order implies.
 
-    points: row_id, ref; shards: seq, shard, n_rows. A packed reference has 65,536 shards at most, which bounds both the
-    window and the broadcast.
+    points: row_id, ref; shards: seq (not negative), shard, n_rows. Starts are summed in ranges of seq.
     """
-    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.withColumn("start", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).cast("long"))
+    starts = running_total(shards, [], ["seq"], F.col("n_rows"), "start", id_bucket("seq", 16)).withColumn("start", F.col("start").cast("long"))
     shard, local = codec.unpack_ref(F.col("ref"))
     located = points.withColumn("shard", shard).withColumn("local", local).join(
-        F.broadcast(starts.select("shard", "start", "n_rows")), "shard", "left"
+        starts.select("shard", "start", "n_rows"), "shard", "left"
     )
     wrong = F.col("start").isNull() | (F.col("local") >= F.col("n_rows")) | (F.col("row_id") != F.col("start") + F.col("local"))
     return located.filter(wrong).select("row_id", "ref")

@@ -185,3 +185,11 @@ def test_packed_keys_refuse_what_does_not_fit(spark):
         assert one(None, 1).select(pack(F.col("a"), F.col("b"))).first()[0] is None
         with pytest.raises(Exception, match="out of range"):
             one(*not_).select(pack(F.col("a"), F.col("b"))).collect()
+
+
+def test_high_field_of_a_packed_reference_is_not_bounded_by_32_bits(spark):
+    df = spark.createDataFrame([(65536, 3), (89999, 65535), (2**47 - 1, 65535)], "a long, b long")
+    back = df.select("a", "b", codec.pack_ref(F.col("a"), F.col("b")).alias("p")).select("a", "b", "p", *codec.unpack_ref(F.col("p")))
+    assert [tuple(r) for r in back.collect()] == [(a, b, a * 2**16 + b, a, b) for a, b in [(65536, 3), (89999, 65535), (2**47 - 1, 65535)]]
+    with pytest.raises(Exception, match="out of range"):
+        spark.createDataFrame([(2**47, 0)], "a long, b long").select(codec.pack_ref(F.col("a"), F.col("b"))).collect()
