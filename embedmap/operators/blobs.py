@@ -30,10 +30,15 @@ def pack_offsets(payloads: DataFrame, shard: Sequence[str] = ("shard",), local:
 
 
 def lookup_spans(offsets: DataFrame, refs: DataFrame) -> DataFrame:
-    """Span of packed references; an unknown or missing one is empty. refs: ref."""
-    shard, local = codec.unpack_ref(F.col("ref"))
+    """Span of packed references; an unknown or missing one is empty. refs: ref, or ref with the shard and local row it stands for.
+
+    A local row beyond the 16 bits of its field can't be told from the next shard in the number, so its address is given beside it.
+    """
+    if not {"shard", "local"} <= set(refs.columns):
+        shard, local = codec.unpack_ref(F.col("ref"))
+        refs = refs.withColumns({"shard": shard, "local": local})
     zero = F.lit(0).cast("long")
-    return refs.withColumns({"shard": shard, "local": local}).join(offsets, ["shard", "local"], "left").select(
+    return refs.join(offsets, ["shard", "local"], "left").select(
         "ref", F.coalesce("start", zero).alias("start"), F.coalesce(F.col("end") - F.col("start"), zero).alias("length")
     )
 

@@ -35,7 +35,9 @@ def pack_offsets(spark, sf):
 SELECT (event_id % 70) * 65536 + user_id AS ref, coalesce(start, 0) AS start, coalesce("end" - start, 0) AS length
 FROM events LEFT JOIN spn ON shard = event_id % 70 AND local = user_id""")
 def lookup_spans(spark, sf):
-    refs = table(spark, sf, "events").select(codec.pack_ref(F.col("event_id") % 70, F.col("user_id")).alias("ref"))
+    """User ids are the local rows, and may exceed the 16 bits of a packed reference: the address is looked up, the number is its label."""
+    refs = table(spark, sf, "events").select((F.col("event_id") % 70).alias("shard"), F.col("user_id").alias("local"))
+    refs = refs.withColumn("ref", F.col("shard") * codec.REF_LOCALS + F.col("local"))
     return blobs.lookup_spans(blobs.pack_offsets(payloads(spark, sf)), refs)
 
 

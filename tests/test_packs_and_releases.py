@@ -105,6 +105,12 @@ def test_offsets_and_spans(spark):
     assert [r[1:] for r in rows(blobs.lookup_spans(offsets, refs))] == [(0, 5), (5, 0), (5, 3), (0, 7), (0, 0)]
 
 
+def test_address_beside_a_reference_decides(spark):
+    offsets = blobs.pack_offsets(spark.createDataFrame([(0, 2, 3), (1, 0, 7)], "shard long, local long, n_bytes long"))
+    refs = spark.createDataFrame([(65536, 0, 65536), (65536, 1, 0), (2, 0, 2)], "ref long, shard long, local long")
+    assert rows(blobs.lookup_spans(offsets, refs)) == [(2, 0, 3), (65536, 0, 0), (65536, 0, 7)]
+
+
 def test_url_sidecar(spark):
     pts = spark.createDataFrame([(0, "ab", 5, -1), (1, None, 70000, 2), (2, "", 1, 1), (3, "é", 1, 1)], "row_id long, url string, width long, height long")
     for bits in (1, 20):
