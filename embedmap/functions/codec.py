@@ -57,7 +57,7 @@ def point_in_range(corpus: Column, row_id: Column) -> Column:
 
 def pack_voxel(chunk: Column, local: Column) -> Column:
     packed = F.shiftleft(chunk.cast("long"), 12).bitwiseOR(local.cast("long"))
-    return _guarded(packed, voxel_in_range(chunk, local), chunk.isNotNull() & local.isNotNull(), "chunk or local id of a packed voxel")
+    return _guarded(packed, _fits(chunk, local, VOXEL_LOCALS), chunk.isNotNull() & local.isNotNull(), "chunk or local id of a packed voxel")
 
 
 def unpack_voxel(packed: Column) -> tuple[Column, Column]:

@@ -193,3 +193,9 @@ def test_high_field_of_a_packed_reference_is_not_bounded_by_32_bits(spark):
     assert [tuple(r) for r in back.collect()] == [(a, b, a * 2**16 + b, a, b) for a, b in [(65536, 3), (89999, 65535), (2**47 - 1, 65535)]]
     with pytest.raises(Exception, match="out of range"):
         spark.createDataFrame([(2**47, 0)], "a long, b long").select(codec.pack_ref(F.col("a"), F.col("b"))).collect()
+
+
+def test_high_field_of_a_packed_voxel_is_not_bounded_by_32_bits(spark):
+    df = spark.createDataFrame([(2**20, 4095), (2**51 - 1, 4095)], "a long, b long")
+    back = df.select("a", "b", codec.pack_voxel(F.col("a"), F.col("b")).alias("p")).select("p", *codec.unpack_voxel(F.col("p")))
+    assert [tuple(r) for r in back.collect()] == [(2**32 + 4095, 2**20, 4095), (2**63 - 1, 2**51 - 1, 4095)]
