@@ -50,3 +50,12 @@ def test_report_has_recall_and_measured_times(spark):
     for (setting, _), r in got.items():
         assert r.n_queries == 20 and r.recall_24 >= (1.0 if setting == vq.TRAINED_LISTS else 0.9)
         assert 0 < r.p50_ms <= r.p95_ms and r.p50_ms != int(r.p50_ms)
+
+
+def test_report_of_seeded_lists_keeps_its_percentiles(spark):
+    q = np.array([r[0] for r in vq.probe_queries(spark, SF).select("q").collect()])
+    got = {(r.setting, r.grp): r for r in QUERIES["evaluation_report"](spark, SF).collect()}
+    assert set(got) == {(s, g) for s in (vq.NPROBE, vq.LISTS) for g in (0, 1)}
+    for (setting, grp), r in got.items():
+        ms = (q[q // 50 % 2 == grp] * 7 % 13 + setting).astype(float)
+        assert r.p50_ms == np.percentile(ms, 50) and r.p95_ms == pytest.approx(np.percentile(ms, 95))
