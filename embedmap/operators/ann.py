@@ -189,6 +189,27 @@ def search_lists(stored: DataFrame, model: ListCodes, queries: DataFrame, k: int
     return blocks.nearest(data, asked, k, lambda key, q, codes: shared.value.scores(key, q, codes), "u1")
 
 
+def search_lists_exact(stored: DataFrame, model: ListCodes, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The exact top-k by the codes of all lists: q, row_id, score, rank.
+
+    A row's score is off its codes' by at most ``slack``, so no row of the answer scores less by codes than the k-th best by codes minus twice
+    that: all rows above this bar are rescored, however many they are. ``base``: the rows that ``model`` was trained on.
+    """
+    found = search_lists(stored, model, queries, k, len(model.ivf.centroids))
+    bars = found.groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("_kth"))
+    spans = F.array(*[F.lit(float(v)) for v in model.span])
+    reach = F.aggregate(F.zip_with("embedding", spans, lambda a, b: F.abs(a) * b), F.lit(0.0), lambda a, b: a + b)
+    # Half a step of every dimension, the rounding of codes' sums in single precision, and that of scores.
+    slack = reach * (0.5 / 255 + len(model.span) * 2.0**-22) + 2 * blocks.MARGIN
+    vectors = queries.select(F.col("q").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    bar = F.coalesce(F.col("_kth") - 2 * slack, F.lit(float("-inf")))
+    marked = vectors.join(bars, "q", "left").select("q", F.concat("embedding", F.array(bar)).alias("embedding"),
+                                                    F.explode(F.sequence(F.lit(0), F.lit(len(model.ivf.centroids) - 1))).alias("list_id"))
+    asked = cut(blocks.pack(marked, matrix, blocks.QUERY_VALUES, "list_id"))
+    shared = queries.sparkSession.sparkContext.broadcast(model)
+    return refine(blocks.above(stored, asked, lambda key, q, codes: shared.value.scores(key, q, codes), "u1"), base, queries, k)
+
+
 # --- product quantisation ---------------------------------------------------------------------------------------------
 
 def _code_sums(books: np.ndarray):

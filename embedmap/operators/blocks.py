@@ -209,6 +209,28 @@ def nearest(data: DataFrame, asked: DataFrame, k: int, score: Score, kind: str,
     return limit_per_group(hits, ["q"], [F.desc("score"), "row_id"], k)
 
 
+def above(data: DataFrame, asked: DataFrame, score: Score, kind: str) -> DataFrame:
+    """(q, row_id) of all rows whose score reaches the bar of a query, which is the last number of its vector in ``asked``. Rows as in ``nearest``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                key, ids, data_, q_ids, q_data = (b.column(c)[i] for c in range(5))
+                rows, names = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(q_ids.as_buffer(), "<i8")
+                values = np.frombuffer(data_.as_buffer(), kind).reshape(len(rows), -1)
+                q = np.frombuffer(q_data.as_buffer(), np.float64).reshape(len(names), -1)
+                step = max(1, SCORE_VALUES // len(names))
+                for at in range(0, len(rows), step):
+                    n, r = np.nonzero(score(key.as_py(), q[:, :-1], values[at:at + step]) >= q[:, -1:])
+                    if len(n):
+                        yield pa.record_batch([pa.array(names[n]), pa.array(rows[at:at + step][r])], names=["q", "row_id"])
+
+    size = asked.agg(F.coalesce(F.sum(F.length("ids") + F.length("data")), F.lit(0))).first()[0]
+    named = asked.select("key", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    met = data.select("key", "ids", "data").join(F.broadcast(named) if size <= BROADCAST_BYTES else named, "key")
+    return met.select("key", "ids", "data", "q_ids", "q_data").mapInArrow(run, "q long, row_id long")
+
+
 def wanted_keys(asked: DataFrame) -> Sequence[int]:
     """Distinct keys of query blocks, for a filter that reaches a scan; at most one per list of the model."""
     return sorted(r[0] for r in asked.select("key").distinct().collect())

@@ -177,10 +177,10 @@ def stored_lists(spark, sf):
 
 @query("ivf_codes_all_lists", "SELECT * FROM knnt")
 def ivf_codes_all_lists(spark, sf):
-    """Codes of all stored lists, rescored, give the exact answer."""
+    """Codes of all stored lists, rescored as far as their error reaches, give the exact answer."""
     model, lists = stored_lists(spark, sf)
     q = centroids(spark, sf)
-    return ann.refine(ann.search_lists(lists, model, q, K * 4, TRAINED_LISTS), base(spark, sf), q, K)
+    return ann.search_lists_exact(lists, model, base(spark, sf), q, K)
 
 
 @query("ivf_codes_search")
