@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from embedmap.operators import frames, minimap
+from embedmap.operators import discs, frames, minimap
 from tests.conftest import rows
 
 ZOOM = 2
@@ -116,3 +118,36 @@ def test_nearest_ties_take_the_lowest_row(spark):
     q = spark.createDataFrame([(5, 10, 10), (3, 20, 10), (9, 10, 20)], "row_id long, qx long, qy long")
     qs = spark.createDataFrame([(0, 15, 10)], "q long, qx long, qy long")
     assert minimap.nearest_rows(q, qs).first().row_id == 3
+
+
+def test_capped_radius_lists_no_pairs(spark, monkeypatch):
+    """Sides, lanes and flushes give what brute force gives, and no join of queries with rows is left."""
+    for name, n in (("SIDE_QUERIES", 3), ("LANE_POINTS", 50), ("DISTANCES", 40), ("HITS", 30)):
+        monkeypatch.setattr(discs, name, n)
+    q = quantised(spark, 300)
+    q = q.unionByName(q.withColumn("row_id", F.col("row_id") + 1000)).unionByName(q.limit(20).withColumn("qx", F.lit(None).cast("long")))
+    pts = [(r.row_id, r.qx, r.qy) for r in q.collect() if r.qx is not None]
+    asks = [(i, pts[i * 9][1] + i, pts[i * 9][2]) for i in range(12)] + [(50, -4000, 300), (51, 900000, 5)]
+    qs = spark.createDataFrame(asks, "q long, qx long, qy long")
+    d = lambda a, p: (a[1] - p[1]) ** 2 + (a[2] - p[2]) ** 2
+    want = sorted((a[0], p[0], float(d(a, p))) for a in asks for p in sorted((p for p in pts if d(a, p) <= 9000**2), key=lambda p: (d(a, p), p[0]))[:5])
+    got = minimap.rows_in_radius(q, qs, 9000, 5)
+    assert rows(got, "q", "row_id", "d2") == want
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("counts", [30, 1 << 22])
+def test_voxels_in_radius_are_counted_in_tasks(spark, monkeypatch, counts):
+    for name, n in (("SIDE_QUERIES", 3), ("LANE_POINTS", 50), ("DISTANCES", 40), ("HITS", 30), ("COUNTS", counts)):
+        monkeypatch.setattr(discs, name, n)
+    q = quantised(spark, 300).select("row_id", "qx", "qy", (F.col("row_id") % 3).alias("chunk_id"), (F.col("row_id") % 5).alias("local_id"))
+    q = q.unionByName(q.withColumn("row_id", F.col("row_id") + 1000))
+    pts = q.collect()
+    asks = [(i, pts[i * 9].qx + i, pts[i * 9].qy) for i in range(12)]
+    qs = spark.createDataFrame(asks, "q long, qx long, qy long")
+    want = []
+    for i, x, y in asks:
+        n = Counter((p.chunk_id, p.local_id) for p in pts if (p.qx - x) ** 2 + (p.qy - y) ** 2 <= 9000**2)
+        want += [(i, *v, k, r) for r, (v, k) in enumerate(sorted(n.items(), key=lambda e: (-e[1], e[0])), 1)]
+    got = minimap.voxels_in_radius(q, qs, 9000)
+    assert rows(got, "q", "chunk_id", "local_id", "n", "rank") == sorted(want)
