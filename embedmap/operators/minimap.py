@@ -257,10 +257,11 @@ def voxels_in_radius(rows: DataFrame, queries: DataFrame, radius: float, max_vox
     """Voxels of the rows within the radius with their row counts, the fullest first; only the first ``max_voxels`` per query if asked for."""
     # Rows at one position in one voxel meet a query together, so the search sees positions, not rows.
     spots = rows.groupBy("qx", "qy", "chunk_id", "local_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = gridsearch.within(spots, queries, ["qx", "qy"], ["qx", "qy"], "q", radius)
-    counted = hits.groupBy("q", "chunk_id", "local_id").agg(F.sum("n").alias("n"))
+    # Tasks count per query and voxel, so that no pair of query and position leaves them.
+    sums = discs.fold(spots, ["chunk_id", "local_id", "n"], queries, radius, lambda ids: discs.Counts(ids, float(radius) ** 2), discs.Counts.SCHEMA)
+    counted = sums.groupBy("q", F.col("a").alias("chunk_id"), F.col("b").alias("local_id")).agg(F.sum("n").alias("n"))
     if max_voxels is None:  # all of them: a query with very many is ranked in buckets of the count
-        ranked = rank_in_group(counted, ["q"], [F.desc("n"), "chunk_id", "local_id"], "rank", -F.col("n"))
+        ranked = rank_in_group(cut(counted), ["q"], [F.desc("n"), "chunk_id", "local_id"], "rank", -F.col("n"))
         return ranked.withColumn("rank", F.col("rank") + 1)
     return limit_per_group(counted, ["q"], [F.desc("n"), "chunk_id", "local_id"], max_voxels)
 
