@@ -25,9 +25,9 @@ BROADCAST_BYTES = 2 << 20
 SIDE_BLOCKS = 32
 #: Row group of stored blocks.
 GROUP_BYTES = 8 << 20
-#: Scores held at once, and best rows that a task keeps before it hands them on.
-SCORE_VALUES = 1 << 22
-KEPT_ROWS = 1 << 22
+#: Scores held at once, and best rows that a task keeps before it hands them on, which also bounds the queries of one side.
+SCORE_VALUES = 1 << 20
+KEPT_ROWS = 1 << 20
 #: Room for the rounding of scores when candidates are told from the rest.
 MARGIN = 2e-6
 DIGITS = 6
@@ -154,6 +154,12 @@ class _Searches:
         return names, np.frombuffer(data, self.kind).reshape(len(names), -1)
 
 
+def sides_of(asked: DataFrame, k: int) -> DataFrame:
+    """Sides of every key: as many as bound the query blocks and the best rows of one side."""
+    n, kept = F.count(F.lit(1)), F.sum(F.length("ids") / 8) * k
+    return asked.groupBy("key").agg(F.greatest(F.ceil(n / SIDE_BLOCKS), F.least(F.ceil(kept / KEPT_ROWS), n)).alias("sides"))
+
+
 def nearest(data: DataFrame, asked: DataFrame, k: int, score: Score, kind: str, lanes: int | None = None) -> DataFrame:
     """q, row_id, score, rank of the k best rows of every query. ``data`` and ``asked``: key, block, ids, data; only blocks of one key meet.
     ``asked`` is read several times, so pass it stored.
@@ -180,7 +186,7 @@ def nearest(data: DataFrame, asked: DataFrame, k: int, score: Score, kind: str,
         hits = met.mapInArrow(near, HITS)
     else:
         lanes = lanes or int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sides = asked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SIDE_BLOCKS).alias("sides"))
+        sides = sides_of(asked, k)
         spread = F.xxhash64("block")
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         here = data.join(sides, "key").select("key", F.pmod(spread, F.lit(lanes)).alias("lane"), upto(F.col("sides")).alias("side"), F.lit(1).alias("kind"), "block", "ids", "data")

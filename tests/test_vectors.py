@@ -198,3 +198,16 @@ def test_codes_of_all_lists_are_rescored_as_far_as_they_err(spark, scratch):
     assert rows(ann.refine(ann.search_lists(stored, model, q, 40, 2), base, q, 10), "q", "row_id", "score", "rank") != want
     assert rows(ann.search_lists_exact(stored, model, base, q, 10), "q", "row_id", "score", "rank") == want
     assert ann.search_lists_exact(stored, model, base, q, 5000).count() == 2 * 1216
+
+
+def test_sides_of_the_grid_hold_a_bounded_number_of_best_rows(spark, monkeypatch):
+    """Queries times k bound what a cell of the grid keeps, whatever the number of queries."""
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(blocks, "QUERY_VALUES", 32 * 4)
+    monkeypatch.setattr(blocks, "KEPT_ROWS", 40)
+    base, q = frame(spark, X).repartition(3), frame(spark, X[:40] + 0.01, "q").coalesce(1)
+    asked = vectors.query_blocks(q).cache()
+    assert asked.count() == 10
+    assert [r.sides for r in blocks.sides_of(asked, 10).collect()] == [10] and [r.sides for r in blocks.sides_of(asked, 3).collect()] == [3]
+    got = blocks.nearest(vectors.vector_blocks(base), asked, 10, lambda key, q, x: vectors.scores("ip", x.astype(np.float64), q), "<f8", lanes=2)
+    assert rows(got) == rows(vectors.knn_exact(base, q, 10))
