@@ -236,18 +236,18 @@ class Packer:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}  # one per Python worker, kept between its tasks
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}  # one per Python worker, kept between its tasks
 
 
-def _kernel(path: str, window: int, batch_tokens: int, end_id: int):
+def _kernel(path: str, window: int, batch_tokens: int, end_id: int, slice_chars: int = PART_CHARS, cache_pieces: int = CACHE_PIECES):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _ENCODERS:
-            _ENCODERS[path] = WordEncoder(path)
-        encoder = _ENCODERS[path]
+        if (path, cache_pieces) not in _ENCODERS:
+            _ENCODERS[path, cache_pieces] = WordEncoder(path, cache_pieces)
+        encoder = _ENCODERS[path, cache_pieces]
         packer = Packer(window, batch_tokens, TaskContext.get().partitionId() << 40)
         schema = pa.schema([(n, pa.int64()) for n in names])
 
@@ -256,7 +256,7 @@ def _kernel(path: str, window: int, batch_tokens: int, end_id: int):
 
         for b in batches:
             docs = b.column(0).to_pylist()
-            for first, some in slices(texts(b.column(1)), PART_CHARS):
+            for first, some in slices(texts(b.column(1)), slice_chars):
                 long = len(some) == 1 and pc.binary_length(some[0]).as_py() > PART_CHARS
                 for i, ids in enumerate([encoder.encode_long(some[0].as_py())] if long else encoder.encode(some)):
                     packer.add(docs[first + i], np.append(ids, np.uint32(end_id)))
@@ -270,7 +270,10 @@ def _kernel(path: str, window: int, batch_tokens: int, end_id: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, batch_tokens: int = BATCH_TOKENS, end_id: int = END_ID,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all texts: id, start among the text's ids, length, checksum of the ids, ids of the text, window, offset there."""
+         id_col: str = "doc_id", text_col: str = "text", slice_chars: int = PART_CHARS, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """Pieces of all texts: id, start among the text's ids, length, checksum of the ids, ids of the text, window, offset there.
+
+    ``slice_chars`` of texts are encoded at once and ``cache_pieces`` remembered; both trade memory for time and change no row.
+    """
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
-        _kernel(tokenizer, window, batch_tokens, end_id), SCHEMA)
+        _kernel(tokenizer, window, batch_tokens, end_id, slice_chars, cache_pieces), SCHEMA)

@@ -187,3 +187,10 @@ def test_pipeline_against_a_plain_version(spark):
     ids = corpus_pipeline.STAGES[-1][1](spark, now, "").agg(F.sum("length")).first()[0]
     e = packing.WordEncoder(queries.tokenizer_path())
     assert ids == sum(len(e.plain(t or "")) + 1 for _, t, _ in kept)
+
+
+def test_slices_and_cache_of_packing_change_no_row(spark):
+    docs = plain.documents(spark, [(i, f"word{i} some words\nof text {i * 7} " * (i % 5 + 1), "s") for i in range(60)]).coalesce(2)
+    path = queries.tokenizer_path()
+    want = sorted(map(tuple, packing.pack(docs, path).collect()))
+    assert sorted(map(tuple, packing.pack(docs, path, slice_chars=50, cache_pieces=8).collect())) == want
