@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from embedmap.operators import discs, frames, minimap
+from embedmap.operators import discs, frames, gridsearch, minimap
 from tests.conftest import rows
 
 ZOOM = 2
@@ -120,6 +120,49 @@ def test_nearest_ties_take_the_lowest_row(spark):
     assert minimap.nearest_rows(q, qs).first().row_id == 3
 
 
+def joined_rows(df) -> int:
+    """Rows that left the largest join of an executed query."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if name.endswith("Join"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return max(found)
+
+
+def test_nearest_meets_cells_not_rows(spark):
+    """The rows of a crowded cell meet a query as one row, and cells get smaller as the positions become more."""
+    q = spark.range(2000).selectExpr("id as row_id", "id % 50 + 100 as qx", "id div 50 + 100 as qy")
+    qs = spark.range(30).selectExpr("id as q", "100 + id as qx", "120 as qy")
+    got = minimap.nearest_rows(q, qs, 8)
+    assert rows(got, "q", "d2", "row_id") == [(i, 0.0, 20 * 50 + i) for i in range(30)]
+    assert joined_rows(got) <= 30 * 4
+    assert [gridsearch.cell_bits_for(n, 2, 16, 2, 8) for n in (0, 100_000, 1 << 20, 36_000_000, 10**12)] == [8, 8, 7, 4, 2]
+    assert rows(minimap.nearest_rows(q, qs), "q", "row_id") == [(i, 20 * 50 + i) for i in range(30)]
+
+
+def test_radius_meets_few_rows_beyond_it(spark):
+    """The join of all rows within a radius meets less than twice as many pairs as are in the answer."""
+    q = spark.range(40_000).selectExpr("id as row_id", "id % 200 * 100 as qx", "id div 200 * 100 as qy")
+    qs = spark.createDataFrame([(0, 9950, 10050), (1, 12000, 9000), (2, 8111, 8222)], "q long, qx long, qy long")
+    got = gridsearch.within(q, qs, ["qx", "qy"], ["qx", "qy"], "q", 3000, fine=minimap.RADIUS_CELLS)
+    cells = gridsearch.within(q, qs, ["qx", "qy"], ["qx", "qy"], "q", 3000)
+    pairs = rows(minimap.rows_in_radius(q, qs, 3000), "q", "row_id", "d2")
+    assert rows(got, "q", "row_id", "d2") == pairs == rows(cells, "q", "row_id", "d2") and len(pairs) > 5000
+    side = 3000 / minimap.RADIUS_CELLS
+    asked = {(r[0], r[1], r[2]) for r in got.select("q", F.floor(F.col("qx") / side), F.floor(F.col("qy") / side)).collect()}
+    assert len(asked) * (side / 100 + 1) ** 2 < 2 * len(pairs)
+
+
 def test_capped_radius_lists_no_pairs(spark, monkeypatch):
     """Sides, lanes and flushes give what brute force gives, and no join of queries with rows is left."""
     for name, n in (("SIDE_QUERIES", 3), ("LANE_POINTS", 50), ("DISTANCES", 40), ("HITS", 30)):
