@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from embedmap.operators.inventory import VOXEL
 from embedmap.operators.keys import require_empty
-from embedmap.operators.ordering import HOT_ROWS, id_bucket, rank_in_group
+from embedmap.operators.ordering import HOT_ROWS, id_bucket, rank_in_group, small
 from embedmap.session import cut
 from embedmap.sources.quoted_csv import read_records
 
@@ -35,7 +35,10 @@ def _joined(rows: DataFrame, condition, name: str, hot_rows: int = HOT_ROWS) ->
 
 
 def inventory_to_csv(stacks: DataFrame, rows: DataFrame, urls: DataFrame, dataset: str, pack: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """All columns as text, with ``line`` giving the order inside the block. urls: row_id, url."""
+    """All columns as text, with ``line`` giving the order inside the block. urls: row_id, url.
+
+    The block's fields, whose lists are as long as the block, meet the row of its first line only.
+    """
     held = rows.filter(F.col("state") == "held")
     ranked = rank_in_group(held, VOXEL, ["seq", "row_id"], "line", id_bucket("seq"), hot_rows)
     block = (
@@ -44,10 +47,12 @@ def inventory_to_csv(stacks: DataFrame, rows: DataFrame, urls: DataFrame, datase
         .select(*VOXEL, "total_points", "repr_row_id", "cursor", "returned_row_ids",
                 F.col("first_seq").alias("first_extracted_at"), F.col("last_seq").alias("last_extracted_at"), "selected_row_ids")
     )
+    head = held.groupBy(*VOXEL).agg(F.min(F.struct("seq", "row_id")).alias("_h")).select(*VOXEL, F.col("_h.row_id").alias("row_id"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     first = lambda c: F.when(F.col("line") == 0, text(c)).otherwise(F.lit("")).alias(c)
     return (
-        ranked.join(block, VOXEL).join(urls.select("row_id", "url"), "row_id", "left")
+        ranked.join(small(stacks.select(*VOXEL)), VOXEL, "left_semi").join(urls.select("row_id", "url"), "row_id", "left")
+        .join(block.join(head, VOXEL), [*VOXEL, "row_id"], "left")
         .select(
             F.lit("1").alias("version"), F.lit(dataset).alias("dataset"), F.lit(pack).alias("pack"), text("chunk_id").alias("chunk_id"),
             text("local_id").alias("voxel_id"), text("row_id").alias("row_id"), text("url").alias("thumbnail_url"),
@@ -98,7 +103,8 @@ def csv_violations(df: DataFrame) -> DataFrame:
 
 
 def inventory_from_csv(df: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(stacks, rows) from CSV lines; lines with violations are refused."""
+    """(stacks, rows) from CSV lines; lines with violations are refused. The lines are stored once, as every check and both tables read them."""
+    df = cut(df)
     if check:
         require_empty(csv_violations(df), "broken inventory CSV")
     num = lambda c: F.col(c).cast("long")

@@ -198,6 +198,36 @@ def test_csv_round_trip_with_commas_and_quotes(spark, scratch):
     assert order == [11, 10]
 
 
+def test_the_lists_of_a_block_meet_its_first_line_only(spark):
+    """What is shuffled for the CSV grows with the rows, not with the rows times the length of their block's lists."""
+    n = 3000
+    held = spark.range(n).selectExpr("0L as chunk_id", "0L as local_id", "id as row_id", "if(id < 1500, 'held', 'returned') as state", "id % 3 = 0 and id < 1500 as selected", "id as seq")
+    stacks = spark.createDataFrame([(0, 0, n, 0, n, 5)], "chunk_id long, local_id long, cursor long, first_seq long, total_points long, repr_row_id long").withColumn("last_seq", F.lit(9).cast("long"))
+    urls = spark.range(n).selectExpr("id as row_id", "concat('u', id) as url")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        csv = inventory_csv.inventory_to_csv(stacks, held, urls, "d", "p")
+        got = csv.orderBy("line")
+        lines = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.line for r in lines] == list(range(1500)) and lines[0].returned_row_ids == ";".join(str(i) for i in range(1500, n))
+    assert lines[0].selected_row_ids == ";".join(str(i) for i in range(0, 1500, 3)) and all(r.returned_row_ids == "" for r in lines[1:])
+    size, todo = 0, [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if name == "Exchange":
+            size += node.metrics().apply("dataSize").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < size < 3_000_000  # 1,500 lines with lists of 9 KB are 13 MB
+
+
 def test_csv_refusals(spark, scratch):
     stacks, held = saved(spark)
     urls = spark.createDataFrame([(12, "u")], "row_id long, url string")
