@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from embedmap.functions import codec
 from embedmap.operators import frames, voxels
@@ -64,20 +65,27 @@ def audit_point_index(points: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def audit_spatial(rows: DataFrame, pages: DataFrame, tiled: DataFrame, row_to_voxel: DataFrame, page_size: int) -> DataFrame:
-    """Problems of the spatial table: rows missing or repeated, differing from the lookups, pages with wrong bounds."""
+    """Problems of the spatial table: rows missing or repeated, differing from the lookups, pages with wrong bounds.
+
+    Repeated rows are counted on the way to the join with the lookups. A pass of its own would read row ids only, which shrink so far in a
+    shuffle that a partition of the usual bytes holds ten million of them and a task sorts them all.
+    """
+    once = Window.partitionBy("row_id")
+    nth = F.row_number().over(once.orderBy("row_id"))
     truth = tiled.select("row_id", F.col("pos").alias("_pos"), F.col("qx").alias("_x"), F.col("qy").alias("_y"), F.col("corpus").alias("_k"))
-    truth = truth.join(row_to_voxel.select("row_id", F.col("chunk_id").alias("_c"), F.col("local_id").alias("_l")), "row_id")
+    truth = truth.join(row_to_voxel.select("row_id", F.col("chunk_id").alias("_c"), F.col("local_id").alias("_l")), "row_id").withColumn("_at", nth)
     pairs = (("pos", "_pos"), ("qx", "_x"), ("qy", "_y"), ("corpus", "_k"), ("chunk_id", "_c"), ("local_id", "_l"))
     same = F.lit(True)
     for a, b in pairs:
         same = same & F.col(a).eqNullSafe(F.col(b))
-    problem = lambda df, key, name: df.select(F.col(key).cast("long").alias("key"), F.lit(name).alias("problem"))
-    differing = rows.join(truth, "row_id", "full").filter(~same)
-    twice = rows.groupBy("row_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    counted = rows.select("row_id", *[a for a, _ in pairs], F.count(F.lit(1)).over(once).alias("_n"), nth.alias("_nth"))
+    # Told once for each row id, however many rows and lookups have it.
+    twice = (F.col("_n") > 1) & (F.col("_nth") == 1) & (F.coalesce("_at", F.lit(1)) == 1)
+    found = F.array(F.when(~same, F.lit("row differs")), F.when(twice, F.lit("row repeated")))
+    wrong = counted.join(truth, "row_id", "full").select(F.col("row_id").cast("long").alias("key"), F.explode(found).alias("problem"))
     again = spatial_pages(rows, page_size)
-    bad_pages = voxels.table_difference(pages.select(*again.columns), again).select("page").distinct()
-    return problem(differing, "row_id", "row differs").unionByName(problem(twice, "row_id", "row repeated")).unionByName(
-        problem(bad_pages, "page", "page bounds"))
+    bad_pages = voxels.table_difference(pages.select(*again.columns), again).select(F.col("page").cast("long").alias("key")).distinct()
+    return wrong.filter(F.col("problem").isNotNull()).unionByName(bad_pages.select("key", F.lit("page bounds").alias("problem")))
 
 
 def audit_conservation(bricks: DataFrame, tree: DataFrame, summary: DataFrame, n: int) -> DataFrame:

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from embedmap.functions import grid
-from embedmap.operators import frames, lod, metadata, minimap, spatial, voxels
+from embedmap.operators import audits, frames, lod, metadata, minimap, spatial, voxels
 from tests.conftest import rows
 
 N, VPC = 16, 4
@@ -102,3 +103,21 @@ def test_no_cartesian_products(spark, vox):
     ]
     for df in frames_:
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
+
+
+def test_repeated_rows_are_counted_on_the_way_to_the_lookups(spark, scratch):
+    """A repeated row is told once, whatever the lookups hold, and no pass reads the row ids alone."""
+    def stored(name, data, schema):
+        spark.createDataFrame(data, schema).write.parquet(f"{scratch}/{name}")
+        return spark.read.parquet(f"{scratch}/{name}")
+
+    lookups = "pos long, qx long, qy long, corpus long, row_id long"
+    tiled = stored("tiled", [(i, i, i, 0, i) for i in (1, 2, 3, 4, 5, 7)] + [(90, 2, 2, 0, 2), (4, 4, 4, 0, 4)], lookups)
+    known = stored("known", [(i, 10 + i, 20 + i) for i in range(1, 9)], "row_id long, chunk_id long, local_id long")
+    mine = lambda i, key: (i, i, i, 0, key, 10 + i, 20 + i)
+    table = stored("rows", [mine(i, i) for i in (1, 2, 3, 3, 4, 4, 9)] + [(5, 5, 6, 0, 5, 15, 25), mine(8, None), mine(8, None)], lookups + ", chunk_id long, local_id long")
+    found = audits.audit_spatial(table, minimap.spatial_pages(table, 4), tiled, known, 4)
+    assert "ReadSchema: struct<row_id:bigint>" not in plan(found)
+    assert Counter(tuple(r) for r in found.collect()) == {
+        (2, "row differs"): 1, (3, "row repeated"): 1, (4, "row repeated"): 1, (5, "row differs"): 1, (7, "row differs"): 1, (9, "row differs"): 1,
+        (None, "row differs"): 2, (None, "row repeated"): 1}
