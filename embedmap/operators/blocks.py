@@ -2,11 +2,13 @@
 
 Both sides are packed in tasks. Query blocks of at most ``BROADCAST_BYTES`` together are broadcast by the join, so that data stay where they
 are; beyond that, data and queries meet on a grid of lanes (of data) and sides (of queries): data are shuffled once per side,
-queries once per lane, and a cell streams its data past the queries of one side. A task keeps the k best rows per query.
+queries once per lane, and a cell streams its data past the queries of one side. A task keeps the k best rows per query. Lanes come from the bytes
+of a key's data, so that there are no more cells, and no more copies of a query and of its best rows, than the data and the cores need.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -23,6 +25,9 @@ DATA_VALUES, QUERY_VALUES = 1 << 19, 1 << 18
 #: Query blocks that are broadcast, and query blocks of one side of the grid.
 BROADCAST_BYTES = 2 << 20
 SIDE_BLOCKS = 32
+#: Data of one lane of the grid at most, and cells per core at least, as far as there are blocks for them.
+LANE_BYTES = 64 << 20
+CORE_CELLS = 3
 #: Row group of stored blocks.
 GROUP_BYTES = 8 << 20
 #: Scores held at once, and best rows that a task keeps before it hands them on, which also bounds the queries of one side.
@@ -160,6 +165,21 @@ def sides_of(asked: DataFrame, k: int) -> DataFrame:
     return asked.groupBy("key").agg(F.greatest(F.ceil(n / SIDE_BLOCKS), F.least(F.ceil(kept / KEPT_ROWS), n)).alias("sides"))
 
 
+def cells_of(data: DataFrame, asked: DataFrame, k: int, lanes: int | None = None) -> DataFrame:
+    """Lanes and sides of every key that has data and queries; one row per key passes the driver.
+
+    A lane holds at most ``LANE_BYTES``, and less where that would leave cores without a cell. A query is sent to every lane of its keys, so the
+    number of lanes follows the data and not the number of shuffle partitions.
+    """
+    spark = data.sparkSession
+    held = data.groupBy("key").agg(F.sum(F.length("ids") + F.length("data")).alias("bytes"), F.count(F.lit(1)).alias("blocks"))
+    found = held.join(F.broadcast(sides_of(asked, k)), "key").collect()
+    spread = sum(r.bytes * r.sides for r in found) / (CORE_CELLS * spark.sparkContext.defaultParallelism)
+    size = max(1, min(LANE_BYTES, spread))
+    rows = [(r.key, lanes or min(r.blocks, math.ceil(r.bytes / size)), r.sides) for r in found]
+    return spark.createDataFrame(rows, "key long, lanes long, sides long")
+
+
 def nearest(data: DataFrame, asked: DataFrame, k: int, score: Score, kind: str, lanes: int | None = None) -> DataFrame:
     """q, row_id, score, rank of the k best rows of every query. ``data`` and ``asked``: key, block, ids, data; only blocks of one key meet.
     ``asked`` is read several times, so pass it stored.
@@ -185,12 +205,11 @@ def nearest(data: DataFrame, asked: DataFrame, k: int, score: Score, kind: str,
         met = data.select("key", "ids", "data").join(F.broadcast(named), "key").select("key", "ids", "data", "q_block", "q_ids", "q_data")
         hits = met.mapInArrow(near, HITS)
     else:
-        lanes = lanes or int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sides = sides_of(asked, k)
+        cells = F.broadcast(cells_of(data, asked, k, lanes))
         spread = F.xxhash64("block")
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-        here = data.join(sides, "key").select("key", F.pmod(spread, F.lit(lanes)).alias("lane"), upto(F.col("sides")).alias("side"), F.lit(1).alias("kind"), "block", "ids", "data")
-        there = asked.join(sides, "key").select("key", upto(F.lit(lanes).cast("long")).alias("lane"), F.pmod(spread, "sides").alias("side"), F.lit(0).alias("kind"), "block", "ids", "data")
+        here = data.join(cells, "key").select("key", F.pmod(spread, "lanes").alias("lane"), upto(F.col("sides")).alias("side"), F.lit(1).alias("kind"), "block", "ids", "data")
+        there = asked.join(cells, "key").select("key", upto(F.col("lanes")).alias("lane"), F.pmod(spread, "sides").alias("side"), F.lit(0).alias("kind"), "block", "ids", "data")
         cell = ["key", "lane", "side"]
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

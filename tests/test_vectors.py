@@ -211,3 +211,30 @@ def test_sides_of_the_grid_hold_a_bounded_number_of_best_rows(spark, monkeypatch
     assert [r.sides for r in blocks.sides_of(asked, 10).collect()] == [10] and [r.sides for r in blocks.sides_of(asked, 3).collect()] == [3]
     got = blocks.nearest(vectors.vector_blocks(base), asked, 10, lambda key, q, x: vectors.scores("ip", x.astype(np.float64), q), "<f8", lanes=2)
     assert rows(got) == rows(vectors.knn_exact(base, q, 10))
+
+
+def test_copies_of_a_query_follow_the_data_and_not_the_partitions(spark, base, queries, monkeypatch):
+    """On the grid a query meets as many lanes as its data fill, so its copies and best rows don't grow with the shuffle partitions."""
+    whole = rows(vectors.knn_exact(base, queries, 5))
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(blocks, "DATA_VALUES", 160)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert vectors.vector_blocks(base).count() >= 80
+        assert rows(vectors.knn_exact(base, queries, 5)) == whole
+        monkeypatch.setattr(blocks, "limit_per_group", lambda hits, *a: hits)
+        assert vectors.knn_exact(base, queries, 5).count() <= 3 * 5 * 3 * spark.sparkContext.defaultParallelism  # queries, k, cells per core
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_crowded_keys_have_more_lanes(spark, base, queries, monkeypatch):
+    keyed = base.select("row_id", "embedding", F.when(F.col("row_id") < 300, 1).otherwise(F.col("row_id") % 4 + 2).alias("list_id"))
+    data = blocks.pack(keyed, vectors.matrix, 320, "list_id").cache()
+    asked = blocks.pack(queries.crossJoin(spark.range(7).withColumnRenamed("id", "list_id")), vectors.matrix, blocks.QUERY_VALUES, "list_id").cache()
+    held = {r.key: r for r in blocks.cells_of(data, asked, 5).collect()}
+    assert set(held) == {1, 2, 3, 4, 5} and held[1].lanes > 2 * max(held[k].lanes for k in (2, 3, 4, 5))
+    monkeypatch.setattr(blocks, "LANE_BYTES", 1)
+    assert {r.key: r.lanes for r in blocks.cells_of(data, asked, 5).collect()} == {r.key: r.n for r in data.groupBy("key").agg(F.count("ids").alias("n")).collect()}
+    assert blocks.cells_of(data.limit(0), asked, 5).count() == 0
