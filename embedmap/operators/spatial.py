@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from embedmap.functions import grid
 from embedmap.operators import gridsearch
 from embedmap.operators.ordering import limit_per_group, rank_in_group
+from embedmap.session import cut
 
 SHELL_FACING = 0.5          # fixed: discount for voxels ahead
 CHUNK_FACING = 0.35         # fixed: discount for chunks ahead
@@ -25,13 +26,18 @@ def _in_voxels(voxels: DataFrame, n: int, vpc: int) -> DataFrame:
     return voxels.withColumns({u: a + F.lit(0.5) for u, a in zip(POS, axes)})
 
 
+def _placed(voxels: DataFrame, n: int, vpc: int) -> DataFrame:
+    """Addresses, row counts and centres, written once, because a search reads them twice."""
+    return cut(_in_voxels(voxels, n, vpc).select("chunk_id", "local_id", "n", *POS))
+
+
 def _probes(probes: DataFrame, n: int) -> DataFrame:
     return probes.withColumns({u: (F.col(p) + F.lit(1.0)) * F.lit(n / 2.0) for u, p in zip(POS, ("px", "py", "pz"))})
 
 
 def voxels_in_sphere(voxels: DataFrame, probes: DataFrame, radius: float, n: int, vpc: int) -> DataFrame:
     """Occupied voxels whose centre lies within the radius of a probe. probes: q, px, py, pz."""
-    hits = gridsearch.within(_in_voxels(voxels, n, vpc), _probes(probes, n), POS, POS, "q", radius * n / 2.0)
+    hits = gridsearch.within(_placed(voxels, n, vpc), _probes(probes, n), POS, POS, "q", radius * n / 2.0)
     return hits.select("q", "chunk_id", "local_id", "n", (F.col("d2") * F.lit((2.0 / n) ** 2)).alias("d2"))
 
 
@@ -42,7 +48,7 @@ def voxels_in_shell(voxels: DataFrame, probes: DataFrame, radius: float, n: int,
     """
     r = radius * n / 2.0
     p = _probes(probes, n)
-    hits = gridsearch.within(_in_voxels(voxels, n, vpc), p, POS, POS, "q", r + 1.0, inner=r)
+    hits = gridsearch.within(_placed(voxels, n, vpc), p, POS, POS, "q", r + 1.0, inner=r)
     eye = p.select("q", *[F.col(u).alias(f"e{u}") for u in POS], "fx", "fy", "fz")
     ahead = sum((F.col(u) - F.col(f"e{u}")) * F.col(f) for u, f in zip(POS, ("fx", "fy", "fz"))) / F.sqrt("d2")
     ranked = hits.join(eye, "q").withColumn("priority", F.round(F.sqrt("d2") * (F.lit(1.0) - F.lit(SHELL_FACING) * ahead), 9))

@@ -27,3 +27,22 @@ def scratch():
 def rows(df, *order):
     """Collected rows as sorted tuples."""
     return sorted(tuple(r) for r in df.select(*(order or df.columns)).collect())
+
+
+def broadcasts(df) -> list[str]:
+    """Runs a query; the plans of what it broadcast."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if name == "BroadcastExchange":
+            found.append(node.toString())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embedmap.operators import discs, frames, gridsearch, minimap
-from tests.conftest import rows
+from tests.conftest import broadcasts, rows
 
 ZOOM = 2
 
@@ -163,6 +163,22 @@ def test_radius_meets_few_rows_beyond_it(spark):
     assert len(asked) * (side / 100 + 1) ** 2 < 2 * len(pairs)
 
 
+def test_radius_queries_are_not_broadcast(spark, monkeypatch):
+    """A query becomes a row per cell, so a small table of queries is not small there; sides and lanes of crowded cells lose and repeat nothing."""
+    for name, n in (("SIDE_QUERIES", 3), ("LANE_POINTS", 20)):
+        monkeypatch.setattr(gridsearch, name, n, raising=False)
+    q = quantised(spark, 300)
+    here = spark.range(90).selectExpr("id + 1000 as row_id", "30000L as qx", "30000L as qy")
+    q = q.select("row_id", "qx", "qy").unionByName(here).unionByName(here.limit(5).withColumn("qx", F.lit(None).cast("long")))
+    qs = spark.range(40).selectExpr("id as q", "29000 + (id % 10) * 300 as qx", "if(id = 39, null, 30000 + id) as qy")
+    pts = [tuple(r) for r in q.collect() if r.qx is not None]
+    d = lambda a, p: (a[1] - p[1]) ** 2 + (a[2] - p[2]) ** 2
+    want = sorted((a.q, p[0], float(d(a, p))) for a in qs.collect() if a.qy is not None for p in pts if d(a, p) <= 3000**2)
+    got = minimap.rows_in_radius(q, qs, 3000)
+    assert len(want) >= 39 * 90 and rows(got, "q", "row_id", "d2") == want
+    assert not [b for b in broadcasts(got) if "Generate" in b]
+
+
 def test_capped_radius_lists_no_pairs(spark, monkeypatch):
     """Sides, lanes and flushes give what brute force gives, and no join of queries with rows is left."""
     for name, n in (("SIDE_QUERIES", 3), ("LANE_POINTS", 50), ("DISTANCES", 40), ("HITS", 30)):
